@@ -41,8 +41,8 @@ def parse_skus(raw: Column) -> Column:
     found = F.transform(
         F.arrays_zip(F.regexp_extract_all(raw, F.lit(r"(\d+)\s*[xX]\s*(\d+)"), F.lit(1)).alias("i"),
                      F.regexp_extract_all(raw, F.lit(r"(\d+)\s*[xX]\s*(\d+)"), F.lit(2)).alias("q")),
-        lambda p: F.struct(p["0"].try_cast("bigint").alias("menu_item_id"),
-                           p["1"].try_cast("bigint").alias("quantity")))
+        lambda p: F.struct(p["i"].try_cast("bigint").alias("menu_item_id"),
+                           p["q"].try_cast("bigint").alias("quantity")))
     low, high = SKU_RANGE
     kept = F.filter(found, lambda p: (p["quantity"] > 0) & p["menu_item_id"].between(low, high))
     return F.coalesce(kept, F.array().cast("array<struct<menu_item_id:bigint,quantity:bigint>>"))

@@ -157,7 +157,7 @@ class Tables:
             F.max((F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate"))).scalar()
         grid = self.raw("part").select(
             F.col("p_partkey").alias("menu_item_id"),
-            F.explode(F.sequence(F.lit(1), last)).cast("bigint").alias("financial_period_id"))
+            F.explode(F.sequence(F.lit(1).cast("bigint"), last.cast("bigint"))).alias("financial_period_id"))
         return grid.withColumn(
             "price_multiplier",
             (90 + (F.col("menu_item_id") + F.col("financial_period_id")) % 20) / F.lit(100.0))
@@ -419,25 +419,25 @@ class Tables:
 
     @cached_property
     def alert_feed(self) -> DataFrame:
-        """Raw alerts: every 50th order reports one for its state."""
+        """Raw alerts: every 10th order reports one for its state."""
         k = F.col("guest_order_id")
         day = F.to_date("placed_at")
         kinds = ("Heat Advisory", "Winter Storm Warning", "Flood Watch", "Special Statement")
-        rows = self._orders.filter((k % 50 == 0) & F.col("unit_id").isNotNull()).select(
-            k.alias("alert_id"), "unit_id", pick(kinds, (k / 50).cast("bigint") % 4).alias("event"),
+        rows = self._orders.filter((k % 10 == 0) & F.col("unit_id").isNotNull()).select(
+            k.alias("alert_id"), "unit_id", pick(kinds, (k / 10).cast("bigint") % 4).alias("event"),
             F.concat(day.cast("string"), F.lit("T06:00:00Z")).alias("onset"),
-            F.when(k % 7 != 0, F.concat(F.date_add(day, (k % 4).cast("int")).cast("string"), F.lit("T18:00:00Z")))
+            F.when(k % 9 != 0, F.concat(F.date_add(day, (k % 4).cast("int")).cast("string"), F.lit("T18:00:00Z")))
             .alias("expires"))
         return rows.join(self.unit.select("unit_id", "state"), "unit_id").drop("unit_id")
 
     @cached_property
     def happening_feed(self) -> DataFrame:
-        """Raw local events: every 20th order reports one from one of three sources."""
+        """Raw local events: every 7th order reports one from one of three sources."""
         k = F.col("guest_order_id")
-        rows = self._orders.filter((k % 20 == 0) & F.col("unit_id").isNotNull()).select(
+        rows = self._orders.filter((k % 7 == 0) & F.col("unit_id").isNotNull()).select(
             k.alias("report_id"), "unit_id", F.to_date("placed_at").cast("string").alias("event_date"),
-            F.concat(F.lit("Event "), ((k / 20).cast("bigint") % 6).cast("string")).alias("event_name"),
-            pick(("nager", "ticketmaster", "seatgeek"), (k / 20).cast("bigint") % 3).alias("source"),
+            F.concat(F.lit("Event "), ((k / 7).cast("bigint") % 6).cast("string")).alias("event_name"),
+            pick(("nager", "ticketmaster", "seatgeek"), (k / 7).cast("bigint") % 3).alias("source"),
             F.concat(F.lit("Venue "), (k % 11).cast("string")).alias("venue"),
             (k % 9 + 1).alias("crowd"))
         return rows.join(self.unit.select("unit_id", "metro_area", "state"), "unit_id").drop("unit_id")

@@ -227,10 +227,10 @@ CTES = {
         FROM (SELECT * FROM weather_feed QUALIFY row_number() OVER
               (PARTITION BY metro_area, forecast_date ORDER BY observation_id DESC)=1)""",
     "alert_feed": """SELECT guest_order_id alert_id, state,
-        ['Heat Advisory','Winter Storm Warning','Flood Watch','Special Statement'][(guest_order_id//50)%4+1] event,
+        ['Heat Advisory','Winter Storm Warning','Flood Watch','Special Statement'][(guest_order_id//10)%4+1] event,
         CAST(placed_at AS DATE) onset_date,
-        CASE WHEN guest_order_id%7<>0 THEN CAST(placed_at AS DATE)+CAST(guest_order_id%4 AS INTEGER) END expires_date
-        FROM guest_order JOIN unit USING (unit_id) WHERE guest_order_id%50=0""",
+        CASE WHEN guest_order_id%9<>0 THEN CAST(placed_at AS DATE)+CAST(guest_order_id%4 AS INTEGER) END expires_date
+        FROM guest_order JOIN unit USING (unit_id) WHERE guest_order_id%10=0""",
     "active_alert": """SELECT metro_area, severity, onset_date, expires_date FROM (
         SELECT *, CASE WHEN lower(event) LIKE '%warning%' THEN 3 WHEN lower(event) LIKE '%watch%' THEN 2
         WHEN lower(event) LIKE '%advisory%' THEN 1 END severity FROM alert_feed)
@@ -245,9 +245,9 @@ CTES = {
         {cases('weather_condition', {k: v[1] for k, v in wx.CONDITIONS.items()}, '0.0')}::DOUBLE channel_shift_delivery
         FROM weather_alerted""",
     "happening_feed": """SELECT guest_order_id report_id, metro_area, state, CAST(placed_at AS DATE) event_date,
-        'Event '||((guest_order_id//20)%6) event_name,
-        ['nager','ticketmaster','seatgeek'][(guest_order_id//20)%3+1] source, 'Venue '||(guest_order_id%11) venue,
-        guest_order_id%9+1 crowd FROM guest_order JOIN unit USING (unit_id) WHERE guest_order_id%20=0""",
+        'Event '||((guest_order_id//7)%6) event_name,
+        ['nager','ticketmaster','seatgeek'][(guest_order_id//7)%3+1] source, 'Venue '||(guest_order_id%11) venue,
+        guest_order_id%9+1 crowd FROM guest_order JOIN unit USING (unit_id) WHERE guest_order_id%7=0""",
     "event_report": f"""SELECT report_id, metro_area, event_date, event_name, source,
         substr(CASE WHEN source='nager' THEN {sha('source', 'event_date', 'event_name')}
                ELSE {sha('source', 'metro_area', 'event_date', 'event_name')} END,1,16) event_id,
@@ -341,7 +341,7 @@ CTES = {
         FROM web_dedup JOIN (SELECT trace_id, m0 menu_item_id, q0 q FROM order_span WHERE m0 IS NOT NULL
                              UNION ALL SELECT trace_id, m1, q1 FROM order_span WHERE m0 IS NOT NULL) l USING (trace_id)
         LEFT JOIN menu_item USING (menu_item_id)""",
-    "reconciled": f"""SELECT web_order_id, trace_id, id guest_order_id, member_id, web_amount, web_item_count, web_tracking_id,
+    "reconciled": f"""SELECT web_order_id, trace_id, id guest_order_id, w.member_id, web_amount, web_item_count, web_tracking_id,
         web_order_ts, store_id web_store_id, city web_store_city, state web_store_state, zip web_store_zip,
         g.total_amount IS NOT NULL reconciled, g.unit_id, g.channel, g.order_status, g.total_amount silver_total_amount,
         g.placed_at silver_placed_at, {R('web_amount-g.total_amount', 2)} amount_diff,
