@@ -18,8 +18,8 @@ ADMIN_GROUP = "qsr_admin"
 PII_PATTERNS = {
     "class.email_address": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
     "class.phone_number": r"(\+?\d{1,2}[ .-]?)?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}",
-    "class.zip_code": r"^\d{5}(-\d{4})?$",
-    "class.name": r"^[A-Z][a-z]+( [A-Z][a-z]+)+$",
+    "class.zip_code": r"^\d{5}(-\d{4})?\z",
+    "class.name": r"^[A-Z][a-z]+( [A-Z][a-z]+)+\z",
 }
 
 

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platelake.functions.ids import make_id
-from platelake.functions.numeric import clamp
+from platelake.functions.numeric import clamp, fixed
 from platelake.operators.features import CATEGORIES
+from platelake.operators.telemetry import half_up
 
 # Complement weight of the inner category when the basket holds the outer.
 COMPLEMENTS = {
@@ -31,7 +32,8 @@ SUPPRESS = ("soda", "water", "pepperoni", "cheese", "boneless", "traditional")
 TIER_ORDINALS = {"none": 0, "bronze": 1, "silver": 2, "gold": 3, "platinum": 4}
 DEFAULT_N, MAX_N = 5, 10
 
-# Scores are rounded to six decimals, so popularities closer than this may tie.
+# Scores are rounded to millionths, so popularities closer than this many may tie.
+MICRO = 1_000_000
 TIE_MARGIN = 10
 
 
@@ -59,19 +61,15 @@ def has_basket() -> Column:
     return out
 
 
-def base_score(filled: Column, complement: Column, affinity: Column) -> Column:
-    """Score without the popularity share."""
-    return F.when(filled, 0.55 * complement + 0.25 * affinity).otherwise(0.55 * affinity)
-
-
-def popularity_weight(filled: Column) -> Column:
-    return F.when(filled, F.lit(0.20)).otherwise(F.lit(0.45))
-
-
 def heuristic_score(filled: Column, complement: Column, affinity: Column, popularity: Column) -> Column:
-    blend = F.when(filled, 0.55 * complement + 0.25 * affinity + 0.20 * popularity).otherwise(
-        0.55 * affinity + 0.45 * popularity)
-    return F.round(clamp(blend, 0.0, 1.0), 6)
+    """Blend in [0, 1], rounded half up to six decimals.
+
+    The parts have at most six decimals, so the blend is taken on whole
+    millionths: equal candidates stay equal however their doubles round.
+    """
+    c, a, p = (fixed(x, MICRO) for x in (complement, affinity, popularity))
+    hundredths = F.when(filled, 55 * c + 25 * a + 20 * p).otherwise(55 * a + 45 * p)
+    return clamp(half_up(hundredths, F.lit(100)) / F.lit(float(MICRO)), 0.0, 1.0)
 
 
 def reco_reason(category: Column, filled: Column, complement: Column, anchor: Column, has_drinks: Column,
@@ -101,7 +99,7 @@ def popularity_pools(popularity: DataFrame, menu_item: DataFrame, suppress=SUPPR
     """
     items = popularity.join(menu_item.select("menu_item_id", "category", "subcategory"), "menu_item_id").filter(
         F.col("popularity") > 0)
-    micro = F.floor(F.col("popularity") * 1_000_000 + F.lit(0.5))
+    micro = fixed("popularity", MICRO)
     items = items.withColumn("sg", suppress_key(F.col("subcategory"), suppress)).withColumn("micro", micro)
     group = Window.partitionBy("unit_id", "category", "sg")
     # Count per distinct popularity first: the running count then walks distinct values only.

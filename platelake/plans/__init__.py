@@ -3,4 +3,4 @@
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from platelake.plans import q_metrics, q_questions, q_tables  # noqa: F401
+    from platelake.plans import q_features, q_jobs, q_metrics, q_questions, q_tables  # noqa: F401

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from platelake.operators.silver import latest
 
@@ -45,18 +44,6 @@ def scd1_stream(spark: SparkSession, changes: DataFrame, keys: list[str], versio
     return latest(spark.read.parquet(out).drop("batch"), keys, version)
 
 
-def deduplicated(stream: DataFrame, key: str = "event_id", ts: str = "event_ts", delay: str = "1 hour") -> DataFrame:
-    """Extension: drop repeated events that arrive within ``delay``."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
-
-
-def daily_counts(stream: DataFrame, ts: str, *keys: str, delay: str = "1 day") -> DataFrame:
-    """Extension: windowed daily rollup that closes a day once the watermark has passed it."""
-    return stream.withWatermark(ts, delay).groupBy(F.window(ts, "1 day"), *keys).agg(
-        F.count(F.lit(1)).alias("events")).select(
-        F.col("window.start").alias("day"), *keys, "events")
-
-
 def full_refresh(spark: SparkSession, source: Callable[[], DataFrame], transform: Transform, root: str, name: str,
                  attempts: int = 2) -> DataFrame:
     """Rebuild a table from the start under a new checkpoint; one retry."""
