@@ -99,8 +99,8 @@ def popularity_pools(popularity: DataFrame, menu_item: DataFrame, suppress=SUPPR
     """
     items = popularity.join(menu_item.select("menu_item_id", "category", "subcategory"), "menu_item_id").filter(
         F.col("popularity") > 0)
-    micro = fixed("popularity", MICRO)
-    items = items.withColumn("sg", suppress_key(F.col("subcategory"), suppress)).withColumn("micro", micro)
+    items = items.withColumn("sg", suppress_key(F.col("subcategory"), suppress)).withColumn(
+        "micro", fixed("popularity", MICRO))
     group = Window.partitionBy("unit_id", "category", "sg")
     # Count per distinct popularity first: the running count then walks distinct values only.
     levels = items.groupBy("unit_id", "category", "sg", "micro").agg(F.count(F.lit(1)).alias("level_size"))
@@ -109,10 +109,37 @@ def popularity_pools(popularity: DataFrame, menu_item: DataFrame, suppress=SUPPR
                            F.coalesce(F.sum("level_size").over(surely), F.lit(0)).alias("better"))
     same = Window.partitionBy("unit_id", "category", "sg", "micro").orderBy("menu_item_id")
     return items.join(levels, ["unit_id", "category", "sg", "micro"]).select(
-        "unit_id", "category", "sg", "menu_item_id", "popularity",
+        "unit_id", "category", "sg", "menu_item_id", "micro",
         (F.col("better") + F.row_number().over(same)).alias("depth"))
 
 
+def _slots(suppress) -> list[tuple[str, str, str]]:
+    """(category, suppression group, column suffix) of every slot."""
+    return [(c, s, f"{c}_{i}") for c in CATEGORIES for i, s in enumerate(("", *suppress))]
+
+
+def _cart_facts(cart: DataFrame, menu: DataFrame, suppress) -> DataFrame:
+    """Per request: categories held, items held per slot, subcategories blocked."""
+    known = cart.join(menu.select("menu_item_id", "category", "sg"), "menu_item_id")
+    cat, sg = F.col("category"), F.col("sg")
+    return known.groupBy("request_id").agg(
+        *[F.count_if((cat == c) & (sg == s)).alias(f"held_{x}") for c, s, x in _slots(suppress)],
+        *[F.count_if(sg == s).alias(f"block_{i + 1}") for i, s in enumerate(suppress)])
+
+
+def _unit_tops(pools: DataFrame, suppress) -> DataFrame:
+    """Per unit and slot: the best MAX_N popularities, best first, and how many items sold."""
+    first = Window.partitionBy("unit_id", "category", "sg").orderBy(F.col("micro").desc(), "menu_item_id")
+    best = pools.withColumn("i", F.row_number().over(first)).filter(F.col("i") <= MAX_N).groupBy(
+        "unit_id", "category", "sg").agg(F.sort_array(F.collect_list("micro"), asc=False).alias("tops"))
+    sold = pools.groupBy("unit_id", "category", "sg").agg(F.count(F.lit(1)).alias("sold"))
+    both = best.join(sold, ["unit_id", "category", "sg"])
+    here = lambda c, s, v: F.first(F.when((F.col("category") == c) & (F.col("sg") == s), F.col(v)), ignorenulls=True)
+    return both.groupBy("unit_id").agg(
+        *[here(c, s, "tops").alias(f"tops_{x}") for c, s, x in _slots(suppress)],
+        *[here(c, s, "sold").alias(f"sold_{x}") for c, s, x in _slots(suppress)])
+
+
 def rank_recommendations(requests: DataFrame, cart: DataFrame, popularity: DataFrame, menu_item: DataFrame,
                          suppress=SUPPRESS) -> DataFrame:
     """Ranked add-ons per request.
@@ -120,49 +147,72 @@ def rank_recommendations(requests: DataFrame, cart: DataFrame, popularity: DataF
     ``requests``: request_id, unit_id, n, tier and affinity_* (NULL for a cold
     start).  ``cart``: request_id, menu_item_id.  Items in the cart and doubled
     subcategories are left out; score descending, then id.
+
+    A slot is one category and suppression group.  The n-th best item of any one
+    slot bounds the answer from below, so slots and depths that cannot reach the
+    bound are dropped before any item is joined.
     """
     menu = menu_item.select("menu_item_id", "item_name", "category", "subcategory").withColumn(
         "sg", suppress_key(F.col("subcategory"), suppress))
     cart = cart.select("request_id", "menu_item_id").distinct()
+    pools = popularity_pools(popularity, menu_item, suppress)
+    slots = _slots(suppress)
     n = F.least(F.lit(MAX_N), F.greatest(F.lit(1), F.coalesce("n", F.lit(DEFAULT_N))))
-    none = F.lit(False)
-    head = requests.withColumn("n", n).join(basket_flags(cart, menu_item), "request_id", "left").withColumns(
-        {f"has_{c}": F.coalesce(f"has_{c}", none) for c in CATEGORIES})
-    blocked = suppressed(cart, menu_item, suppress) if suppress else None
-    filled = has_basket()
-    # One slot per category and suppression group, with the request's part of the score.
+    zero = F.lit(0).cast("bigint")
+    head = (requests.withColumn("n", n).join(_cart_facts(cart, menu, suppress), "request_id", "left")
+            .join(_unit_tops(pools, suppress), "unit_id", "left"))
+    head = head.withColumns({f"has_{c}": F.coalesce(sum((F.col(f"held_{x}") for k, _, x in slots if k == c), zero), zero) > 0
+                             for c in CATEGORIES})
+    head = head.withColumn("filled", has_basket())
+    filled = F.col("filled")
+    weight = F.when(filled, F.lit(20)).otherwise(F.lit(45))
+    present = F.coalesce(*[F.when(F.col(f"has_{c}"), F.lit(c)) for c in sorted(CATEGORIES)])
+    # The request's part of the score, in hundredths of a millionth.
+    base = {c: F.when(filled, 55 * fixed(complement_score(c), MICRO) + 25 * fixed(F.coalesce(f"affinity_{c}", F.lit(0.0)), MICRO))
+            .otherwise(55 * fixed(F.coalesce(f"affinity_{c}", F.lit(0.0)), MICRO)) for c in CATEGORIES}
+    head = head.select(
+        "request_id", "unit_id", "n", "tier", "filled", "has_drinks", present.alias("anchor"), weight.alias("weight"),
+        *[base[c].alias(f"base_{c}") for c in CATEGORIES], *[complement_score(c).alias(f"comp_{c}") for c in CATEGORIES],
+        *[F.coalesce(f"held_{x}", zero).alias(f"held_{x}") for _, _, x in slots],
+        *[F.coalesce(f"sold_{x}", zero).alias(f"sold_{x}") for _, _, x in slots],
+        *[F.col(f"tops_{x}") for _, _, x in slots],
+        *[(F.coalesce(f"block_{i + 1}", zero) > 0).alias(f"block_{i + 1}") for i in range(len(suppress))])
+
+    def blocked(x: str) -> Column:
+        i = x.rpartition("_")[2]
+        return F.lit(False) if i == "0" else F.col(f"block_{i}")
+
+    def nth(c: str, x: str) -> Column:
+        at = F.get(f"tops_{x}", (F.col("n") + F.col(f"held_{x}") - 1).cast("int"))
+        return F.when(~blocked(x), F.col(f"base_{c}") + F.col("weight") * at)
+
+    bound = F.coalesce(F.greatest(F.lit(-1).cast("bigint"), *[nth(c, x) for c, _, x in slots]), F.lit(-1).cast("bigint"))
+    head = head.withColumn("bound", bound)
     slot = F.array(*[F.struct(
-        F.lit(c).alias("category"), F.lit(s).alias("sg"), complement_score(c).alias("complement"),
-        F.coalesce(F.col(f"affinity_{c}"), F.lit(0.0)).alias("affinity"))
-        for c in CATEGORIES for s in ("", *suppress)])
-    slots = head.select(
-        "request_id", "unit_id", "n", "tier", filled.alias("filled"), F.col("has_drinks"),
-        F.get("cart_categories", F.lit(0)).alias("anchor"), F.explode(slot).alias("s")).select("*", "s.*").drop("s")
-    in_cart = cart.join(menu.select("menu_item_id", "category", "sg"), "menu_item_id").groupBy(
-        "request_id", "category", "sg").agg(F.count(F.lit(1)).alias("held"))
-    key = ["request_id", "category", "sg"]
-    slots = slots.join(in_cart, key, "left").withColumn("reach", F.col("n") + F.coalesce("held", F.lit(0)))
-    if blocked is not None:
-        slots = slots.join(blocked.withColumnRenamed("subcategory", "sg"), ["request_id", "sg"], "left_anti")
-    pools = popularity_pools(popularity, menu_item, suppress)
-    sizes = pools.groupBy("unit_id", "category", "sg").agg(F.count(F.lit(1)).alias("sold"))
-    slots = slots.join(sizes, ["unit_id", "category", "sg"], "left").withColumn("sold", F.coalesce("sold", F.lit(0)))
+        F.lit(c).alias("category"), F.lit(s).alias("sg"), F.col(f"comp_{c}").alias("complement"),
+        F.col(f"base_{c}").alias("base"), F.col(f"held_{x}").alias("held"), F.col(f"sold_{x}").alias("sold"),
+        F.coalesce(F.get(f"tops_{x}", F.lit(0)), zero).alias("best"), blocked(x).alias("blocked")) for c, s, x in slots])
+    # A rounded score may reach a bound that the exact one misses by less than a millionth.
+    reaches = lambda part: part + F.lit(100) >= F.col("bound")
+    open_slots = head.select("request_id", "unit_id", "n", "tier", "filled", "has_drinks", "anchor", "weight", "bound",
+                             F.explode(slot).alias("s")).select("*", "s.*").drop("s").filter(~F.col("blocked")).withColumn(
+        "reach", F.col("n") + F.col("held"))
     at = lambda upto: F.explode(F.sequence(F.lit(1).cast("bigint"), upto.cast("bigint")))
-    popular = slots.withColumn("depth", at(F.col("reach"))).join(pools, ["unit_id", "category", "sg", "depth"])
+    popular = open_slots.filter(reaches(F.col("base") + F.col("weight") * F.col("best")) & (F.col("sold") > 0)).withColumn(
+        "depth", at(F.col("reach"))).join(pools, ["unit_id", "category", "sg", "depth"])
+    popular = popular.filter(reaches(F.col("base") + F.col("weight") * F.col("micro")))
     # Unsold items follow in id order; needed only where the sold ones may not suffice.
     by_id = Window.partitionBy("category", "sg").orderBy("menu_item_id")
-    deepest = slots.filter("sold < reach").agg(F.max(F.col("reach") + F.col("sold"))).scalar()
-    shelf = menu.select("category", "sg", "menu_item_id", F.row_number().over(by_id).cast("bigint").alias("depth")).filter(
-        F.col("depth") <= deepest)
+    short = open_slots.filter((F.col("sold") < F.col("reach")) & reaches(F.col("base")))
+    shelf = menu.select("category", "sg", "menu_item_id", F.row_number().over(by_id).cast("bigint").alias("depth"))
     sold_items = popularity.filter(F.col("popularity") > 0).select("unit_id", "menu_item_id")
-    quiet = slots.filter("sold < reach").withColumn("depth", at(F.col("reach") + F.col("sold"))).join(
-        shelf, ["category", "sg", "depth"]).join(sold_items, ["unit_id", "menu_item_id"], "left_anti").withColumn(
-        "popularity", F.lit(0.0))
-    cols = ["request_id", "n", "tier", "filled", "has_drinks", "anchor", "category", "complement", "affinity",
-            "menu_item_id", "popularity"]
+    quiet = short.withColumn("depth", at(F.col("reach") + F.col("sold"))).join(shelf, ["category", "sg", "depth"]).join(
+        sold_items, ["unit_id", "menu_item_id"], "left_anti").withColumn("micro", zero)
+    cols = ["request_id", "n", "tier", "filled", "has_drinks", "anchor", "category", "complement", "base", "weight",
+            "menu_item_id", "micro"]
     pairs = popular.select(*cols).unionByName(quiet.select(*cols)).join(cart, ["request_id", "menu_item_id"], "left_anti")
-    scored = pairs.withColumn("score", heuristic_score(F.col("filled"), F.col("complement"), F.col("affinity"),
-                                                       F.col("popularity")))
+    exact = half_up(F.col("base") + F.col("weight") * F.col("micro"), F.lit(100)) / F.lit(float(MICRO))
+    scored = pairs.withColumn("score", clamp(exact, 0.0, 1.0))
     best = Window.partitionBy("request_id").orderBy(F.col("score").desc(), "menu_item_id")
     top = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= MAX_N).filter("rank <= n")
     reason = reco_reason(F.col("category"), F.col("filled"), F.col("complement"), F.col("anchor"), F.col("has_drinks"),

@@ -233,6 +233,13 @@ def otel_delivery_order(base: DataFrame) -> DataFrame:
         F.lit("otel").alias("source"))
 
 
+def as_envelope(rows: DataFrame) -> DataFrame:
+    """Rows in the order envelope's declared columns; absent ones are NULL."""
+    have = set(rows.columns)
+    return rows.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+                         for f in schemas.ORDER_EVENTS.fields])
+
+
 def reshape_orders(logs: DataFrame, spans: DataFrame, unit: DataFrame, since: Column | None = None) -> DataFrame:
     """All five event types in the order envelope's declared columns."""
     base = order_base(logs, spans, unit, since)
@@ -242,6 +249,4 @@ def reshape_orders(logs: DataFrame, spans: DataFrame, unit: DataFrame, since: Co
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
-    have = set(out.columns)
-    return out.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-                        for f in schemas.ORDER_EVENTS.fields])
+    return as_envelope(out)

@@ -8,7 +8,7 @@ from platelake.functions import weather as wx
 from platelake.functions.ids import make_id
 from platelake.operators import derive, enrich, gold, silver, telemetry
 from platelake.plans import payload_feeds
-from platelake.plans.catalog import Tables, profile_events
+from platelake.plans.catalog import GIVEN, Tables, profile_events
 from platelake.plans.duck import HU, I, NOW_ORD, S, TODAY, cases, fx, mid, sha
 from platelake.plans.registry import query
 from platelake.sources import envelope, payloads, sinks
@@ -155,9 +155,8 @@ class Streamed(Tables):
     def raw(self, name):
         if name != "events":
             return super().raw(name)
-        schema = self.spark.read.parquet(self.path("events")).schema
-        # The folder form also covers a table that is a single file.
-        return envelope.read_stream(self.spark, self.path("events") + "*", schema).withColumn(
+        # The wildcard also covers a table that is a single file.
+        return envelope.read_stream(self.spark, self.path("events") + "*", GIVEN["events"]).withColumn(
             "ts", F.col("ts").cast("timestamp"))
 
 

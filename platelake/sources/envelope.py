@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def read_batch(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+def read_batch(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
     """Parquet table; a declared schema fills columns missing from older files with NULL."""
     reader = spark.read
     return (reader.schema(schema) if schema is not None else reader).parquet(path)
 
 
-def read_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_stream(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """The same table as a stream of appended files."""
     return spark.readStream.schema(schema).parquet(path)
 

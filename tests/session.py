@@ -8,6 +8,7 @@ def spark_session() -> SparkSession:
         SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', '8')}]").appName("platelake-tests")
         .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.host", "127.0.0.1").config("spark.driver.bindAddress", "127.0.0.1").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
