@@ -113,31 +113,27 @@ def popularity_pools(popularity: DataFrame, menu_item: DataFrame, suppress=SUPPR
         (F.col("better") + F.row_number().over(same)).alias("depth"))
 
 
-def _slots(suppress) -> list[tuple[str, str, str]]:
-    """(category, suppression group, column suffix) of every slot."""
-    return [(c, s, f"{c}_{i}") for c in CATEGORIES for i, s in enumerate(("", *suppress))]
-
-
 def _cart_facts(cart: DataFrame, menu: DataFrame, suppress) -> DataFrame:
-    """Per request: categories held, items held per slot, subcategories blocked."""
+    """Per request: categories present, unrestricted items held per category, subcategories present."""
     known = cart.join(menu.select("menu_item_id", "category", "sg"), "menu_item_id")
     cat, sg = F.col("category"), F.col("sg")
     return known.groupBy("request_id").agg(
-        *[F.count_if((cat == c) & (sg == s)).alias(f"held_{x}") for c, s, x in _slots(suppress)],
-        *[F.count_if(sg == s).alias(f"block_{i + 1}") for i, s in enumerate(suppress)])
+        *[F.bool_or(cat == c).alias(f"has_{c}") for c in CATEGORIES],
+        *[F.count_if((cat == c) & (sg == "")).alias(f"held_{c}") for c in CATEGORIES],
+        *[F.bool_or(sg == s).alias(f"block_{i}") for i, s in enumerate(suppress)])
+
+
+def _slot_facts(pools: DataFrame) -> DataFrame:
+    """Per unit and slot: items sold and the best popularity."""
+    return pools.groupBy("unit_id", "category", "sg").agg(F.count(F.lit(1)).alias("sold"), F.max("micro").alias("best"))
 
 
-def _unit_tops(pools: DataFrame, suppress) -> DataFrame:
-    """Per unit and slot: the best MAX_N popularities, best first, and how many items sold."""
-    first = Window.partitionBy("unit_id", "category", "sg").orderBy(F.col("micro").desc(), "menu_item_id")
-    best = pools.withColumn("i", F.row_number().over(first)).filter(F.col("i") <= MAX_N).groupBy(
-        "unit_id", "category", "sg").agg(F.sort_array(F.collect_list("micro"), asc=False).alias("tops"))
-    sold = pools.groupBy("unit_id", "category", "sg").agg(F.count(F.lit(1)).alias("sold"))
-    both = best.join(sold, ["unit_id", "category", "sg"])
-    here = lambda c, s, v: F.first(F.when((F.col("category") == c) & (F.col("sg") == s), F.col(v)), ignorenulls=True)
-    return both.groupBy("unit_id").agg(
-        *[here(c, s, "tops").alias(f"tops_{x}") for c, s, x in _slots(suppress)],
-        *[here(c, s, "sold").alias(f"sold_{x}") for c, s, x in _slots(suppress)])
+def _unit_tops(pools: DataFrame) -> DataFrame:
+    """Per unit and category: the best MAX_N unrestricted popularities, best first."""
+    first = Window.partitionBy("unit_id", "category").orderBy(F.col("micro").desc(), "menu_item_id")
+    best = pools.filter(F.col("sg") == "").withColumn("i", F.row_number().over(first)).filter(F.col("i") <= MAX_N)
+    return best.groupBy("unit_id").agg(*[F.sort_array(F.collect_list(
+        F.when(F.col("category") == c, F.col("micro"))), asc=False).alias(f"tops_{c}") for c in CATEGORIES])
 
 
 def rank_recommendations(requests: DataFrame, cart: DataFrame, popularity: DataFrame, menu_item: DataFrame,
@@ -148,59 +144,48 @@ def rank_recommendations(requests: DataFrame, cart: DataFrame, popularity: DataF
     start).  ``cart``: request_id, menu_item_id.  Items in the cart and doubled
     subcategories are left out; score descending, then id.
 
-    A slot is one category and suppression group.  The n-th best item of any one
-    slot bounds the answer from below, so slots and depths that cannot reach the
-    bound are dropped before any item is joined.
+    A slot is one category and suppression group.  The n-th best item of any
+    category bounds the answer from below, so slots and depths that cannot reach
+    the bound are dropped before any item is joined.  A suppression group that
+    the cart touches is closed, so only unrestricted slots hold cart items.
     """
     menu = menu_item.select("menu_item_id", "item_name", "category", "subcategory").withColumn(
         "sg", suppress_key(F.col("subcategory"), suppress))
     cart = cart.select("request_id", "menu_item_id").distinct()
     pools = popularity_pools(popularity, menu_item, suppress)
-    slots = _slots(suppress)
+    zero, no = F.lit(0).cast("bigint"), F.lit(False)
     n = F.least(F.lit(MAX_N), F.greatest(F.lit(1), F.coalesce("n", F.lit(DEFAULT_N))))
-    zero = F.lit(0).cast("bigint")
-    head = (requests.withColumn("n", n).join(_cart_facts(cart, menu, suppress), "request_id", "left")
-            .join(_unit_tops(pools, suppress), "unit_id", "left"))
-    head = head.withColumns({f"has_{c}": F.coalesce(sum((F.col(f"held_{x}") for k, _, x in slots if k == c), zero), zero) > 0
-                             for c in CATEGORIES})
-    head = head.withColumn("filled", has_basket())
+    head = requests.join(_cart_facts(cart, menu, suppress), "request_id", "left").join(
+        _unit_tops(pools), "unit_id", "left").withColumns({
+            "n": n, **{f"has_{c}": F.coalesce(f"has_{c}", no) for c in CATEGORIES},
+            **{f"held_{c}": F.coalesce(f"held_{c}", zero) for c in CATEGORIES},
+            **{f"liked_{c}": fixed(F.coalesce(f"affinity_{c}", F.lit(0.0)), MICRO) for c in CATEGORIES}})
+    head = head.withColumns({"filled": has_basket(), **{f"comp_{c}": complement_score(c) for c in CATEGORIES}})
     filled = F.col("filled")
-    weight = F.when(filled, F.lit(20)).otherwise(F.lit(45))
-    present = F.coalesce(*[F.when(F.col(f"has_{c}"), F.lit(c)) for c in sorted(CATEGORIES)])
-    # The request's part of the score, in hundredths of a millionth.
-    base = {c: F.when(filled, 55 * fixed(complement_score(c), MICRO) + 25 * fixed(F.coalesce(f"affinity_{c}", F.lit(0.0)), MICRO))
-            .otherwise(55 * fixed(F.coalesce(f"affinity_{c}", F.lit(0.0)), MICRO)) for c in CATEGORIES}
-    head = head.select(
-        "request_id", "unit_id", "n", "tier", "filled", "has_drinks", present.alias("anchor"), weight.alias("weight"),
-        *[base[c].alias(f"base_{c}") for c in CATEGORIES], *[complement_score(c).alias(f"comp_{c}") for c in CATEGORIES],
-        *[F.coalesce(f"held_{x}", zero).alias(f"held_{x}") for _, _, x in slots],
-        *[F.coalesce(f"sold_{x}", zero).alias(f"sold_{x}") for _, _, x in slots],
-        *[F.col(f"tops_{x}") for _, _, x in slots],
-        *[(F.coalesce(f"block_{i + 1}", zero) > 0).alias(f"block_{i + 1}") for i in range(len(suppress))])
-
-    def blocked(x: str) -> Column:
-        i = x.rpartition("_")[2]
-        return F.lit(False) if i == "0" else F.col(f"block_{i}")
-
-    def nth(c: str, x: str) -> Column:
-        at = F.get(f"tops_{x}", (F.col("n") + F.col(f"held_{x}") - 1).cast("int"))
-        return F.when(~blocked(x), F.col(f"base_{c}") + F.col("weight") * at)
-
-    bound = F.coalesce(F.greatest(F.lit(-1).cast("bigint"), *[nth(c, x) for c, _, x in slots]), F.lit(-1).cast("bigint"))
-    head = head.withColumn("bound", bound)
+    # The request's part of a score, in hundredths of a millionth.
+    head = head.withColumns({
+        "weight": F.when(filled, 20).otherwise(45).cast("bigint"),
+        "anchor": F.coalesce(*[F.when(F.col(f"has_{c}"), F.lit(c)) for c in sorted(CATEGORIES)]),
+        **{f"base_{c}": F.when(filled, 55 * fixed(f"comp_{c}", MICRO) + 25 * F.col(f"liked_{c}")).otherwise(
+            55 * F.col(f"liked_{c}")) for c in CATEGORIES}})
+    nth = [F.col(f"base_{c}") + F.col("weight") * F.get(f"tops_{c}", (F.col("n") + F.col(f"held_{c}") - 1).cast("int"))
+           for c in CATEGORIES]
+    bound = F.coalesce(F.greatest(*nth), F.lit(-1))
     slot = F.array(*[F.struct(
         F.lit(c).alias("category"), F.lit(s).alias("sg"), F.col(f"comp_{c}").alias("complement"),
-        F.col(f"base_{c}").alias("base"), F.col(f"held_{x}").alias("held"), F.col(f"sold_{x}").alias("sold"),
-        F.coalesce(F.get(f"tops_{x}", F.lit(0)), zero).alias("best"), blocked(x).alias("blocked")) for c, s, x in slots])
+        F.col(f"base_{c}").alias("base"), (F.col("n") + (F.col(f"held_{c}") if s == "" else zero)).alias("reach"),
+        (F.coalesce(f"block_{suppress.index(s)}", no) if s else no).alias("closed"))
+        for c in CATEGORIES for s in ("", *suppress)])
     # A rounded score may reach a bound that the exact one misses by less than a millionth.
     reaches = lambda part: part + F.lit(100) >= F.col("bound")
-    open_slots = head.select("request_id", "unit_id", "n", "tier", "filled", "has_drinks", "anchor", "weight", "bound",
-                             F.explode(slot).alias("s")).select("*", "s.*").drop("s").filter(~F.col("blocked")).withColumn(
-        "reach", F.col("n") + F.col("held"))
+    keep = ["request_id", "unit_id", "n", "tier", "filled", "has_drinks", "anchor", "weight"]
+    open_slots = head.select(*keep, bound.alias("bound"), F.explode(slot).alias("s")).select("*", "s.*").filter(
+        ~F.col("closed")).join(_slot_facts(pools), ["unit_id", "category", "sg"], "left").withColumns(
+        {"sold": F.coalesce("sold", zero), "best": F.coalesce("best", zero)}).filter(
+        reaches(F.col("base") + F.col("weight") * F.col("best")))
     at = lambda upto: F.explode(F.sequence(F.lit(1).cast("bigint"), upto.cast("bigint")))
-    popular = open_slots.filter(reaches(F.col("base") + F.col("weight") * F.col("best")) & (F.col("sold") > 0)).withColumn(
-        "depth", at(F.col("reach"))).join(pools, ["unit_id", "category", "sg", "depth"])
-    popular = popular.filter(reaches(F.col("base") + F.col("weight") * F.col("micro")))
+    popular = open_slots.filter(F.col("sold") > 0).withColumn("depth", at(F.col("reach"))).join(
+        pools, ["unit_id", "category", "sg", "depth"]).filter(reaches(F.col("base") + F.col("weight") * F.col("micro")))
     # Unsold items follow in id order; needed only where the sold ones may not suffice.
     by_id = Window.partitionBy("category", "sg").orderBy("menu_item_id")
     short = open_slots.filter((F.col("sold") < F.col("reach")) & reaches(F.col("base")))

@@ -17,6 +17,7 @@ from platelake import schemas
 from platelake.functions.ids import make_id
 from platelake.functions.loyalty import points_earned, tier_for_spend
 from platelake.operators import derive, enrich, features, silver, views
+from platelake.sources import sinks
 
 WASTE_CATEGORIES = ("overproduction", "spoilage", "theft", "expired", "damaged")
 TENDERS = ("credit_card", "digital_wallet", "loyalty_redemption", "cash")
@@ -498,6 +499,20 @@ class Tables:
     def item_popularity(self) -> DataFrame:
         return features.item_popularity(self.order_item)
 
+    @cached_property
+    def feature_tables(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Customer, store and popularity features as written tables.
+
+        The recommender reads each of them several times, so they are stored
+        once, as in production, instead of being recomputed per use.
+        """
+        out = []
+        for name in ("customer_features", "store_features", "item_popularity"):
+            path = sinks.fresh(self.spark, name)
+            sinks.overwrite(getattr(self, name), path)
+            out.append(self.spark.read.parquet(path))
+        return tuple(out)
+
     @cached_property
     def store_features(self) -> DataFrame:
         return features.store_features(self.guest_order, self.order_item, self.unit, self.menu_item)

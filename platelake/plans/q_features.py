@@ -58,7 +58,8 @@ def order_cart(t):
 
 
 def order_requests(t):
-    known = t.customer_features.select("profile_id", "tier", *[f"affinity_{c}" for c in CATEGORIES])
+    customers, _, _ = t.feature_tables
+    known = customers.select("profile_id", "tier", *[f"affinity_{c}" for c in CATEGORIES])
     return t.guest_order.select(F.col("guest_order_id").alias("request_id"), "unit_id", "profile_id",
                                 (F.col("guest_order_id") % 13).cast("int").alias("n")).join(known, "profile_id", "left")
 
@@ -111,7 +112,7 @@ query("suppress_subcategory", f"""SELECT DISTINCT request_id, subcategory FROM {
 REQ = "(SELECT guest_order_id request_id, unit_id, CAST(guest_order_id%13 AS INTEGER) n, tier, " + ", ".join(
     f"affinity_{c}" for c in CATEGORIES) + " FROM guest_order LEFT JOIN customer_features USING (profile_id))"
 query("rank_recommendations", ranked_sql(REQ, CART))(lambda t: recommend.rank_recommendations(
-    order_requests(t), order_cart(t), t.item_popularity, t.menu_item, SUPPRESS))
+    order_requests(t), order_cart(t), t.feature_tables[2], t.menu_item, SUPPRESS))
 SIZE = "(SELECT count(*) FROM menu_item)"
 BATCH = "(SELECT event_id request_id, user_id%25 unit_id, CASE WHEN event_id%3<>0 THEN CAST(event_id%14 AS INTEGER) END n, tier, profile_id IS NOT NULL personalized, " + ", ".join(
     f"affinity_{c}" for c in CATEGORIES) + " FROM events LEFT JOIN customer_features ON profile_id=user_id)"
@@ -119,7 +120,7 @@ BATCH_CART = f"""(SELECT event_id request_id, (event_id*7)%{SIZE} menu_item_id F
       SELECT event_id, (event_id*13+1)%{SIZE} FROM events WHERE event_id%5<=1 UNION
       SELECT event_id, (event_id*3)%{SIZE} FROM events WHERE event_id%4=0 AND (event_id*3)%{SIZE}<>0)"""
 query("score_batch", ranked_sql(BATCH, BATCH_CART, ", personalized"))(lambda t: recommend.score_batch(
-    event_requests(t).join(t.customer_features, "profile_id", "left"), t.item_popularity, t.menu_item, SUPPRESS))
+    event_requests(t).join(t.feature_tables[0], "profile_id", "left"), t.feature_tables[2], t.menu_item, SUPPRESS))
 
 HELD = """(SELECT guest_order_id request_id, order_item_id, menu_item_id FROM (SELECT *, count(*) OVER (PARTITION BY guest_order_id) k
       FROM order_item) WHERE k>=2 QUALIFY row_number() OVER (PARTITION BY guest_order_id ORDER BY order_item_id DESC)=1)"""
@@ -148,8 +149,7 @@ query("train_ranker")(lambda t: train_ranker(t))
 
 
 def training(t):
-    return recommend.training_set(t.guest_order, t.order_item, t.customer_features, t.store_features, t.item_popularity,
-                                  t.menu_item)
+    return recommend.training_set(t.guest_order, t.order_item, *t.feature_tables, t.menu_item)
 
 
 def train_ranker(t, trees: int = 100):
