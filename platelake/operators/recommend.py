@@ -91,6 +91,23 @@ def suppressed(cart: DataFrame, menu_item: DataFrame, suppress=SUPPRESS) -> Data
         F.col("subcategory").isin(*suppress)).select("request_id", "subcategory").distinct()
 
 
+def numbered(rows: DataFrame, by: tuple[str, ...] = (), width: int = 65_536, name: str = "slot") -> DataFrame:
+    """Add 0, 1, 2, ... in ``menu_item_id`` order within each ``by`` group.
+
+    Ids are ranked inside fixed id ranges, which hold at most ``width`` ids each,
+    and shifted by the sizes of the group's earlier ranges.  No task sorts a whole
+    group, however many items share it.
+    """
+    key = [*by, "id_range"]
+    ranged = rows.withColumn("id_range", F.floor(F.col("menu_item_id") / width))
+    earlier = Window.partitionBy(*by).orderBy("id_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy(*key).agg(F.count(F.lit(1)).alias("c")).select(
+        *key, F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("id_offset"))
+    inside = Window.partitionBy(*key).orderBy("menu_item_id")
+    return ranged.withColumn("id_rank", F.row_number().over(inside)).join(offsets, key).withColumn(
+        name, F.col("id_offset") + F.col("id_rank") - 1).drop("id_range", "id_rank", "id_offset")
+
+
 def popularity_pools(popularity: DataFrame, menu_item: DataFrame, suppress=SUPPRESS) -> DataFrame:
     """Sold items of every unit with their depth in the unit's popularity order.
 
@@ -107,10 +124,9 @@ def popularity_pools(popularity: DataFrame, menu_item: DataFrame, suppress=SUPPR
     surely = group.orderBy(F.col("micro").desc()).rangeBetween(Window.unboundedPreceding, -TIE_MARGIN - 1)
     levels = levels.select("unit_id", "category", "sg", "micro",
                            F.coalesce(F.sum("level_size").over(surely), F.lit(0)).alias("better"))
-    same = Window.partitionBy("unit_id", "category", "sg", "micro").orderBy("menu_item_id")
-    return items.join(levels, ["unit_id", "category", "sg", "micro"]).select(
-        "unit_id", "category", "sg", "menu_item_id", "micro",
-        (F.col("better") + F.row_number().over(same)).alias("depth"))
+    level = ("unit_id", "category", "sg", "micro")
+    return numbered(items, level, name="equals").join(levels, list(level)).select(
+        "unit_id", "category", "sg", "menu_item_id", "micro", (F.col("better") + F.col("equals") + 1).alias("depth"))
 
 
 def _cart_facts(cart: DataFrame, menu: DataFrame, suppress) -> DataFrame:
@@ -187,9 +203,8 @@ def rank_recommendations(requests: DataFrame, cart: DataFrame, popularity: DataF
     popular = open_slots.filter(F.col("sold") > 0).withColumn("depth", at(F.col("reach"))).join(
         pools, ["unit_id", "category", "sg", "depth"]).filter(reaches(F.col("base") + F.col("weight") * F.col("micro")))
     # Unsold items follow in id order; needed only where the sold ones may not suffice.
-    by_id = Window.partitionBy("category", "sg").orderBy("menu_item_id")
     short = open_slots.filter((F.col("sold") < F.col("reach")) & reaches(F.col("base")))
-    shelf = menu.select("category", "sg", "menu_item_id", F.row_number().over(by_id).cast("bigint").alias("depth"))
+    shelf = numbered(menu.select("category", "sg", "menu_item_id"), ("category", "sg")).withColumn("depth", F.col("slot") + 1).drop("slot")
     sold_items = popularity.filter(F.col("popularity") > 0).select("unit_id", "menu_item_id")
     quiet = short.withColumn("depth", at(F.col("reach") + F.col("sold"))).join(shelf, ["category", "sg", "depth"]).join(
         sold_items, ["unit_id", "menu_item_id"], "left_anti").withColumn("micro", zero)
@@ -272,27 +287,13 @@ def negative_items(order_item: DataFrame, orders: DataFrame, catalogue: DataFram
         "guest_order_id", "menu_item_id")
 
 
-def numbered(menu_item: DataFrame, width: int = 65_536) -> DataFrame:
-    """Menu ids numbered 0..size-1 in id order, without one global sort.
-
-    Ids are ranked inside fixed id ranges, which hold at most ``width`` ids each,
-    and shifted by the sizes of the earlier ranges.
-    """
-    rows = menu_item.select("menu_item_id", F.floor(F.col("menu_item_id") / width).alias("b"))
-    sizes = rows.groupBy("b").agg(F.count(F.lit(1)).alias("c"))
-    offsets = sizes.select("b", (F.sum("c").over(Window.orderBy("b")) - F.col("c")).alias("offset"))
-    rank = F.row_number().over(Window.partitionBy("b").orderBy("menu_item_id"))
-    return rows.withColumn("r", rank).join(offsets, "b").select(
-        (F.col("offset") + F.col("r") - 1).alias("slot"), "menu_item_id")
-
-
 def training_set(guest_order, order_item, customers, stores, popularity, menu_item, catalogue=None) -> DataFrame:
     """Label 1: the held-out last item; label 0: three items not in the order."""
     held = held_out(order_item)
     basket = order_item.join(held.select("order_item_id"), "order_item_id", "left_anti").select(
         F.col("guest_order_id").alias("request_id"), "menu_item_id").join(
         held.select(F.col("guest_order_id").alias("request_id")), "request_id", "left_semi").distinct()
-    catalogue = numbered(menu_item) if catalogue is None else catalogue
+    catalogue = numbered(menu_item.select("menu_item_id")) if catalogue is None else catalogue
     pos = held.select("guest_order_id", "menu_item_id", F.lit(1.0).alias("label"))
     neg = negative_items(order_item, held, catalogue).withColumn("label", F.lit(0.0))
     pairs = pos.unionByName(neg).join(guest_order.select("guest_order_id", "profile_id", "unit_id"), "guest_order_id")

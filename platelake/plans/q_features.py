@@ -134,7 +134,7 @@ NEG = f"""(SELECT request_id, menu_item_id FROM (SELECT request_id, step, ({mid(
 PAIRS = f"(SELECT request_id, menu_item_id, 1.0::DOUBLE AS label FROM {HELD} UNION ALL SELECT *, 0.0::DOUBLE FROM {NEG})"
 TIER_ORD = "CASE tier " + " ".join(f"WHEN '{n}' THEN {v}" for n, v in recommend.TIER_ORDINALS.items()) + " ELSE 0 END::DOUBLE"
 query("negative_items", f"SELECT request_id guest_order_id, menu_item_id FROM {NEG}")(
-    lambda t: recommend.negative_items(t.order_item, recommend.held_out(t.order_item), recommend.numbered(t.menu_item)))
+    lambda t: recommend.negative_items(t.order_item, recommend.held_out(t.order_item), recommend.numbered(t.menu_item.select("menu_item_id"))))
 query("build_feature_vector", f"""SELECT request_id, menu_item_id, label, coalesce({comp_sql()},0)/10.0::DOUBLE complement_score,
       {AFF}::DOUBLE cust_cat_affinity, coalesce(popularity,0.0::DOUBLE) store_popularity, coalesce(aov,0.0::DOUBLE) cust_aov,
       coalesce(store_aov,0.0::DOUBLE) store_aov, ({TIER_ORD.replace('::DOUBLE', '')})::DOUBLE tier_ord, """ + ", ".join(

@@ -134,13 +134,13 @@ def test_training_pairs(spark, menu):
                                   "order_item_id bigint, guest_order_id bigint, menu_item_id bigint")
     held = recommend.held_out(items)
     assert sorted((r.guest_order_id, r.menu_item_id) for r in held.collect()) == [(1, 30), (3, 60)]
-    neg = recommend.negative_items(items, held, recommend.numbered(menu, 2)).collect()
+    neg = recommend.negative_items(items, held, recommend.numbered(menu.select("menu_item_id"), width=2)).collect()
     assert sorted((r.guest_order_id, r.menu_item_id) for r in neg) == [(1, 53), (1, 54), (1, 60)]
 
 
 def test_numbering_is_dense_and_ordered(spark):
     df = spark.createDataFrame([(i * 7,) for i in range(50)], "menu_item_id bigint")
-    got = sorted((r.menu_item_id, r.slot) for r in recommend.numbered(df, 16).collect())
+    got = sorted((r.menu_item_id, r.slot) for r in recommend.numbered(df, width=16).collect())
     assert got == [(i * 7, i) for i in range(50)]
 
 
