@@ -9,29 +9,11 @@ from pyspark.sql import functions as F
 
 from platelake import schemas
 from platelake.operators.silver import latest
+from platelake.sources.workspace import fresh, workspace  # noqa: F401
 
 ORDER_TYPES = tuple(k for k, v in schemas.ROUTES.items() if v == "order_events")
 
 
-def workspace(spark: SparkSession) -> str:
-    """Shared folder of the cluster; a temporary one only where none is named."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    import tempfile
-
-    path = tempfile.mkdtemp(prefix="platelake-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def fresh(spark: SparkSession, name: str) -> str:
-    """A new folder name in the workspace."""
-    import uuid
-
-    return f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def routed(rows: DataFrame) -> DataFrame:
     """Add the target table of each row and the default source of order events.
 
