@@ -21,5 +21,5 @@ def make_id(*parts) -> Column:
 
 
 def event_key(*parts) -> Column:
-    """16-character hex key of :func:`digest`."""
-    return F.substring(digest(*parts), 1, 16)
+    """16-character hex key of :func:`digest`; a NULL part counts as empty, so that it keeps its place."""
+    return F.substring(digest(*[F.coalesce(_part(p), F.lit("")) for p in parts]), 1, 16)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Lifetime-spend floor and points multiplier of each tier.
-TIERS = (("platinum", 3500, 2.0), ("gold", 1500, 1.5), ("silver", 500, 1.25), ("bronze", 0, 1.0))
+TIERS = (("bronze", 0, 1.0), ("silver", 500, 1.25), ("gold", 1500, 1.5), ("platinum", 3500, 2.0))
 
 # Multiplier table of the governance layer (a different table).
 GOVERNANCE_MULTIPLIERS = {"bronze": 1.0, "silver": 1.5, "gold": 2.0, "elite": 3.0}
@@ -15,7 +15,7 @@ GOVERNANCE_MULTIPLIERS = {"bronze": 1.0, "silver": 1.5, "gold": 2.0, "elite": 3.
 def tier_for_spend(spend: Column) -> Column:
     """Highest tier whose floor the spend reaches; bronze otherwise."""
     out = F.lit("bronze")
-    for name, floor, _ in reversed(TIERS):
+    for name, floor, _ in TIERS:
         out = F.when(spend >= floor, F.lit(name)).otherwise(out)
     return out
 

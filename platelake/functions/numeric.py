@@ -45,3 +45,14 @@ def ratio(num: Column, den: Column) -> Column:
 
 def clamp(col: Column, low: float, high: float) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), col))
+
+
+def half_up(num: Column, den: Column) -> Column:
+    """Integer ``num / den`` rounded half up, exact; both non-negative BIGINT."""
+    twice = 2 * num.cast("bigint") + den.cast("bigint")
+    return _div(twice, 2 * den.cast("bigint"))
+
+
+def _div(num: Column, den: Column) -> Column:
+    """Whole-number quotient of two BIGINT columns, without doubles."""
+    return ((num - F.pmod(num, den)).cast("decimal(20,0)") / den.cast("decimal(20,0)")).cast("bigint")

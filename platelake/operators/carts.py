@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from platelake.functions.numeric import fixed
-from platelake.operators.telemetry import half_up
+from platelake.functions.numeric import fixed, half_up
 
 TAX_PERCENT = 9
 
@@ -48,19 +47,14 @@ def recent_orders(guest_order: DataFrame, limit: int = 5) -> DataFrame:
     ).filter(F.col("recency") <= limit)
 
 
-def occasions(unit: DataFrame, events: DataFrame, month: str | None = None, pool: int = 200,
-              limit: int = 5) -> DataFrame:
+def occasions(unit: DataFrame, events: DataFrame, month: str | None = None, limit: int = 5) -> DataFrame:
     """First events of each unit's metro: those of ``month`` (yyyy-MM) if it has any, else the earliest.
 
-    Only the first ``pool`` events of a metro are considered.
+    Events of the month sort before the others, so one ranking that keeps ``limit`` rows finds both cases.
     """
-    order = [F.col("event_date"), F.col("event_id")]
-    early = Window.partitionBy("metro_area").orderBy(*order)
-    rows = events.withColumn("i", F.row_number().over(early)).filter(F.col("i") <= pool)
-    if month is not None:
-        hit = F.col("event_date").cast("string").startswith(month)
-        rows = rows.withColumn("hit", hit).withColumn("any_hit", F.max("hit").over(Window.partitionBy("metro_area")))
-        rows = rows.filter(F.col("hit") | ~F.col("any_hit"))
-    rows = rows.withColumn("occasion", F.row_number().over(early)).filter(F.col("occasion") <= limit)
+    hit = F.lit(False) if month is None else F.coalesce(F.col("event_date").cast("string").startswith(month), F.lit(False))
+    early = Window.partitionBy("metro_area").orderBy(F.col("hit").desc(), "event_date", "event_id")
+    rows = events.withColumn("hit", hit).withColumn("occasion", F.row_number().over(early)).filter(F.col("occasion") <= limit)
+    few = rows.withColumn("any_hit", F.max("hit").over(Window.partitionBy("metro_area"))).filter(F.col("hit") | ~F.col("any_hit"))
     return unit.select("unit_id", "metro_area").join(
-        rows.select("metro_area", "occasion", "event_date", "event_name", "event_category"), "metro_area")
+        few.select("metro_area", "occasion", "event_date", "event_name", "event_category"), "metro_area")

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from platelake.functions.numeric import fixed
-from platelake.operators.telemetry import half_up
+from platelake.functions.numeric import fixed, half_up
 
 # Share of peak volume by hour 0..23 and by weekday Monday..Sunday.
 HOURLY = (0.05, 0.12, 0.10, 0.03, 0.02, 0.02, 0.08, 0.12, 0.15, 0.18, 0.22, 0.55,

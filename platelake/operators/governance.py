@@ -24,9 +24,11 @@ PII_PATTERNS = {
 
 
 def mask_by_tag(df: DataFrame, table: str, masks=None) -> DataFrame:
-    """Mask every column whose class carries a mask."""
+    """Mask every column whose class carries a mask; a table without declared classes is an error, not unmasked."""
     masks = MASKS if masks is None else masks
-    tags = schemas.COLUMN_TAGS.get(table, {})
+    if table not in schemas.COLUMN_TAGS:
+        raise ValueError(f"no column classes are declared for {table}")
+    tags = schemas.COLUMN_TAGS[table]
     return df.withColumns({c: masks[t](F.col(c)) for c, t in tags.items() if t in masks and c in df.columns})
 
 

@@ -13,9 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platelake.functions.ids import make_id
-from platelake.functions.numeric import clamp, fixed
+from platelake.functions.numeric import clamp, fixed, half_up
 from platelake.operators.features import CATEGORIES
-from platelake.operators.telemetry import half_up
 
 # Complement weight of the inner category when the basket holds the outer.
 COMPLEMENTS = {
@@ -340,6 +339,11 @@ def parse_cart(raw: Column) -> Column:
     return F.filter(F.coalesce(ids, F.array().cast("array<bigint>")), lambda i: i.isNotNull())
 
 
+def _whole(field: str) -> Column:
+    """A request field as BIGINT; NULL, NaN and anything else that is no whole number in range is NULL."""
+    return F.col(field).cast("string").try_cast("double").try_cast("bigint")
+
+
 def score_batch(requests: DataFrame, popularity: DataFrame, menu_item: DataFrame, suppress=SUPPRESS) -> DataFrame:
     """Enriched requests -> ranked rows plus whether the request was personalised.
 
@@ -353,19 +357,25 @@ def score_batch(requests: DataFrame, popularity: DataFrame, menu_item: DataFrame
         known = known | _present(a)
     clean = requests.withColumn("personalized", known).withColumns(
         {a: F.when(_present(a), F.col(a)) for a in affinities})
-    viewed = F.col("viewed_product_id")
+    viewed = _whole("viewed_product_id")
     ids = F.concat(parse_cart(F.col("cart_product_ids")),
-                   F.when(viewed.isNotNull() & (viewed != 0), F.array(viewed.cast("bigint")))
+                   F.when(viewed.isNotNull() & (viewed != 0), F.array(viewed))
                    .otherwise(F.array().cast("array<bigint>")))
     cart = clean.select("request_id", F.explode(ids).alias("menu_item_id"))
-    head = clean.select("request_id", F.col("store_id").alias("unit_id"), F.col("num_recommendations").alias("n"),
+    head = clean.select("request_id", _whole("store_id").alias("unit_id"), _whole("num_recommendations").alias("n"),
                         F.when(F.col("personalized"), F.col("tier")).alias("tier"), *affinities)
     ranked = rank_recommendations(head, cart, popularity, menu_item, suppress)
     return ranked.join(clean.select("request_id", "personalized"), "request_id")
 
 
-def as_lists(ranked: DataFrame) -> DataFrame:
-    """One row per request with its at most ten recommendations in order."""
+def as_lists(ranked: DataFrame, requests: DataFrame | None = None) -> DataFrame:
+    """One row per request with its recommendations in order.
+
+    With ``requests`` (request_id, personalized) a request for which nothing is left has an empty list.
+    """
     item = F.struct("rank", "menu_item_id", "item_name", "category", "subcategory", "score", "reason")
-    return ranked.groupBy("request_id", "personalized").agg(
-        F.array_sort(F.collect_list(item)).alias("recommendations"))
+    lists = ranked.groupBy("request_id", "personalized").agg(F.array_sort(F.collect_list(item)).alias("recommendations"))
+    if requests is None:
+        return lists
+    return requests.select("request_id", "personalized").join(lists.drop("personalized"), "request_id", "left").withColumn(
+        "recommendations", F.coalesce("recommendations", F.array()))

@@ -15,39 +15,76 @@ from pyspark.sql import functions as F
 
 from platelake.operators.quality import expect_or_drop
 
-_CAST = {"l": "bigint", "i": "int", "d": "double", "b": "boolean", "t": "timestamp"}
-
-# Output columns of each table; ':x' is the cast applied, none means as is.
-_LAYOUT = {
-    "guest_order": "guest_order_id:l unit_id:l channel order_type order_status profile_id:l "
-                   "member_id:l subtotal:d discount_amount:d tax_amount:d total_amount:d placed_at:t "
-                   "ready_at:t fulfilled_at:t cancelled_at:t financial_period_id:l sos_breach:b",
-    "order_item": "order_item_id:l guest_order_id:l unit_id:l menu_item_id:l quantity:i unit_price:d "
-                  "line_gross_amount:d line_net_amount:d line_discount_amount:d item_status "
-                  "waste_flag:b placed_at:t",
-    "payment": "payment_id:l guest_order_id:l unit_id:l tender_type amount:d settlement_date paid_at:t",
-    "status_event": "status_event_id:l guest_order_id:l unit_id:l prior_state current_state "
-                    "event_timestamp:t elapsed_seconds_in_prior_state:i sos_target_seconds:i "
-                    "is_sos_breach:b",
-    "delivery_order": "delivery_order_id:l guest_order_id:l unit_id:l platform_order_reference "
-                      "estimated_delivery_seconds:i actual_delivery_seconds:i delivery_status",
-    "on_hand_balance": "on_hand_balance_id:l unit_id:l stock_sku quantity_on_hand:d "
-                       "quantity_reserved:d par_level:d snapshot_at:t",
-    "waste_log": "waste_log_id:l unit_id:l stock_sku waste_quantity:d waste_category waste_cost:d "
-                 "logged_at:t",
-    "receiving_order": "receiving_order_id:l unit_id:l stock_sku received_quantity:d delivery_date "
-                       "quality_inspection_result temperature_check_pass:b",
-    "replenishment_order": "replenishment_order_id:l unit_id:l stock_sku order_type order_quantity:d "
-                           "order_status ordered_at:t",
-    "guest_profile": "guest_profile_id:l unit_id:l first_name last_name email phone zip_code "
-                     "created_date account_status",
-    "digital_account": "digital_account_id:l guest_profile_id:l account_status created_date",
-    "loyalty_transaction": "loyalty_transaction_id:l member_id:l guest_order_id:l unit_id:l "
-                           "transaction_type points_delta:i transaction_at:t tier",
-    "reward_redemption": "reward_redemption_id:l member_id:l guest_order_id:l unit_id:l "
-                         "points_redeemed:i reward_value:d redeemed_at:t",
-    "shift": "shift_id:l unit_id:l employee_id:l shift_label shift_start:t shift_end:t status date",
-    "time_punch": "time_punch_id:l employee_id:l unit_id:l punch_in:t punch_out:t hours_worked:d",
+# Columns and types of each table.
+COLUMNS = {
+    "guest_order": {
+        "guest_order_id": "bigint", "unit_id": "bigint", "channel": "string", "order_type": "string",
+        "order_status": "string", "profile_id": "bigint", "member_id": "bigint", "subtotal": "double",
+        "discount_amount": "double", "tax_amount": "double", "total_amount": "double", "placed_at": "timestamp",
+        "ready_at": "timestamp", "fulfilled_at": "timestamp", "cancelled_at": "timestamp",
+        "financial_period_id": "bigint", "sos_breach": "boolean",
+    },
+    "order_item": {
+        "order_item_id": "bigint", "guest_order_id": "bigint", "unit_id": "bigint", "menu_item_id": "bigint",
+        "quantity": "int", "unit_price": "double", "line_gross_amount": "double", "line_net_amount": "double",
+        "line_discount_amount": "double", "item_status": "string", "waste_flag": "boolean",
+        "placed_at": "timestamp",
+    },
+    "payment": {
+        "payment_id": "bigint", "guest_order_id": "bigint", "unit_id": "bigint", "tender_type": "string",
+        "amount": "double", "settlement_date": "string", "paid_at": "timestamp",
+    },
+    "status_event": {
+        "status_event_id": "bigint", "guest_order_id": "bigint", "unit_id": "bigint", "prior_state": "string",
+        "current_state": "string", "event_timestamp": "timestamp", "elapsed_seconds_in_prior_state": "int",
+        "sos_target_seconds": "int", "is_sos_breach": "boolean",
+    },
+    "delivery_order": {
+        "delivery_order_id": "bigint", "guest_order_id": "bigint", "unit_id": "bigint",
+        "platform_order_reference": "string", "estimated_delivery_seconds": "int",
+        "actual_delivery_seconds": "int", "delivery_status": "string",
+    },
+    "on_hand_balance": {
+        "on_hand_balance_id": "bigint", "unit_id": "bigint", "stock_sku": "string", "quantity_on_hand": "double",
+        "quantity_reserved": "double", "par_level": "double", "snapshot_at": "timestamp",
+    },
+    "waste_log": {
+        "waste_log_id": "bigint", "unit_id": "bigint", "stock_sku": "string", "waste_quantity": "double",
+        "waste_category": "string", "waste_cost": "double", "logged_at": "timestamp",
+    },
+    "receiving_order": {
+        "receiving_order_id": "bigint", "unit_id": "bigint", "stock_sku": "string", "received_quantity": "double",
+        "delivery_date": "string", "quality_inspection_result": "string", "temperature_check_pass": "boolean",
+    },
+    "replenishment_order": {
+        "replenishment_order_id": "bigint", "unit_id": "bigint", "stock_sku": "string", "order_type": "string",
+        "order_quantity": "double", "order_status": "string", "ordered_at": "timestamp",
+    },
+    "guest_profile": {
+        "guest_profile_id": "bigint", "unit_id": "bigint", "first_name": "string", "last_name": "string",
+        "email": "string", "phone": "string", "zip_code": "string", "created_date": "string",
+        "account_status": "string",
+    },
+    "digital_account": {
+        "digital_account_id": "bigint", "guest_profile_id": "bigint", "account_status": "string",
+        "created_date": "string",
+    },
+    "loyalty_transaction": {
+        "loyalty_transaction_id": "bigint", "member_id": "bigint", "guest_order_id": "bigint", "unit_id": "bigint",
+        "transaction_type": "string", "points_delta": "int", "transaction_at": "timestamp", "tier": "string",
+    },
+    "reward_redemption": {
+        "reward_redemption_id": "bigint", "member_id": "bigint", "guest_order_id": "bigint", "unit_id": "bigint",
+        "points_redeemed": "int", "reward_value": "double", "redeemed_at": "timestamp",
+    },
+    "shift": {
+        "shift_id": "bigint", "unit_id": "bigint", "employee_id": "bigint", "shift_label": "string",
+        "shift_start": "timestamp", "shift_end": "timestamp", "status": "string", "date": "string",
+    },
+    "time_punch": {
+        "time_punch_id": "bigint", "employee_id": "bigint", "unit_id": "bigint", "punch_in": "timestamp",
+        "punch_out": "timestamp", "hours_worked": "double",
+    },
 }
 
 EXPECTATIONS = {
@@ -60,10 +97,7 @@ EXPECTATIONS = {
 def typed(events: DataFrame, table: str, ingested_at: Column | str | None = None,
           event_type: str | None = None) -> DataFrame:
     """Rows of one event type, cast to the table's columns, expectations applied."""
-    cols = []
-    for item in _LAYOUT[table].split():
-        name, _, kind = item.partition(":")
-        cols.append(F.col(name).cast(_CAST[kind]).alias(name) if kind else F.col(name))
+    cols = [F.col(name).cast(kind).alias(name) for name, kind in COLUMNS[table].items()]
     stamp = F.current_timestamp() if ingested_at is None else ingested_at
     stamp = F.col(stamp) if isinstance(stamp, str) else stamp
     rows = events.filter(F.col("event_type") == (event_type or table)).select(

@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from platelake import schemas
 from platelake.functions.ids import make_id
+from platelake.functions.numeric import half_up
 
 ORDER_SPAN = "order-tracker received order"
 
-# Bounds, tax rate in per mille, noise prefixes, channel and stage vocabulary.
-SKU_RANGE = (1, 75)
-MEMBER_RANGE = (1, 50_000)
+# Tax rate in per mille, noise prefixes, channel and stage vocabulary.
 TAX_PER_MILLE = 85
 NOISE_PREFIXES = ("fee-test", "c2-verify")
 STAGE_STATES = {
@@ -43,14 +42,14 @@ def parse_skus(raw: Column) -> Column:
                      F.regexp_extract_all(raw, F.lit(r"(\d+)\s*[xX]\s*(\d+)"), F.lit(2)).alias("q")),
         lambda p: F.struct(p["i"].try_cast("bigint").alias("menu_item_id"),
                            p["q"].try_cast("bigint").alias("quantity")))
-    low, high = SKU_RANGE
-    kept = F.filter(found, lambda p: (p["quantity"] > 0) & p["menu_item_id"].between(low, high))
+    kept = F.filter(found, lambda p: (p["quantity"] > 0) & (p["menu_item_id"] > 0))
     return F.coalesce(kept, F.array().cast("array<struct<menu_item_id:bigint,quantity:bigint>>"))
 
 
 def parse_member_id(raw: Column) -> Column:
+    """Positive member number, or NULL; whether the member exists is a join's matter."""
     member = F.trim(raw).try_cast("bigint")
-    return F.when(member.between(*MEMBER_RANGE), member)
+    return F.when(member > 0, member)
 
 
 def is_noise(user_id: Column) -> Column:
@@ -61,7 +60,7 @@ def is_noise(user_id: Column) -> Column:
 
 
 def logs_scan(logs: DataFrame, since: Column | None = None) -> DataFrame:
-    """Order records with a positive amount, newer than ``since``."""
+    """Order records with a positive amount and a time, newer than ``since``."""
     a = F.col("attributes")
     if since is not None:
         logs = logs.filter(since.isNull() | newer_than(F.col("time_unix_nano"), since))
@@ -72,7 +71,7 @@ def logs_scan(logs: DataFrame, since: Column | None = None) -> DataFrame:
         a["app.order.items.count"].try_cast("int").alias("items_count"),
         a["app.shipping.amount"].try_cast("double").alias("shipping_amount"),
         a["app.shipping.tracking.id"].alias("tracking_id"), a["user.id"].alias("user_id"),
-    ).filter(F.col("amount") > 0)
+    ).filter((F.col("amount") > 0) & F.col("event_ts").isNotNull())
 
 
 def spans_scan(spans: DataFrame, log_rows: DataFrame) -> DataFrame:
@@ -104,38 +103,33 @@ def index_spans(span_rows: DataFrame) -> DataFrame:
 
 
 def unit_pools(unit: DataFrame) -> DataFrame:
-    """Numbered units of every state plus one pool of all units (state NULL).
+    """Numbered units of every state (``everyone`` false) and of the whole chain (true).
 
-    The unit dimension is a few rows per store, so numbering it is cheap.
+    The unit dimension is a few rows per store, so numbering it is cheap.  Units without a state are in the pool of the
+    chain only.
     """
-    both = unit.select("state", "unit_id").unionByName(
-        unit.select(F.lit(None).cast("string").alias("state"), "unit_id"))
+    rows = unit.select(F.col("state").alias("pool"), "unit_id", F.explode(F.array(F.lit(False), F.lit(True))).alias("everyone"))
+    rows = rows.filter(F.col("everyone") | F.col("pool").isNotNull())
+    rows = rows.withColumn("pool", F.when(F.col("everyone"), F.lit("")).otherwise(F.col("pool")))
     from pyspark.sql import Window
 
-    by_state = Window.partitionBy("state")
-    return both.select(
-        F.col("state").alias("pool"), "unit_id",
-        (F.row_number().over(by_state.orderBy("unit_id")) - 1).alias("slot"),
-        F.count(F.lit(1)).over(by_state).alias("pool_size"))
+    own = Window.partitionBy("everyone", "pool")
+    return rows.select("everyone", "pool", "unit_id", (F.row_number().over(own.orderBy("unit_id")) - 1).alias("slot"),
+                       F.count(F.lit(1)).over(own).alias("pool_size"))
 
 
 def map_store_to_unit(rows: DataFrame, unit: DataFrame, store: str = "store_key",
                       state: str = "state") -> DataFrame:
     """Add ``unit_id``: a hash slot in the state's pool, or in all units if it has none."""
     pools = unit_pools(unit)
-    sizes = pools.filter(F.col("slot") == 0).select("pool", "pool_size")
-    everyone = sizes.filter(F.col("pool").isNull()).select("pool_size").scalar()
-    sized = rows.join(sizes.filter(F.col("pool").isNotNull()), F.col(state) == F.col("pool"), "left")
-    slotted = sized.withColumn(
-        "slot", F.pmod(make_id("otel-store", F.col(store)), F.coalesce("pool_size", everyone)).cast("int"))
-    keyed = F.coalesce("pool", F.lit(""))
-    return slotted.withColumn("pool", keyed).drop("pool_size").join(
-        pools.select(keyed.alias("pool"), "slot", "unit_id"), ["pool", "slot"]).drop("pool", "slot")
-
-
-def half_up(num: Column, den: Column) -> Column:
-    """Integer ``num / den`` rounded half up; both non-negative BIGINT."""
-    return F.floor((2 * num + den) / (2 * den)).cast("bigint")
+    sizes = pools.filter(F.col("slot") == 0)
+    chain = sizes.filter("everyone").select("pool_size").scalar()
+    by_state = sizes.filter("NOT everyone").select("pool", "pool_size")
+    sized = rows.join(by_state, F.col(state) == F.col("pool"), "left")
+    slotted = sized.withColumns({
+        "slot": F.pmod(make_id("otel-store", F.col(store)), F.coalesce("pool_size", chain)).cast("int"),
+        "everyone": F.col("pool").isNull(), "pool": F.coalesce("pool", F.lit(""))}).drop("pool_size")
+    return slotted.join(pools.drop("pool_size"), ["everyone", "pool", "slot"]).drop("everyone", "pool", "slot")
 
 
 def order_base(logs: DataFrame, spans: DataFrame, unit: DataFrame, since: Column | None = None) -> DataFrame:

@@ -45,7 +45,7 @@ def R(c: str, digits: int) -> str:  # noqa: N802
 
 def HU(num: str, den: str) -> str:  # noqa: N802
     """Integer division rounded half up."""
-    return f"CAST(floor((2*({num})+({den}))/(2*({den}))) AS BIGINT)"
+    return f"CAST((2*CAST({num} AS BIGINT)+CAST({den} AS BIGINT))//(2*CAST({den} AS BIGINT)) AS BIGINT)"
 
 
 def sha(*parts: str) -> str:
@@ -352,7 +352,7 @@ CTES = {
     "unit_pool": """SELECT state pool, unit_id, row_number() OVER (PARTITION BY state ORDER BY unit_id)-1 slot,
         count(*) OVER (PARTITION BY state) n FROM (SELECT state, unit_id FROM unit UNION ALL SELECT '', unit_id FROM unit)""",
     "otel_base": f"""SELECT b.*, p.unit_id FROM (
-        SELECT trace_id, event_ts, tracking_id, CASE WHEN member_id BETWEEN 1 AND 50000 THEN member_id END member_id,
+        SELECT trace_id, event_ts, tracking_id, CASE WHEN member_id>0 THEN member_id END member_id,
         {mid("'otel'", 'trace_id')} guest_order_id, cents, {HU('cents*1000', '1085')} sub,
         coalesce(prep_seconds,0) prep, coalesce(sos_target,1800) target,
         coalesce(prep_seconds,0)>coalesce(sos_target,1800) breach,
@@ -374,7 +374,7 @@ CTES = {
               row_number() OVER (PARTITION BY trace_id ORDER BY pos)-1 i FROM (
               SELECT *, 0 pos, m0 m, q0 q FROM otel_base WHERE m0 IS NOT NULL
               UNION ALL SELECT *, 1, m1, q1 FROM otel_base WHERE m0 IS NOT NULL)
-              WHERE q>0 AND m BETWEEN 1 AND 75)""",
+              WHERE q>0 AND m>0)""",
 }
 
 

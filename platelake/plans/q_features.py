@@ -179,8 +179,7 @@ query("occasions", f"""SELECT unit_id, metro_area, CAST(r AS INTEGER) occasion,
       USING (metro_area) WHERE r<=5""", ("event_date",))(
     lambda t: carts.occasions(t.unit, t.local_events.filter(F.col("event_date") >= t.today)))
 query("occasions_month", """SELECT unit_id, metro_area, CAST(row_number() OVER (PARTITION BY unit_id ORDER BY event_date, event_id) AS INTEGER) occasion,
-      event_date, event_name, event_category FROM unit JOIN (SELECT * FROM local_events QUALIFY row_number() OVER
-      (PARTITION BY metro_area ORDER BY event_date, event_id)<=200) USING (metro_area) WHERE CAST(event_date AS VARCHAR) LIKE '1995-03%'
+      event_date, event_name, event_category FROM unit JOIN local_events USING (metro_area) WHERE CAST(event_date AS VARCHAR) LIKE '1995-03%'
       QUALIFY occasion<=5""", ("event_date",))(lambda t: carts.occasions(t.unit, t.local_events, "1995-03"))
 
 # ---- governance

@@ -191,10 +191,10 @@ query("incremental_refresh", """SELECT event_type, count(*) AS rows FROM (SELECT
 # ---- telemetry reshape
 ITEMS = "FROM otel_line"
 query("parse_skus", """SELECT trace_id, m menu_item_id, q quantity FROM (SELECT trace_id, m0 m, q0 q FROM order_span WHERE m0 IS NOT NULL
-      UNION ALL SELECT trace_id, m1, q1 FROM order_span WHERE m0 IS NOT NULL) WHERE q>0 AND m BETWEEN 1 AND 75""")(
+      UNION ALL SELECT trace_id, m1, q1 FROM order_span WHERE m0 IS NOT NULL) WHERE q>0 AND m>0""")(
     lambda t: t.otel_spans.filter(F.col("name") == telemetry.ORDER_SPAN).select(
         "trace_id", F.explode(telemetry.parse_skus(F.col("attributes")["order.skus"])).alias("s")).select("trace_id", "s.*"))
-query("parse_member_id", "SELECT trace_id, CASE WHEN member_id BETWEEN 1 AND 50000 THEN member_id END member_id FROM otel_logs")(
+query("parse_member_id", "SELECT trace_id, CASE WHEN member_id>0 THEN member_id END member_id FROM otel_logs")(
     lambda t: t.otel_logs.select("trace_id", telemetry.parse_member_id(F.col("attributes")["app.order.member_id"]).alias("member_id")))
 query("filter_noise", """SELECT trace_id FROM otel_logs WHERE amount>0 AND user_id NOT LIKE 'fee-test%'
       AND user_id NOT LIKE 'c2-verify%'""")(

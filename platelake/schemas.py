@@ -4,49 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-_KINDS = {"l": T.LongType(), "d": T.DoubleType(), "s": T.StringType(),
-          "b": T.BooleanType(), "t": T.TimestampType()}
-
-
-def _struct(text: str) -> T.StructType:
-    fields = (f.split(":") for f in text.split())
-    return T.StructType([T.StructField(n, _KINDS[k]) for n, k in fields])
-
-
-_HEAD = "event_type:s event_id:l unit_id:l event_ts:t "
-
-ORDER_EVENTS = _struct(_HEAD + """
-    guest_order_id:l order_item_id:l payment_id:l status_event_id:l delivery_order_id:l
-    channel:s order_type:s order_status:s profile_id:l member_id:l
-    subtotal:d discount_amount:d tax_amount:d total_amount:d
-    placed_at:t ready_at:t fulfilled_at:t cancelled_at:t financial_period_id:l sos_breach:b
-    menu_item_id:l quantity:l unit_price:d line_gross_amount:d line_net_amount:d
-    line_discount_amount:d item_status:s waste_flag:b
-    tender_type:s amount:d settlement_date:s paid_at:t
-    prior_state:s current_state:s event_timestamp:t elapsed_seconds_in_prior_state:l
-    sos_target_seconds:l is_sos_breach:b
-    platform_order_reference:s estimated_delivery_seconds:l actual_delivery_seconds:l
-    delivery_status:s source:s""")
-
-INVENTORY_EVENTS = _struct(_HEAD + """
-    on_hand_balance_id:l waste_log_id:l receiving_order_id:l replenishment_order_id:l
-    stock_sku:s quantity_on_hand:d quantity_reserved:d par_level:d snapshot_at:t
-    waste_quantity:d waste_category:s waste_cost:d logged_at:t
-    received_quantity:d delivery_date:s quality_inspection_result:s temperature_check_pass:b
-    order_type:s order_quantity:d order_status:s ordered_at:t""")
-
-GUEST_EVENTS = _struct(_HEAD + """
-    guest_profile_id:l digital_account_id:l first_name:s last_name:s email:s phone:s
-    zip_code:s created_date:s account_status:s""")
-
-LOYALTY_EVENTS = _struct(_HEAD + """
-    loyalty_transaction_id:l reward_redemption_id:l member_id:l guest_order_id:l
-    transaction_type:s points_delta:l transaction_at:t tier:s
-    points_redeemed:l reward_value:d redeemed_at:t""")
-
-WORKFORCE_EVENTS = _struct(_HEAD + """
-    shift_id:l time_punch_id:l employee_id:l shift_label:s shift_start:t shift_end:t
-    status:s date:s punch_in:t punch_out:t hours_worked:d""")
+_TYPES = {"bigint": T.LongType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(),
+          "timestamp": T.TimestampType()}
+
+
+def _struct(**columns: str) -> T.StructType:
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in columns.items()])
+
+
+# Columns and types of the envelopes.
+ORDER_EVENTS = _struct(
+    event_type="string", event_id="bigint", unit_id="bigint", event_ts="timestamp", guest_order_id="bigint",
+    order_item_id="bigint", payment_id="bigint", status_event_id="bigint", delivery_order_id="bigint",
+    channel="string", order_type="string", order_status="string", profile_id="bigint", member_id="bigint",
+    subtotal="double", discount_amount="double", tax_amount="double", total_amount="double", placed_at="timestamp",
+    ready_at="timestamp", fulfilled_at="timestamp", cancelled_at="timestamp", financial_period_id="bigint",
+    sos_breach="boolean", menu_item_id="bigint", quantity="bigint", unit_price="double",
+    line_gross_amount="double", line_net_amount="double", line_discount_amount="double", item_status="string",
+    waste_flag="boolean", tender_type="string", amount="double", settlement_date="string", paid_at="timestamp",
+    prior_state="string", current_state="string", event_timestamp="timestamp",
+    elapsed_seconds_in_prior_state="bigint", sos_target_seconds="bigint", is_sos_breach="boolean",
+    platform_order_reference="string", estimated_delivery_seconds="bigint", actual_delivery_seconds="bigint",
+    delivery_status="string", source="string")
+
+INVENTORY_EVENTS = _struct(
+    event_type="string", event_id="bigint", unit_id="bigint", event_ts="timestamp", on_hand_balance_id="bigint",
+    waste_log_id="bigint", receiving_order_id="bigint", replenishment_order_id="bigint", stock_sku="string",
+    quantity_on_hand="double", quantity_reserved="double", par_level="double", snapshot_at="timestamp",
+    waste_quantity="double", waste_category="string", waste_cost="double", logged_at="timestamp",
+    received_quantity="double", delivery_date="string", quality_inspection_result="string",
+    temperature_check_pass="boolean", order_type="string", order_quantity="double", order_status="string",
+    ordered_at="timestamp")
+
+GUEST_EVENTS = _struct(
+    event_type="string", event_id="bigint", unit_id="bigint", event_ts="timestamp", guest_profile_id="bigint",
+    digital_account_id="bigint", first_name="string", last_name="string", email="string", phone="string",
+    zip_code="string", created_date="string", account_status="string")
+
+LOYALTY_EVENTS = _struct(
+    event_type="string", event_id="bigint", unit_id="bigint", event_ts="timestamp",
+    loyalty_transaction_id="bigint", reward_redemption_id="bigint", member_id="bigint", guest_order_id="bigint",
+    transaction_type="string", points_delta="bigint", transaction_at="timestamp", tier="string",
+    points_redeemed="bigint", reward_value="double", redeemed_at="timestamp")
+
+WORKFORCE_EVENTS = _struct(
+    event_type="string", event_id="bigint", unit_id="bigint", event_ts="timestamp", shift_id="bigint",
+    time_punch_id="bigint", employee_id="bigint", shift_label="string", shift_start="timestamp",
+    shift_end="timestamp", status="string", date="string", punch_in="timestamp", punch_out="timestamp",
+    hours_worked="double")
 
 ENVELOPES = {
     "order_events": ORDER_EVENTS,
@@ -77,12 +82,15 @@ PRIMARY_KEYS = {
     "shift": "shift_id", "time_punch": "time_punch_id",
 }
 
-# Column classes that drive masking.
+# Column classes that drive masking; the raw guest envelope carries those of the profile.
+_GUEST_TAGS = {
+    "email": "class.email_address", "phone": "class.phone_number",
+    "first_name": "class.name", "last_name": "class.name", "zip_code": "class.zip_code",
+}
+
 COLUMN_TAGS = {
-    "guest_profile": {
-        "email": "class.email_address", "phone": "class.phone_number",
-        "first_name": "class.name", "last_name": "class.name", "zip_code": "class.zip_code",
-    },
+    "guest_events": _GUEST_TAGS,
+    "guest_profile": _GUEST_TAGS,
     "guest_order": {c: "financial" for c in
                     ("subtotal", "discount_amount", "tax_amount", "total_amount")},
     "waste_log": {"waste_cost": "financial", "stock_sku": "supply_chain"},

@@ -54,7 +54,7 @@ def holidays(df: DataFrame) -> DataFrame:
     rows = df.select("state", F.explode(F.from_json("payload", HOLIDAYS)).alias("h"))
     mine = F.col("h.counties").isNull() | F.array_contains("h.counties", F.concat(F.lit("US-"), F.col("state")))
     return rows.filter(mine).select(
-        "state", F.to_date("h.date").alias("event_date"),
+        "state", F.try_to_date("h.date").alias("event_date"),
         event_key("nager", F.col("h.date"), F.col("h.localName")).alias("event_id"),
         F.col("h.localName").alias("event_name"), F.lit("national_holiday").alias("event_category"),
         F.lit("").alias("venue"), F.lit(0).cast("bigint").alias("est_attendance"), F.lit("nager").alias("source"))
@@ -62,7 +62,7 @@ def holidays(df: DataFrame) -> DataFrame:
 
 def _event(source: str, metro: Column, day: Column, name: Column, category: Column, venue: Column,
            attendance: Column) -> list[Column]:
-    return [metro.alias("metro_area"), F.to_date(day).alias("event_date"),
+    return [metro.alias("metro_area"), F.try_to_date(day).alias("event_date"),
             event_key(source, metro, day, name).alias("event_id"), name.alias("event_name"),
             category.alias("event_category"), F.coalesce(venue, F.lit("")).alias("venue"),
             attendance.cast("bigint").alias("est_attendance"), F.lit(source).alias("source")]

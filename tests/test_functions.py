@@ -27,14 +27,14 @@ def test_event_key(spark):
 
 
 @pytest.mark.parametrize("text,want", [
-    ('["41 x5","7 x10"]', [(41, 5), (7, 10)]), ("garbage", []), (None, []), ("0 x2, 76 x1, 1 X3, 75x4", [(1, 3), (75, 4)]),
+    ('["41 x5","7 x10"]', [(41, 5), (7, 10)]), ("garbage", []), (None, []), ("0 x2, 76 x1, 1 X3, 75x4", [(76, 1), (1, 3), (75, 4)]),
     ("5 x0", []), ("12  x  2", [(12, 2)])])
 def test_parse_skus(spark, text, want):
     got = one(spark, telemetry.parse_skus(F.lit(text).cast("string")).alias("x")).x
     assert [tuple(r) for r in got] == want
 
 
-@pytest.mark.parametrize("text,want", [("12345", 12345), (" 7 ", 7), ("0", None), ("50001", None), ("x", None), (None, None)])
+@pytest.mark.parametrize("text,want", [("12345", 12345), (" 7 ", 7), ("0", None), ("50001", 50001), ("-3", None), ("x", None), (None, None)])
 def test_parse_member_id(spark, text, want):
     assert one(spark, telemetry.parse_member_id(F.lit(text).cast("string")).alias("x")).x == want
 

@@ -291,4 +291,5 @@ def test_gold_and_silver_flow(spark):
     unit = spark.createDataFrame([(5, 7, 1)], "unit_id bigint, franchisee_id bigint, region_id bigint")
     orders = silver.guest_order(telemetry.as_envelope(rows), unit, "event_ts")
     got = gold.unit_performance_daily(orders).collect()
-    assert [tuple(r) for r in got] == [(5, date(2026, 1, 1), 2, 10.0, 5.0, 1)]
+    assert [r.asDict() for r in got] == [{"unit_id": 5, "date": date(2026, 1, 1), "order_count": 2, "daily_revenue": 10.0,
+                                          "avg_order_value": 5.0, "cancelled_count": 1}]
