@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 from platelake.sources.workspace import stored
 
 SCALE = 1024
-LEAF, FANOUT = 64, 12
+LEAF, FANOUT = 256, 8
 CELLS, TREE_ROWS, QUERY_BLOCK = 64, 8192, 256
 
 
@@ -60,6 +60,15 @@ class MTree:
         centre = self.points.mean(axis=0)
         self.root = self._page(np.arange(len(x)), centre, rng)
         self.centre, self.radius = centre, float(self._far(self.points, centre).max(initial=0))
+        # Rows are laid out in the order of the leaf pages, which become slices.
+        order = np.concatenate([p[1] for p in self.pages if p[0]])
+        self.vectors, self.ids, self.points = vectors[order], [ids[i] for i in order], self.points[order]
+        self.largest = float(np.abs(vectors).max(initial=0))
+        at = 0
+        for number, p in enumerate(self.pages):
+            if p[0]:
+                self.pages[number] = (True, at, p[2])
+                at += len(p[2])
 
     @staticmethod
     def _far(points: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -91,12 +100,13 @@ class MTree:
         self.pages[number] = (False, below, self._far(objects[keep], parent), objects[keep], radius)
         return number
 
-    def search(self, q: np.ndarray, k: int, known: list[tuple[int, int]] | None = None, least=None):
+    def search(self, q: np.ndarray, k: int, least: int | None = None) -> list[tuple[int, int]]:
         """The k best (score, id), by score and then by smaller id; nothing below the score ``least``."""
         query = np.append(q.astype(np.float64), 0.0)
         length = float(query @ query)
         slack = 1e-6 * (1.0 + np.sqrt(length + self.far))
         best: list[tuple] = []  # heap of (score, -id), worst first
+        exact = self.largest * float(np.abs(q).max(initial=0)) * max(len(q), 1) < 2 ** 52
 
         def reach() -> float:
             """Largest distance that can still matter."""
@@ -115,15 +125,25 @@ class MTree:
                 break
             page = self.pages[number]
             if page[0]:
-                rows = page[1][np.abs(page[2] - to_parent) <= reach()]
-                if len(rows) == 0:
+                near = np.abs(page[2] - to_parent) <= reach()
+                if not near.any():
                     continue
-                scores = products(self.vectors[rows], q)
+                rows = np.arange(page[1], page[1] + len(near)) if near.all() else page[1] + np.flatnonzero(near)
+                if exact:  # integers below 2 ** 52 in doubles
+                    own = self.points[rows[0]:rows[-1] + 1] if len(rows) == len(near) else self.points[rows]
+                    scores = own @ query
+                else:
+                    scores = products(self.vectors[rows], q)
                 low = best[0][0] if len(best) >= k else None
-                for s, r in zip(scores.tolist(), rows.tolist()):
-                    if low is not None and s < low or least is not None and s < least:
+                low = least if low is None else low if least is None else max(low, least)
+                if low is not None:
+                    can = np.flatnonzero(scores >= low)
+                    rows, scores = rows[can], scores[can]
+                for at in np.argsort(-scores, kind="stable").tolist() if exact else range(len(rows)):
+                    s = int(scores[at])
+                    if len(best) >= k and s < best[0][0]:
                         continue
-                    for i in self.ids[r][:k].tolist():
+                    for i in self.ids[rows[at]][:k].tolist():
                         item = (s, -i)
                         if len(best) < k:
                             heapq.heappush(best, item)
@@ -131,7 +151,6 @@ class MTree:
                             heapq.heapreplace(best, item)
                         else:
                             break
-                    low = best[0][0] if len(best) >= k else None
                 continue
             _, below, to_object, objects, radius = page
             can = np.flatnonzero(np.abs(to_object - to_parent) - radius <= reach())

@@ -338,18 +338,30 @@ def test_mtree(spark):
     assert mtree.products(big, np.array([2 ** 40, 1], np.int64)).tolist() == [2 ** 80 + 3, 2 ** 81 - 1]
 
 
+class Counted(tuple):
+    """A leaf page that notes how often it is opened."""
+
+    def __new__(cls, page, seen):
+        self = super().__new__(cls, page)
+        self.seen = seen
+        return self
+
+    def __getitem__(self, at):
+        if at == 1:
+            self.seen.append(len(super().__getitem__(2)))
+        return super().__getitem__(at)
+
+
 def test_mtree_skips_distances():
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(40, 8)) * 3000
     x = np.concatenate([c + rng.normal(size=(100, 8)) * 30 for c in centres]).astype(np.int64)
     tree = mtree.MTree(x, [np.array([i]) for i in range(len(x))])
     seen = []
-    whole = mtree.products
-    mtree.products = lambda rows, q: (seen.append(len(rows)), whole(rows, q))[1]
-    try:
-        got = tree.search(x[7], 5)
-    finally:
-        mtree.products = whole
+    far = mtree.MTree._far
+    tree._far = lambda points, at: (seen.append(len(points)), far(points, at))[1]
+    tree.pages = [Counted(p, seen) if p[0] else p for p in tree.pages]
+    got = tree.search(x[7], 5)
     assert got == sorted(((int(x[7] @ v), i) for i, v in enumerate(x)), key=lambda t: (-t[0], t[1]))[:5]
     assert sum(seen) < 0.5 * len(x)
 
