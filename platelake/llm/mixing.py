@@ -25,7 +25,7 @@ from platelake.sources.workspace import stored
 WEIGHTS = (3, 1, 2)
 MASS, MOST = 1.5, 2.0
 STEPS = 40
-REPAIRS = 6
+REPAIRS = 64
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], mass: float, most: float) -> DataFrame:
@@ -141,8 +141,9 @@ def repairs(rounded: DataFrame, most: int, each: int = REPAIRS) -> DataFrame:
 
     At most ``each`` documents of a size class and source are candidates, so a source gathers a bounded list.
     """
-    gap = (rounded.groupBy("source", "target").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"))
-           .select("source", F.round(F.col("target") - F.col("taken")).cast("long").alias("gap")).filter("gap != 0"))
+    gap = stored(rounded.groupBy("source", "target").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"))
+                 .select("source", F.round(F.col("target") - F.col("taken")).cast("long").alias("gap")).filter("gap != 0"),
+                 "mixing-gaps")
     able = F.when(F.col("gap") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
     pick = Window.partitionBy("source", "class").orderBy("u", "doc_id")
     chosen = (rounded.filter("size > 0 AND doc_id IS NOT NULL").alias("r")
