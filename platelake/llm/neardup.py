@@ -10,9 +10,9 @@ Large groups never become all pairs:
 * documents with equal shingle sets are one class, represented by its smallest id;
 * first, each representative is verified only against the bucket centre (smallest id) it shares most bands with, which
   joins a family of near copies by a star instead of by pairs;
-* then only buckets with several components are looked at, in blocks of bounded size; a pair of different components is a
-  candidate if its sketches (one byte for each coordinate) leave a similarity at the threshold possible.  The best partner
-  of each document in each other component is verified first, and whatever is still unlinked after that in a last pass.
+* then only buckets with several components are looked at, in blocks of bounded size.  A pair of different components
+  counts in the first band it shares, if its sketches (one byte for each coordinate) leave the threshold possible; the
+  full sets of such documents meet in the block and give at most one link for each step that joins two components.
 
 Components come from alternating large-star and small-star steps on DataFrames.  With 40 bands of 4 rows a pair at the
 threshold itself is missed with a probability of 3e-7; the sketch test leaves out a linked pair with one below 1e-9.
@@ -34,7 +34,7 @@ from platelake.sources.workspace import stored
 
 BANDS, ROWS = 40, 4
 THRESHOLD = 0.75
-BLOCK = 512
+BLOCK = 2048
 _MARGIN = 6.0
 
 
@@ -89,17 +89,21 @@ def sketched(docs: DataFrame) -> DataFrame:
         run, "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sketch binary")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id and s (its sorted shingle hashes, little-endian) of the wanted documents, from their whole texts."""
 
     def sets(parts):
         for pdf in parts:
             yield pd.DataFrame({"doc_id": pdf["doc_id"],
                                 "s": [shingles(t).astype("<u8").tobytes() for t in pdf["text"]]})
 
-    whole = stored(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-                   .mapInPandas(sets, "doc_id long, s binary"), "neardup-sets")
+    return stored(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+                  .mapInPandas(sets, "doc_id long, s binary"), "neardup-sets")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets reach the threshold."""
+    whole = shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     percent = round(100 * threshold)
 
     def check(parts):
@@ -140,63 +144,128 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-def crossing(buckets: DataFrame, sketches: DataFrame, labels: DataFrame, threshold: float, best: bool) -> DataFrame:
-    """Candidate pairs (a, b) of different components inside the buckets, a < b.
+def blocks_of(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets with several components: key, i, j, own (block), doc, comp.
 
-    ``best``: only the most similar partner of a document in each other component of a bucket block.
-    Buckets are dealt in blocks: a block pair holds at most about twice BLOCK documents.
+    A large bucket is dealt in pairs of blocks, each with at most about twice BLOCK documents.
     """
     told = (buckets.join(labels.withColumnRenamed("node", "doc"), "doc", "left")
             .select("key", "doc", F.coalesce("component", "doc").alias("comp")))
     several = (told.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                .filter("lo != hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    rows = (told.join(several, "key").join(sketches, "doc")
-            .withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    return (told.join(several, "key").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
-                    "doc", "comp", "sketch"))
-    spread = np.sqrt(threshold * (1 - threshold) / (BANDS * ROWS))
-    enough = int(np.floor((threshold - _MARGIN * spread) * BANDS * ROWS))
-
-    def block(pdf: pd.DataFrame) -> list[tuple]:
-        doc, comp, own = pdf["doc"].to_numpy(), pdf["comp"].to_numpy(), pdf["own"].to_numpy()
-        one_block = bool((pdf["i"].iloc[0] == pdf["j"].iloc[0]))
-        if len(doc) < 2 or (comp == comp[0]).all():
-            return []
-        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(doc), -1)
+            .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "comp"))
+
+
+class Block:
+    """Documents of one block pair of a bucket, and the pairs that must be looked at there.
+
+    A pair counts only in the first band it shares, in the block pair that separates or holds both, if the components
+    differ and the sketches leave the threshold possible.
+    """
+
+    def __init__(self, pdf: pd.DataFrame, enough: int):
+        self.doc, self.comp, self.own = (pdf[c].to_numpy() for c in ("doc", "comp", "own"))
+        self.key, self.one = pdf["key"].iloc[0], bool(pdf["i"].iloc[0] == pdf["j"].iloc[0])
+        self.sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
+        self.bands = np.stack(pdf["bands"].to_numpy())
+        self.enough = enough
+
+    def partners(self, k: int) -> np.ndarray:
+        to = np.arange(k + 1, len(self.doc)) if self.one else np.flatnonzero(self.own > self.own[k])
+        to = to[self.comp[to] != self.comp[k]]
+        to = to[(self.sketch[to] == self.sketch[k]).sum(axis=1) >= self.enough]
+        if len(to):
+            shared = self.bands[to] == self.bands[k]
+            to = to[self.bands[k][shared.argmax(axis=1)] == self.key]
+        return to
+
+    def involved(self) -> np.ndarray:
+        """Rows with at least one partner."""
+        hit = np.zeros(len(self.doc), bool)
+        for k in range(len(self.doc)):
+            to = self.partners(k)
+            hit[to] = True
+            hit[k] |= len(to) > 0
+        return np.flatnonzero(hit)
+
+    def links(self, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+        """Verified links, at most one for each step that joins two components."""
+        root = {c: c for c in self.comp.tolist()}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
         found = []
-        for k in range(len(doc)):
-            if one_block:
-                to = np.arange(len(doc)) if best else np.arange(k + 1, len(doc))
-            else:
-                to = np.flatnonzero(own != own[k]) if best else np.flatnonzero((own > own[k]))
-            to = to[comp[to] != comp[k]]
+        for k in range(len(self.doc)):
+            to = self.partners(k)
             if len(to) == 0:
                 continue
-            same = (sketch[to] == sketch[k]).sum(axis=1)
-            to, same = to[same >= enough], same[same >= enough]
-            if best and len(to):
-                order = np.lexsort((doc[to], -same))
-                to = to[order]
-                to = to[np.unique(comp[to], return_index=True)[1]]
-            found += [(min(doc[k], doc[x]), max(doc[k], doc[x])) for x in to]
+            mine = sets[k]
+            for x in to.tolist():
+                a, b = top(int(self.comp[k])), top(int(self.comp[x]))
+                if a == b:
+                    continue
+                other = sets[x]
+                if 100 * min(len(mine), len(other)) < percent * max(len(mine), len(other)):
+                    continue
+                at = np.searchsorted(mine, other)
+                both = int((mine[np.minimum(at, len(mine) - 1)] == other).sum())
+                if 100 * both >= percent * (len(mine) + len(other) - both):
+                    root[max(a, b)] = min(a, b)
+                    found.append((int(self.doc[k]), int(self.doc[x])))
         return found
 
-    def run(parts):
-        rest = None
-        for pdf in parts:
-            if rest is not None:
-                pdf = pd.concat([rest, pdf], ignore_index=True)
-            mark = pdf[["key", "i", "j"]]
-            cut = np.flatnonzero((mark != mark.shift()).any(axis=1).to_numpy())
-            found = [p for a, b in zip(cut[:-1], cut[1:]) for p in block(pdf.iloc[a:b])]
-            rest = pdf.iloc[cut[-1]:] if len(cut) else None
-            yield pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
+
+def grouped(batches, names: list[str]):
+    """The frames of equal ``names`` values, from batches sorted by them."""
+    rest = None
+    for pdf in batches:
         if rest is not None:
-            yield pd.DataFrame(sorted(set(block(rest))), columns=["a", "b"], dtype="int64")
+            pdf = pd.concat([rest, pdf], ignore_index=True)
+        if len(pdf) == 0:
+            continue
+        mark = pdf[names]
+        cut = np.flatnonzero((mark != mark.shift()).any(axis=1).to_numpy())
+        for a, b in zip(cut[:-1], cut[1:]):
+            yield pdf.iloc[a:b]
+        rest = pdf.iloc[cut[-1]:]
+    if rest is not None:
+        yield rest
+
+
+def crossing(docs: DataFrame, buckets: DataFrame, sketches: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """Verified links (a, b) between different components inside the buckets.
+
+    First the sketches alone tell which members have a partner at all; only their shingle sets are then dealt, and the
+    sets are compared where they meet, so the rows made are at most the members, never the pairs.
+    """
+    spread = np.sqrt(threshold * (1 - threshold) / (BANDS * ROWS))
+    enough, percent = int(np.floor((threshold - _MARGIN * spread) * BANDS * ROWS)), round(100 * threshold)
+    keys = ["key", "i", "j"]
+    columns = [*keys, "own", "doc", "comp"]
+
+    def chosen(batches):
+        for pdf in grouped(batches, keys):
+            if len(pdf) > 1:
+                yield pdf.iloc[Block(pdf, enough).involved()][columns]
 
-    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc")
-    return dealt.mapInPandas(run, "a long, b long").distinct()
+    def compared(batches):
+        for pdf in grouped(batches, keys):
+            sets = [np.frombuffer(s, "<u8") for s in pdf["s"]]
+            yield pd.DataFrame(Block(pdf, enough).links(sets, percent), columns=["a", "b"], dtype="int64")
+
+    members = blocks_of(buckets, labels).join(sketches, "doc").repartition(*keys).sortWithinPartitions(*keys, "doc")
+    needed = stored(members.select(*columns, "sketch", "bands").mapInPandas(
+        chosen, "key long, i int, j int, own int, doc long, comp long"), "neardup-members")
+    sets = shingle_sets(docs, needed.select(F.col("doc").alias("doc_id")).distinct())
+    whole = (needed.join(sketches, "doc").join(sets.withColumnRenamed("doc_id", "doc"), "doc").repartition(*keys)
+             .sortWithinPartitions(*keys, "doc").select(*columns, "sketch", "bands", "s"))
+    return stored(whole.mapInPandas(compared, "a long, b long"), "neardup-links")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -212,17 +281,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
               .select("key", "centre"))
     buckets = stored(values.join(shared, "key"), "neardup-buckets")
     reps = texts.join(buckets.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sketches = firsts.select(F.col("doc_id").alias("doc"), "sketch")
+    sketches = firsts.select(F.col("doc_id").alias("doc"), "sketch", "bands")
 
     star = (buckets.filter("doc != centre").groupBy("doc", "centre").count()
             .groupBy("doc").agg(F.max_by("centre", F.struct("count", -F.col("centre"))).alias("centre")))
     links = verified(reps, star.select(F.col("centre").alias("a"), F.col("doc").alias("b")), threshold)
     labels = stored(components(links), "neardup-labels")
-    for best in (True, False):
-        pairs = stored(crossing(buckets.select("key", "doc"), sketches, labels, threshold, best), "neardup-pairs")
-        more = verified(reps, pairs, threshold)
-        links = links.union(more)
-        labels = stored(components(links), "neardup-labels")
+    links = links.union(crossing(reps, buckets.select("key", "doc"), sketches, labels, threshold))
+    labels = stored(components(links), "neardup-labels")
 
     final = (classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
              .select("fp1", "fp2", F.coalesce("component", "rep").alias("component")))
