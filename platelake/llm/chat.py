@@ -14,7 +14,7 @@ Reading back is a stream: ``Reader`` takes rendered turns one after the other an
 conversation of any length needs bounded memory.
 
 Defined cases: a NULL text is empty, a NULL role is the empty role; turns are ordered by turn (NULL first), then role and
-text, repeated rows included; parts of unknown kind or NULL parts are written as document placeholders without reference.
+text, repeated rows included; rows without a conversation id are one conversation with a NULL id; parts of unknown kind or NULL parts are written as document placeholders without reference.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from platelake.llm.ids import as_key, from_key
+
 CONTROLS = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _CONTROL = re.compile("|".join(re.escape(c) for c in sorted(CONTROLS, key=len, reverse=True)))
 _TURN = re.compile(r"<\|turn\|>([^\n]*)\n(.*?)<\|end\|>\n", re.S)
@@ -143,8 +145,10 @@ def formatted(turns: DataFrame) -> DataFrame:
                              [dict(zip(("number", "kind", "uri", "tokens"), a)) for a in visitor.attachments]))
             yield pd.DataFrame(rows, columns=["conv_id", "turn", "rendered", "loss", "attachments"])
 
-    return ordered(turns).mapInPandas(run, "conv_id long, turn long, rendered string, loss boolean, attachments "
-                                           "array<struct<number:int,kind:string,uri:string,tokens:long>>")
+    schema = ("conv_id string, turn string, rendered string, loss boolean, attachments "
+              "array<struct<number:int,kind:string,uri:string,tokens:long>>")
+    return (ordered(turns).select(as_key("conv_id"), as_key("turn"), "role", "parts").mapInPandas(run, schema)
+            .select(from_key("conv_id"), from_key("turn"), "rendered", "loss", "attachments"))
 
 
 def digests(turns: DataFrame) -> DataFrame:
@@ -166,4 +170,6 @@ def digests(turns: DataFrame) -> DataFrame:
         if open_:
             yield pd.DataFrame([(now, *reader.digest(), kinds, tokens)], columns=_NAMES)
 
-    return formatted(turns).select("conv_id", "rendered", "attachments").mapInPandas(run, DIGEST)
+    found = formatted(turns).select(as_key("conv_id"), "rendered", "attachments").mapInPandas(
+        run, DIGEST.replace("conv_id long", "conv_id string"))
+    return found.select(from_key("conv_id"), *_NAMES[1:])
