@@ -11,8 +11,8 @@ Every sequence but the last is full, so padding is at most one window for the wh
 Ids are those of the ``tokenizers`` file with ``add_special_tokens=False``.  They are made by tiktoken from the same
 vocabulary, about five times as fast; texts that its pattern engine refuses go to ``tokenizers`` itself.
 
-Defined cases: a NULL or empty text is the end id alone.  Repeated rows are packed as often as they come.  An empty table
-gives no piece.
+Defined cases: a NULL or empty text is the end id alone.  Repeated rows are packed as often as they come, rows
+without an id too.  An empty table gives no piece.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from platelake.llm.ids import as_key, from_key
 from platelake.sources.workspace import stored
 
 WINDOW = 1024
@@ -57,9 +58,10 @@ def _plain(json_path: str):
 def encode(text: str | None, json_path: str = JSON, ranks_path: str = RANKS) -> list[int]:
     if not text:
         return []
+    fast = _fast(ranks_path)
     try:
-        return _fast(ranks_path).encode(text, allowed_special="all")
-    except (ValueError, RuntimeError, BaseException) as err:  # a panic of the pattern engine is no Exception
+        return fast.encode(text, allowed_special="all")
+    except BaseException as err:  # a panic of the pattern engine is no Exception
         if isinstance(err, (KeyboardInterrupt, SystemExit, MemoryError)):
             raise
         return _plain(json_path).encode(text, add_special_tokens=False).ids
@@ -80,8 +82,8 @@ def encoded(docs: DataFrame, json_path: str = JSON, ranks_path: str = RANKS, end
                 start += len(ids)
             yield pd.DataFrame(rows, columns=["doc_id", "part", "start", "n", "wide", "ids"])
 
-    return docs.select("doc_id", "text").mapInPandas(
-        run, "doc_id long, part int, start long, n long, wide boolean, ids binary")
+    return docs.select(as_key("doc_id"), "text").mapInPandas(
+        run, "doc_id string, part int, start long, n long, wide boolean, ids binary").withColumn("doc_id", from_key("doc_id"))
 
 
 def packed(docs: DataFrame, window: int = WINDOW, json_path: str = JSON, ranks_path: str = RANKS,
@@ -111,7 +113,8 @@ def packed(docs: DataFrame, window: int = WINDOW, json_path: str = JSON, ranks_p
                         rows = []
             yield pd.DataFrame(rows, columns=NAMES)
 
-    return tokens.mapInPandas(cut, PIECES)
+    pieces = tokens.withColumn("doc_id", as_key("doc_id")).mapInPandas(cut, PIECES.replace("doc_id long", "doc_id string"))
+    return pieces.withColumn("doc_id", from_key("doc_id"))
 
 
 NAMES = [c.split()[0] for c in PIECES.split(", ")]
