@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from platelake.llm.ids import as_key, from_key
 from platelake.llm.shingles import mix, shingles
 from platelake.sources.workspace import stored
 
@@ -85,8 +86,9 @@ def sketched(docs: DataFrame) -> DataFrame:
             out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "fp1", "fp2", "bands", "sketch"])
             yield out.astype({"n_shingles": "int64", "fp1": "Int64", "fp2": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(
-        run, "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sketch binary")
+    return docs.select(as_key("doc_id"), "text").mapInPandas(
+        run, "doc_id string, n_shingles long, fp1 long, fp2 long, bands array<long>, sketch binary").withColumn(
+        "doc_id", from_key("doc_id"))
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -268,8 +270,26 @@ def crossing(docs: DataFrame, buckets: DataFrame, sketches: DataFrame, labels: D
     return stored(whole.mapInPandas(compared, "a long, b long"), "neardup-links")
 
 
+def repeated_ids(docs: DataFrame) -> DataFrame:
+    """The ids that several rows carry; stored, so that the planner knows how few they are."""
+    return stored(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"),
+                  "neardup-repeated")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
+    again = repeated_ids(docs)
+    if again.isEmpty():
+        return _of_distinct_ids(docs, threshold)
+    copies = docs.select("doc_id").join(again, "doc_id", "left_semi")
+    largest = (docs.select("doc_id", "text").join(again, "doc_id", "left_semi")
+               .groupBy("doc_id").agg(F.max("text").alias("text")))
+    single = docs.select("doc_id", "text").join(again, "doc_id", "left_anti").union(largest)
+    found = stored(_of_distinct_ids(stored(single, "neardup-texts"), threshold), "neardup-found")
+    return found.join(again, "doc_id", "left_anti").union(copies.join(found, "doc_id"))
+
+
+def _of_distinct_ids(docs: DataFrame, threshold: float) -> DataFrame:
     texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
     all_rows = stored(sketched(docs), "neardup-sketches")
     known = all_rows.filter("doc_id IS NOT NULL AND n_shingles > 0")
@@ -306,5 +326,6 @@ def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     once = docs.join(dropped.union(several).distinct(), "doc_id", "left_anti")
     more = docs.join(several.join(dropped, "doc_id", "left_anti"), "doc_id", "left_semi")
     # All copies of a repeated id are one document, whose text is the largest of theirs.
-    first = more.groupBy("doc_id").agg(F.max(F.struct(F.coalesce("text", F.lit("")).alias("t"), F.struct(*docs.columns).alias("r"))).alias("m"))
-    return once.select(*docs.columns).union(first.select("m.r.*"))
+    first = more.groupBy("doc_id").agg(F.max_by(
+        F.struct(*docs.columns), F.struct(F.coalesce("text", F.lit("")), F.to_json(F.struct(*docs.columns)))).alias("row"))
+    return once.select(*docs.columns).union(first.select("row.*"))

@@ -108,6 +108,28 @@ def test_deduplicated_keeps_columns_and_null_ids(spark, docs, rows):
     assert sorted(i for i in ids if i is not None) == sorted(i for i in comp if comp[i] == i) and ids.count(None) == 1
 
 
+def test_rows_with_one_id_are_one_document(spark):
+    a, b = prose(11, 60), prose(12, 60, [f"v{i}" for i in range(90)])
+    big = 2 ** 60 + 1
+    rows = [(1, min(a, b)), (1, max(a, b)), (2, min(a, b)), (big, max(a, b)), (big, max(a, b)), (3, None), (3, None), (None, a),
+            (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("extra", F.create_map(F.lit("k"), "doc_id"))
+    got = sorted(((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in neardup.near_duplicates(df).collect()))
+    assert got == [(0, 0, True)] * 2 + [(1, 1, True)] * 2 + [(2, 2, True)] + [(3, 3, True)] * 2 + [(big, 1, False)] * 2
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in neardup.deduplicated(df).collect())
+    assert kept == sorted([(0, ""), (0, a), (1, max(a, b)), (2, min(a, b)), (3, "")])
+
+
+def test_null_ids_keep_large_ids_whole(spark):
+    big = 2 ** 60 + 1
+    df = spark.createDataFrame([(big, "a b"), (None, "c"), (None, None)], "doc_id long, text string").coalesce(1)
+    assert sorted(r["doc_id"] or 0 for r in packing.packed(df).collect()) == [0, 0, big]
+    talk = spark.createDataFrame([(big, 0, "user", "x"), (None, 0, "user", "y"), (None, 1, "assistant", "z")],
+                                 "conv_id long, turn long, role string, text string").coalesce(1)
+    got = {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in chat.digests(chat.text_parts(talk)).collect()}
+    assert got == {big: (1, 0), None: (2, 1)}
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2))] + [(k, k + 1) for k in range(100, 130)]
