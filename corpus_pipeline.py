@@ -23,8 +23,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the quality classifier, fitted on the labelled ones among them, does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     trees = quality.train(docs, labels, F.lit(True))
-    return docs.withColumn("_score", quality.scored(trees, F.col("text"))).filter(
-        F.col("_score") >= REJECT_BELOW).select(*docs.columns)
+    return docs.filter(quality.scored(trees, F.col("text")) >= REJECT_BELOW)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
