@@ -87,19 +87,19 @@ def spans_scan(spans: DataFrame, log_rows: DataFrame) -> DataFrame:
         a["order.location.zip"].alias("zip"), a["sos.target_seconds"].try_cast("int").alias("sos_target"))
 
 
-def stage_rows(span_rows: DataFrame) -> DataFrame:
-    """(trace_id, stage) with the stage lower-cased and stripped of spaces."""
-    stage = F.replace(F.lower(F.trim(F.substring_index("name", ":", -1))), F.lit(" "), F.lit(""))
-    return span_rows.filter(F.col("name").like("stage:%")).select("trace_id", stage.alias("stage"))
+def stage_of(name: Column) -> Column:
+    """Stage of a stage span's name, lower-cased and stripped of spaces; NULL for other spans."""
+    stage = F.replace(F.lower(F.trim(F.substring_index(name, ":", -1))), F.lit(" "), F.lit(""))
+    return F.when(name.like("stage:%"), stage)
 
 
 def index_spans(span_rows: DataFrame) -> DataFrame:
-    """Per trace the newest order span and the number of stage spans, in one pass."""
+    """Per trace the newest order span, the stages (one entry for each stage span) and their number, in one pass."""
     is_order = F.col("name") == ORDER_SPAN
     facts = F.struct("store_id", "channel", "skus", "prep_seconds", "state", "sos_target")
     return span_rows.groupBy("trace_id").agg(
         F.max_by(facts, F.when(is_order, F.col("start_time_unix_nano"))).alias("span"),
-        F.count_if(F.col("name").like("stage:%")).alias("stage_count"))
+        F.array_sort(F.collect_list(stage_of(F.col("name")))).alias("stages")).withColumn("stage_count", F.size("stages"))
 
 
 def unit_pools(unit: DataFrame) -> DataFrame:
@@ -148,83 +148,86 @@ def order_base(logs: DataFrame, spans: DataFrame, unit: DataFrame, since: Column
         F.when(channel == "own_delivery", "delivery").otherwise(channel).alias("order_type"),
         total.alias("total_cents"), sub.alias("subtotal_cents"), prep.alias("prep_seconds"),
         target.alias("sos_target"), (prep > target).alias("sos_breach"),
-        parse_skus(F.col("span.skus")).alias("skus"), F.coalesce("stage_count", F.lit(0)).alias("stage_count"),
+        parse_skus(F.col("span.skus")).alias("skus"), "stages",
         make_id("otel", F.col("trace_id")).alias("guest_order_id"))
-    return map_store_to_unit(rows, unit)
+    all_units = F.aggregate("skus", F.lit(0).cast("bigint"), lambda acc, s: acc + s["quantity"])
+    return map_store_to_unit(rows.withColumn("all_units", all_units), unit)
 
 
 def _dollars(cents: Column) -> Column:
     return cents / F.lit(100.0)
 
 
-def otel_guest_order(base: DataFrame) -> DataFrame:
-    key = F.col("guest_order_id")
-    return base.select(
-        F.lit("guest_order").alias("event_type"), key.alias("event_id"), "event_ts", key, "unit_id", "channel",
-        "order_type", F.lit("fulfilled").alias("order_status"), F.col("member_id").alias("profile_id"),
-        "member_id", _dollars(F.col("subtotal_cents")).alias("subtotal"), F.lit(0.0).alias("discount_amount"),
-        _dollars(F.col("total_cents") - F.col("subtotal_cents")).alias("tax_amount"),
-        _dollars(F.col("total_cents")).alias("total_amount"), F.col("event_ts").alias("placed_at"),
-        "sos_breach", F.lit("otel").alias("source"))
+def _event(kind: str, key: Column, **columns: Column) -> Column:
+    """An event of an order in the envelope's declared columns; absent ones are NULL."""
+    given = {"event_type": F.lit(kind), "event_id": key, f"{kind}_id": key, "source": F.lit("otel"),
+             **{c: F.col(c) for c in ("event_ts", "guest_order_id", "unit_id")}, **columns}
+    return F.struct(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.ORDER_EVENTS.fields])
+
 
+def order_events() -> Column:
+    """The order itself."""
+    return F.array(_event(
+        "guest_order", F.col("guest_order_id"), channel=F.col("channel"), order_type=F.col("order_type"),
+        order_status=F.lit("fulfilled"), profile_id=F.col("member_id"), member_id=F.col("member_id"),
+        subtotal=_dollars(F.col("subtotal_cents")), discount_amount=F.lit(0.0),
+        tax_amount=_dollars(F.col("total_cents") - F.col("subtotal_cents")), total_amount=_dollars(F.col("total_cents")),
+        placed_at=F.col("event_ts"), sos_breach=F.col("sos_breach")))
 
-def otel_order_item(base: DataFrame) -> DataFrame:
+
+def item_events() -> Column:
     """Subtotal spread over the lines by quantity; no price below one cent."""
-    all_units = F.aggregate("skus", F.lit(0).cast("bigint"), lambda acc, s: acc + s["quantity"])
-    lines = base.select("*", all_units.alias("all_units"), F.posexplode("skus").alias("i", "sku"))
-    item = make_id("otel-item", F.col("trace_id"), F.col("i"))
-    qty = F.col("sku.quantity")
-    floor_cent = lambda c: _dollars(F.greatest(F.lit(1), c))
-    line = floor_cent(half_up(F.col("subtotal_cents") * qty, F.col("all_units")))
-    return lines.select(
-        F.lit("order_item").alias("event_type"), item.alias("event_id"), "event_ts",
-        item.alias("order_item_id"), "guest_order_id", "unit_id", F.col("sku.menu_item_id").alias("menu_item_id"),
-        qty.alias("quantity"), floor_cent(half_up(F.col("subtotal_cents"), F.col("all_units"))).alias("unit_price"),
-        line.alias("line_gross_amount"), line.alias("line_net_amount"), F.lit(0.0).alias("line_discount_amount"),
-        F.lit("fulfilled").alias("item_status"), F.lit(False).alias("waste_flag"),
-        F.col("event_ts").alias("placed_at"), F.lit("otel").alias("source"))
-
-
-def otel_payment(base: DataFrame) -> DataFrame:
-    pay = make_id("otel-pay", F.col("trace_id"))
-    return base.select(
-        F.lit("payment").alias("event_type"), pay.alias("event_id"), "event_ts", pay.alias("payment_id"),
-        "guest_order_id", "unit_id", F.lit("card").alias("tender_type"),
-        _dollars(F.col("total_cents")).alias("amount"), F.to_date("event_ts").cast("string").alias("settlement_date"),
-        F.col("event_ts").alias("paid_at"), F.lit("otel").alias("source"))
-
-
-def otel_status_event(base: DataFrame, stages: DataFrame) -> DataFrame:
+    cents = lambda c: _dollars(F.greatest(F.lit(1), c))
+    unit_price = cents(half_up(F.col("subtotal_cents"), F.col("all_units")))
+
+    def line(sku: Column, i: Column) -> Column:
+        amount = cents(half_up(F.col("subtotal_cents") * sku["quantity"], F.col("all_units")))
+        return _event(
+            "order_item", make_id("otel-item", F.col("trace_id"), i), menu_item_id=sku["menu_item_id"],
+            quantity=sku["quantity"], unit_price=unit_price, line_gross_amount=amount, line_net_amount=amount,
+            line_discount_amount=F.lit(0.0), item_status=F.lit("fulfilled"), waste_flag=F.lit(False),
+            placed_at=F.col("event_ts"))
+
+    return F.transform("skus", line)
+
+
+def payment_events() -> Column:
+    return F.array(_event(
+        "payment", make_id("otel-pay", F.col("trace_id")), tender_type=F.lit("card"), amount=_dollars(F.col("total_cents")),
+        settlement_date=F.to_date("event_ts").cast("string"), paid_at=F.col("event_ts")))
+
+
+def status_events() -> Column:
     """One transition per stage span, or the standard three when a trace has none."""
-    state = F.lit("preparing")
-    for stage, name in STAGE_STATES.items():
-        state = F.when(F.col("stage") == stage, F.lit(name)).otherwise(state)
-    seen = base.filter("stage_count > 0").join(stages, "trace_id").select(
-        "*", F.lit("placed").alias("prior_state"), state.alias("current_state"), F.col("stage").alias("part"))
-    steps = F.array(*[F.struct(F.lit(a).alias("prior"), F.lit(b).alias("current")) for a, b in
-                      (("placed", "preparing"), ("preparing", "ready"), ("ready", "fulfilled"))])
-    plain = base.filter("stage_count = 0").select("*", F.explode(steps).alias("s")).select(
-        "*", F.col("s.prior").alias("prior_state"), F.col("s.current").alias("current_state"),
-        F.col("s.prior").alias("part"))
-    key = make_id("otel-status", F.col("trace_id"), F.col("part"))
-    both = seen.drop("stage").unionByName(plain.drop("s"))
-    return both.select(
-        F.lit("status_event").alias("event_type"), key.alias("event_id"), "event_ts", key.alias("status_event_id"),
-        "guest_order_id", "unit_id", "prior_state", "current_state", F.col("event_ts").alias("event_timestamp"),
-        F.col("prep_seconds").alias("elapsed_seconds_in_prior_state"), F.col("sos_target").alias("sos_target_seconds"),
-        (F.col("sos_breach") & (F.col("current_state") == "ready")).alias("is_sos_breach"),
-        F.lit("otel").alias("source"))
-
-
-def otel_delivery_order(base: DataFrame) -> DataFrame:
-    key = make_id("otel-deliv", F.col("trace_id"))
+    def move(prior: Column, current: Column, part: Column) -> Column:
+        return _event(
+            "status_event", make_id("otel-status", F.col("trace_id"), part), prior_state=prior, current_state=current,
+            event_timestamp=F.col("event_ts"), elapsed_seconds_in_prior_state=F.col("prep_seconds"),
+            sos_target_seconds=F.col("sos_target"), is_sos_breach=F.col("sos_breach") & (current == "ready"))
+
+    def reached(stage: Column) -> Column:
+        state = F.lit("preparing")
+        for name, value in STAGE_STATES.items():
+            state = F.when(stage == name, F.lit(value)).otherwise(state)
+        return move(F.lit("placed"), state, stage)
+
+    standard = F.array(*[move(F.lit(a), F.lit(b), F.lit(a)) for a, b in
+                         (("placed", "preparing"), ("preparing", "ready"), ("ready", "fulfilled"))])
+    return F.when(F.size("stages") > 0, F.transform("stages", reached)).otherwise(standard)
+
+
+def delivery_events() -> Column:
+    """One delivery, for delivery orders only."""
     took = F.col("prep_seconds") + 900
-    return base.filter(F.col("order_type") == "delivery").select(
-        F.lit("delivery_order").alias("event_type"), key.alias("event_id"), "event_ts",
-        key.alias("delivery_order_id"), "guest_order_id", "unit_id",
-        F.col("tracking_id").alias("platform_order_reference"), took.alias("estimated_delivery_seconds"),
-        took.alias("actual_delivery_seconds"), F.lit("delivered").alias("delivery_status"),
-        F.lit("otel").alias("source"))
+    one = _event(
+        "delivery_order", make_id("otel-deliv", F.col("trace_id")), platform_order_reference=F.col("tracking_id"),
+        estimated_delivery_seconds=took, actual_delivery_seconds=took, delivery_status=F.lit("delivered"))
+    return F.filter(F.array(one), lambda _: F.col("order_type") == "delivery")
+
+
+def events_of(base: DataFrame, *kinds: Column) -> DataFrame:
+    """Envelope rows of the given event arrays, by one explode of the order rows."""
+    return base.select(F.explode(F.concat(*kinds)).alias("event")).select("event.*")
 
 
 def as_envelope(rows: DataFrame) -> DataFrame:
@@ -235,12 +238,6 @@ def as_envelope(rows: DataFrame) -> DataFrame:
 
 
 def reshape_orders(logs: DataFrame, spans: DataFrame, unit: DataFrame, since: Column | None = None) -> DataFrame:
-    """All five event types in the order envelope's declared columns."""
-    base = order_base(logs, spans, unit, since)
-    stages = stage_rows(spans_scan(spans, logs_scan(logs, since)))
-    parts = [otel_guest_order(base), otel_order_item(base), otel_payment(base),
-             otel_status_event(base, stages), otel_delivery_order(base)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return as_envelope(out)
+    """All five event types in the order envelope's declared columns; logs and spans are read once."""
+    return events_of(order_base(logs, spans, unit, since), order_events(), item_events(), payment_events(),
+                     status_events(), delivery_events())

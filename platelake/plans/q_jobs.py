@@ -206,17 +206,17 @@ query("index_spans", """SELECT trace_id, store_id, channel, (SELECT count(*) FRO
         "trace_id", "span.store_id", "span.channel", "stage_count"))
 query("map_store_to_unit", "SELECT trace_id, unit_id FROM otel_base")(lambda t: base(t).select("trace_id", "unit_id"))
 query("otel_guest_order", "SELECT * FROM otel_order", ("placed_at",))(
-    lambda t: telemetry.otel_guest_order(base(t)).select(
+    lambda t: telemetry.events_of(base(t), telemetry.order_events()).select(
         "guest_order_id", "unit_id", "channel", "order_type", "order_status", "profile_id", "member_id", "subtotal",
         "discount_amount", "tax_amount", "total_amount", "placed_at", "sos_breach"))
-query("otel_order_item", "SELECT * FROM otel_line")(lambda t: telemetry.otel_order_item(base(t)).select(
+query("otel_order_item", "SELECT * FROM otel_line")(lambda t: telemetry.events_of(base(t), telemetry.item_events()).select(
     "order_item_id", "guest_order_id", "unit_id", "menu_item_id", "quantity", "unit_price", "line_net_amount"))
 query("unit_price_floor", "SELECT min(unit_price) lowest_price, count(*) FILTER (WHERE unit_price<0.01) below_floor FROM otel_line")(
-    lambda t: telemetry.otel_order_item(base(t)).agg(F.min("unit_price").alias("lowest_price"),
+    lambda t: telemetry.events_of(base(t), telemetry.item_events()).agg(F.min("unit_price").alias("lowest_price"),
                                                      F.count_if(F.col("unit_price") < 0.01).alias("below_floor")))
 query("otel_payment", f"""SELECT {mid("'otel-pay'", 'trace_id')} payment_id, guest_order_id, unit_id, 'card' tender_type,
       cents/100.0::DOUBLE amount, CAST(CAST(event_ts AS DATE) AS VARCHAR) settlement_date FROM otel_base""")(
-    lambda t: telemetry.otel_payment(base(t)).select("payment_id", "guest_order_id", "unit_id", "tender_type", "amount",
+    lambda t: telemetry.events_of(base(t), telemetry.payment_events()).select("payment_id", "guest_order_id", "unit_id", "tender_type", "amount",
                                                      "settlement_date"))
 query("otel_status_event", f"""SELECT {mid("'otel-status'", 'trace_id', 'part')} status_event_id, guest_order_id, prior_state,
       current_state, prep elapsed_seconds_in_prior_state, target sos_target_seconds, breach AND current_state='ready' is_sos_breach
@@ -224,14 +224,13 @@ query("otel_status_event", f"""SELECT {mid("'otel-status'", 'trace_id', 'part')}
       ELSE 'preparing' END current_state, part FROM otel_base b JOIN (SELECT trace_id, lower(replace(stage,' ','')) part
       FROM stage_span) USING (trace_id) UNION ALL SELECT b.*, p, c, p FROM otel_base b, (VALUES ('placed','preparing'),
       ('preparing','ready'),('ready','fulfilled')) v(p,c) WHERE stages=0)""")(
-    lambda t: telemetry.otel_status_event(base(t), telemetry.stage_rows(
-        telemetry.spans_scan(t.otel_spans, telemetry.logs_scan(t.otel_logs)))).select(
+    lambda t: telemetry.events_of(base(t), telemetry.status_events()).select(
         "status_event_id", "guest_order_id", "prior_state", "current_state", "elapsed_seconds_in_prior_state",
         "sos_target_seconds", "is_sos_breach"))
 query("otel_delivery_order", f"""SELECT {mid("'otel-deliv'", 'trace_id')} delivery_order_id, guest_order_id,
       tracking_id platform_order_reference, prep+900 estimated_delivery_seconds, prep+900 actual_delivery_seconds
       FROM otel_base WHERE channel='own_delivery'""")(
-    lambda t: telemetry.otel_delivery_order(base(t)).select(
+    lambda t: telemetry.events_of(base(t), telemetry.delivery_events()).select(
         "delivery_order_id", "guest_order_id", "platform_order_reference", "estimated_delivery_seconds",
         "actual_delivery_seconds"))
 query("reshape_orders", f"""SELECT event_type, count(*) AS rows, {I('amount')} amount FROM (

@@ -397,8 +397,8 @@ query("q_web_order_customer", f"""SELECT web_order_id, member_id, customer_match
 def recon(t):
     from platelake.operators import silver, telemetry, views
 
-    orders = telemetry.otel_guest_order(telemetry.order_base(t.otel_logs, t.otel_spans, t.unit))
-    landed = silver.guest_order(telemetry.as_envelope(orders), t.unit, "event_ts")
+    orders = telemetry.events_of(telemetry.order_base(t.otel_logs, t.otel_spans, t.unit), telemetry.order_events())
+    landed = silver.guest_order(orders, t.unit, "event_ts")
     return views.order_reconciliation(t.otel_logs, t.otel_spans, landed, t.customer_features)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from platelake import schemas
 from platelake.operators.silver import latest
-from platelake.sources.workspace import fresh, workspace  # noqa: F401
+from platelake.sources.workspace import fresh, stored, workspace  # noqa: F401
 
 ORDER_TYPES = tuple(k for k, v in schemas.ROUTES.items() if v == "order_events")
 
@@ -32,15 +32,20 @@ def append_events(rows: DataFrame, root: str) -> None:
 
     Files are partitioned by event type, so each silver reader prunes to its own
     rows.  Columns are conformed to the declared schema; unknown types go to a
-    ``quarantine`` folder instead of being dropped.
+    ``quarantine`` folder instead of being dropped.  The rows are worked out once
+    and stored; only tables that get rows are written.
     """
-    tagged = routed(rows)
+    tagged = stored(routed(rows), "append")
     have = set(tagged.columns)
+    hit = {r["target"] for r in tagged.select("target").distinct().collect()}  # at most one row for each table
     for table, schema in schemas.ENVELOPES.items():
+        if table not in hit:
+            continue
         cols = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]
         tagged.filter(F.col("target") == table).select(*cols).write.mode("append").partitionBy("event_type").parquet(
             f"{root}/{table}")
-    tagged.filter(F.col("target").isNull()).drop("target").write.mode("append").parquet(f"{root}/quarantine")
+    if None in hit:
+        tagged.filter(F.col("target").isNull()).drop("target").write.mode("append").parquet(f"{root}/quarantine")
 
 
 def overwrite(df: DataFrame, path: str) -> None:

@@ -6,13 +6,16 @@ its checkpoint continues where it left off.  Sinks are append-only parquet.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 
 from platelake.operators.silver import latest
 
 Transform = Callable[[DataFrame], DataFrame]
+_LOG = logging.getLogger(__name__)
 
 
 def triggered_run(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
@@ -46,15 +49,16 @@ def scd1_stream(spark: SparkSession, changes: DataFrame, keys: list[str], versio
 
 def full_refresh(spark: SparkSession, source: Callable[[], DataFrame], transform: Transform, root: str, name: str,
                  attempts: int = 2) -> DataFrame:
-    """Rebuild a table from the start under a new checkpoint; one retry."""
+    """Rebuild a table from the start under a new checkpoint; one retry of a failed stream, whose error is logged."""
     import uuid
 
     for attempt in range(1, attempts + 1):
         try:
             return run_table(spark, source(), transform, f"{root}/refresh-{uuid.uuid4().hex}", name)
-        except Exception:
+        except StreamingQueryException as err:
             if attempt == attempts:
                 raise
+            _LOG.warning("refresh of %s failed, attempt %d: %s", name, attempt, err)
     raise ValueError("attempts must be positive")
 
 

@@ -66,3 +66,15 @@ def test_request_fields_that_are_no_numbers(spark):
 def test_tiers_at_their_floors(spark):
     df = spark.createDataFrame([(0.0,), (499.99,), (500.0,), (1500.0,), (3500.0,)], "s double")
     assert [r[0] for r in df.select(tier_for_spend(F.col("s"))).collect()] == ["bronze", "bronze", "silver", "gold", "platinum"]
+
+
+def test_telemetry_reads_logs_and_spans_once(spark, tmp_path):
+    from tests.test_operators import telemetry_frames
+
+    stored = []
+    for name, df in zip(("logs", "spans", "unit"), telemetry_frames(spark)):
+        df.write.parquet(f"{tmp_path}/{name}")
+        stored.append(spark.read.parquet(f"{tmp_path}/{name}"))
+    plan = telemetry.reshape_orders(*stored)._jdf.queryExecution().optimizedPlan().toString()
+    # Once for the rows; the logs also name the wanted traces, the store dimension is numbered and counted, by state and whole.
+    assert plan.count("Relation [trace_id") == 3 and plan.count("Relation [unit_id") <= 4 and plan.count("Generate explode") <= 5
