@@ -9,7 +9,7 @@ every source row.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -46,13 +46,11 @@ class MetricView:
         return [(n, f if isinstance(f, Field) else Field(f)) for n in names for f in (table[n],)]
 
     def query(self, dimensions: Sequence[str] = (), measures: Sequence[str] = (),
-              where: Column | None = None) -> DataFrame:
-        """Measures grouped by dimensions; ``where`` may use any dimension by its name."""
+              where: Mapping[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+        """Measures grouped by dimensions; ``where`` maps a dimension to a condition on it."""
         dims = self._pick("dimension", dimensions, self.dimensions)
         aggs = self._pick("measure", measures, self.measures)
-        wanted = list(dims) + list(aggs)
-        if where is not None:
-            wanted += self._pick("dimension", list(self.dimensions), self.dimensions)
+        tests = self._pick("dimension", list(where or {}), self.dimensions)
         df, done = self.source, set()
 
         def attach(name: str):
@@ -66,10 +64,9 @@ class MetricView:
             df = df.join(join.table.select(*cols), join.on, "left")
             done.add(name)
 
-        for _, f in wanted:
+        for _, f in [*dims, *aggs, *tests]:
             for name in f.joins:
                 attach(name)
-        if where is not None:
-            df = df.withColumns({n: f.expr for n, f in self._pick("dimension", list(self.dimensions), self.dimensions)})
-            df = df.filter(where)
+        for name, f in tests:
+            df = df.filter(where[name](f.expr))
         return df.groupBy(*[f.expr.alias(n) for n, f in dims]).agg(*[f.expr.alias(n) for n, f in aggs])

@@ -52,6 +52,24 @@ def orphans(name: str, child: DataFrame, parent: DataFrame, key: str) -> DataFra
         F.lit(name).alias("check_name"), "violations")
 
 
+def combined(checks: list[DataFrame]) -> DataFrame:
+    out = checks[0]
+    for c in checks[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+def key_checks(tables: dict[str, DataFrame], primary: dict[str, str], foreign: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Repeated primary keys of every table, and orphans of every foreign key; 0 is healthy.
+
+    ``foreign`` lists the parents of a table, which are found by their primary key's name.
+    """
+    unique = [duplicate_keys(f"{name}_key_unique", tables[name], key) for name, key in primary.items()]
+    known = [orphans(f"{child}_has_{parent}", tables[child], tables[parent], primary[parent])
+             for child, parents in foreign.items() for parent in parents]
+    return combined(unique + known)
+
+
 def validate_integrity(guest_order: DataFrame, order_item: DataFrame, payment: DataFrame,
                        menu_item: DataFrame) -> DataFrame:
     """Money identities, vocabulary, key uniqueness and references; 0 is healthy."""
@@ -69,7 +87,4 @@ def validate_integrity(guest_order: DataFrame, order_item: DataFrame, payment: D
         orphans("order_item_has_menu_item", order_item, menu_item, "menu_item_id"),
         orphans("payment_has_order", payment, guest_order, "guest_order_id"),
     ]
-    out = checks[0]
-    for c in checks[1:]:
-        out = out.unionByName(c)
-    return out
+    return combined(checks)

@@ -344,6 +344,14 @@ def _whole(field: str) -> Column:
     return F.col(field).cast("string").try_cast("double").try_cast("bigint")
 
 
+def is_personalized() -> Column:
+    """Whether a request carries a tier or an affinity."""
+    known = F.coalesce(~F.col("tier").isin("", "none"), F.lit(False))
+    for c in CATEGORIES:
+        known = known | _present(f"affinity_{c}")
+    return known
+
+
 def score_batch(requests: DataFrame, popularity: DataFrame, menu_item: DataFrame, suppress=SUPPRESS) -> DataFrame:
     """Enriched requests -> ranked rows plus whether the request was personalised.
 
@@ -352,10 +360,7 @@ def score_batch(requests: DataFrame, popularity: DataFrame, menu_item: DataFrame
     NULL and NaN both mean missing; the viewed item joins the cart.
     """
     affinities = [f"affinity_{c}" for c in CATEGORIES]
-    known = F.coalesce(~F.col("tier").isin("", "none"), F.lit(False))
-    for a in affinities:
-        known = known | _present(a)
-    clean = requests.withColumn("personalized", known).withColumns(
+    clean = requests.withColumn("personalized", is_personalized()).withColumns(
         {a: F.when(_present(a), F.col(a)) for a in affinities})
     viewed = _whole("viewed_product_id")
     ids = F.concat(parse_cart(F.col("cart_product_ids")),
@@ -379,3 +384,9 @@ def as_lists(ranked: DataFrame, requests: DataFrame | None = None) -> DataFrame:
         return lists
     return requests.select("request_id", "personalized").join(lists.drop("personalized"), "request_id", "left").withColumn(
         "recommendations", F.coalesce("recommendations", F.array()))
+
+
+def score_lists(requests: DataFrame, popularity: DataFrame, menu_item: DataFrame, suppress=SUPPRESS) -> DataFrame:
+    """``score_batch`` as one row for every request; where nothing is left to recommend the list is empty."""
+    ranked = score_batch(requests, popularity, menu_item, suppress)
+    return as_lists(ranked, requests.withColumn("personalized", is_personalized()))

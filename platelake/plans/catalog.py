@@ -393,7 +393,7 @@ class Tables:
         schema = schemas.ENVELOPES[table]
         out = None
         for event_type, home in schemas.ROUTES.items():
-            if home != table:
+            if home != table or not hasattr(self, f"_ev_{event_type}"):  # a type without supplied rows
                 continue
             rows = self.events_of(event_type)
             have = set(rows.columns)

@@ -37,7 +37,7 @@ query("feature_lookup", """SELECT event_id request_id, cf.tier, cf.aov, s.store_
 def event_requests(t):
     """One recommendation request per user event, cart and viewed item taken from its fields."""
     e, u = F.col("event_id"), F.col("user_id")
-    size = t.menu_item.agg(F.count(F.lit(1))).scalar()
+    size = F.lit(t.menu_item.count())
     text = lambda c: c.cast("string")
     a, b = (e * 7) % size, (e * 13 + 1) % size
     cart = (F.when(e % 5 == 0, F.concat(F.lit("["), text(a), F.lit(","), text(b), F.lit("]")))
@@ -122,6 +122,14 @@ BATCH_CART = f"""(SELECT event_id request_id, (event_id*7)%{SIZE} menu_item_id F
 query("score_batch", ranked_sql(BATCH, BATCH_CART, ", personalized"))(lambda t: recommend.score_batch(
     event_requests(t).join(t.feature_tables[0], "profile_id", "left"), t.feature_tables[2], t.menu_item, SUPPRESS))
 
+query("recommendation_lists", f"""SELECT b.request_id, b.personalized, count(r.rank) offered,
+      coalesce(string_agg(r.menu_item_id, ',' ORDER BY r.rank),'') items FROM {BATCH} b
+      LEFT JOIN ({ranked_sql(BATCH, BATCH_CART)}) r USING (request_id) GROUP BY 1, 2""")(
+    lambda t: recommend.score_lists(event_requests(t).join(t.feature_tables[0], "profile_id", "left"), t.feature_tables[2],
+                                    t.menu_item, SUPPRESS).select(
+        "request_id", "personalized", F.size("recommendations").cast("bigint").alias("offered"),
+        F.array_join(F.transform("recommendations", lambda r: r["menu_item_id"].cast("string")), ",").alias("items")))
+
 HELD = """(SELECT guest_order_id request_id, order_item_id, menu_item_id FROM (SELECT *, count(*) OVER (PARTITION BY guest_order_id) k
       FROM order_item) WHERE k>=2 QUALIFY row_number() OVER (PARTITION BY guest_order_id ORDER BY order_item_id DESC)=1)"""
 BASKET = f"""(SELECT DISTINCT guest_order_id request_id, menu_item_id FROM order_item WHERE order_item_id NOT IN (SELECT order_item_id FROM {HELD})
@@ -171,6 +179,9 @@ query("price_carts", f"""SELECT cart_id, s/100.0::DOUBLE subtotal, {HU('s*9', '1
       (s+{HU('s*9', '100')})/100.0::DOUBLE total, 'USD' currency FROM (SELECT guest_order_id cart_id,
       CAST(sum(coalesce({fx('base_price', 100)},0)*quantity) AS BIGINT) s FROM order_item LEFT JOIN menu_item USING (menu_item_id) GROUP BY 1)""")(
     lambda t: carts.price_carts(t.order_item.select(F.col("guest_order_id").alias("cart_id"), "menu_item_id", "quantity"), t.menu_item))
+query("price_lines", """SELECT guest_order_id cart_id, menu_item_id, coalesce(item_name,'') item_name, quantity,
+      coalesce(round(base_price,2),0.0)::DOUBLE unit_price FROM order_item LEFT JOIN menu_item USING (menu_item_id)""")(
+    lambda t: carts.price_lines(t.order_item.select(F.col("guest_order_id").alias("cart_id"), "menu_item_id", "quantity"), t.menu_item))
 query("recent_orders", """SELECT profile_id, guest_order_id, placed_at, total_amount, CAST(r AS INTEGER) recency FROM (SELECT *,
       row_number() OVER (PARTITION BY profile_id ORDER BY placed_at DESC, guest_order_id DESC) r FROM guest_order
       WHERE profile_id IS NOT NULL) WHERE r<=5""", ("placed_at",))(lambda t: carts.recent_orders(t.guest_order))
@@ -200,6 +211,10 @@ query("tier_to_multiplier", """SELECT loyalty_transaction_id, CASE tier WHEN 'si
 query("mask_by_tag", f"""SELECT guest_profile_id, first_name, last_name, {MASK_EMAIL.format('email')} email, {MASK_PHONE.format('phone')} phone
       FROM guest_profile""")(lambda t: governance.mask_by_tag(t.guest_profile, "guest_profile").select(
           "guest_profile_id", "first_name", "last_name", "email", "phone"))
+query("mask_guest_events", f"""SELECT guest_profile_id, created_at event_ts, first_name, {MASK_EMAIL.format('email')} email,
+      {MASK_PHONE.format('phone')} phone FROM profile_change""", ("event_ts",))(
+    lambda t: governance.mask_by_tag(t.envelope("guest_events").filter(F.col("event_type") == "guest_profile"), "guest_events").select(
+        "guest_profile_id", "event_ts", "first_name", "email", "phone"))
 GROUPS = ["franchisee_3", "region_2"]
 for table, key in (("guest_order", "guest_order_id"), ("waste_log", "waste_log_id"), ("time_punch", "time_punch_id"),
                    ("loyalty_transaction", "loyalty_transaction_id"), ("guest_profile", "guest_profile_id"), ("unit", "unit_id")):

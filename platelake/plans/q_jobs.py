@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from platelake import schemas
 from platelake.functions import weather as wx
 from platelake.functions.ids import make_id
 from platelake.operators import derive, enrich, gold, silver, telemetry
@@ -34,6 +35,9 @@ query("otel_spans_scan", """SELECT trace_id, 'order-tracker received order' AS n
         "trace_id", "name", "store_id", "channel", "prep_seconds", "state", "sos_target"))
 query("ts_from_nanos", "SELECT trace_id, event_ts FROM otel_logs", ("event_ts",))(
     lambda t: t.otel_logs.select("trace_id", telemetry.from_nanos(F.col("time_unix_nano")).alias("event_ts")))
+query("otel_event_time", """SELECT trace_id, CASE WHEN CAST(trace_id AS BIGINT)%3=0 THEN event_ts+INTERVAL 1 HOUR ELSE event_ts END event_ts
+      FROM otel_logs""", ("event_ts",))(lambda t: t.otel_logs.select("trace_id", telemetry.event_time(told_time(), F.col("time_unix_nano")).alias(
+          "event_ts")))
 query("high_water_mark", "SELECT max(event_ts) high_water_mark FROM otel_base", ("high_water_mark",))(
     lambda t: envelope.high_water_mark(reshaped(t)))
 query("resume_point", f"""SELECT date_trunc('hour',greatest({NOW_ORD},(SELECT max(ts) FROM events),
@@ -63,6 +67,13 @@ query("seatgeek_json_scan", f"""SELECT metro_area, event_date, {EVENT_ID}, event
       AND {KIND} NOT IN ('circus','comedy')""", ("event_date",))(lambda t: payloads.seatgeek(payload_feeds.seats(t)))
 
 
+def told_time():
+    """A record's own time text: an hour later, junk, or none."""
+    n = F.col("trace_id").cast("bigint") % 3
+    later = telemetry.from_nanos(F.col("time_unix_nano")) + F.expr("INTERVAL 1 HOUR")
+    return F.when(n == 0, later.cast("string")).when(n == 1, F.lit("soon"))
+
+
 def reshaped(t):
     return telemetry.reshape_orders(t.otel_logs, t.otel_spans, t.unit)
 
@@ -86,7 +97,9 @@ query("append_otel", """SELECT 'guest_order' event_type, count(*) AS rows FROM o
     lambda t: append_otel(t))
 query("overwrite_dim", "SELECT * FROM menu_item")(lambda t: stored(t, t.menu_item))
 query("export_csv", "SELECT CAST(menu_item_id AS VARCHAR) menu_item_id, item_name, category FROM menu_item")(
-    lambda t: export_csv(t))
+    lambda t: export_csv(t, t.menu_item.select("menu_item_id", "item_name", "category")))
+query("export_csv_stores", "SELECT CAST(unit_id AS VARCHAR) unit_id, unit_name, metro_area FROM unit")(
+    lambda t: export_csv(t, t.unit.select("unit_id", "unit_name", "metro_area")))
 query("merge_weather", """SELECT metro_area, forecast_date, observation_id, high_temp_f FROM weather_feed QUALIFY row_number() OVER
       (PARTITION BY metro_area, forecast_date ORDER BY observation_id%2 DESC, observation_id DESC)=1""", ("forecast_date",))(
     lambda t: merge_weather(t))
@@ -115,9 +128,9 @@ def append_otel(t):
     return t.spark.read.parquet(f"{root}/order_events").groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def export_csv(t):
-    path = sinks.fresh(t.spark, "menu")
-    sinks.export_csv(t.menu_item.select("menu_item_id", "item_name", "category"), path)
+def export_csv(t, rows):
+    path = sinks.fresh(t.spark, "export")
+    sinks.export_csv(rows, path)
     return t.spark.read.option("header", True).csv(path)
 
 
@@ -164,6 +177,18 @@ def _root(t):
     return sinks.fresh(t.spark, "stream")
 
 
+def streamed(t, event_type, transform):
+    """Append the events to their envelope table, then run one silver table over it as a stream."""
+    root, home = _root(t), schemas.ROUTES[event_type]
+    sinks.append_events(t.events_of(event_type), f"{root}/staging")
+    stream = envelope.read_stream(t.spark, f"{root}/staging/{home}", schemas.ENVELOPES[home])
+    return flows.run_table(t.spark, stream, transform, root, event_type)
+
+
+def streamed_orders(t):
+    return streamed(t, "guest_order", lambda s: silver.guest_order(s, t.unit, "event_ts"))
+
+
 query("stream_envelope", "SELECT event_id, user_id, event_type, value FROM events")(
     lambda t: flows.run_table(t.spark, Streamed(t.spark, t.dir).raw("events"),
                               lambda s: s.select("event_id", "user_id", "event_type", "value"), _root(t), "events"))
@@ -176,6 +201,12 @@ query("stream_digital_account", "SELECT * FROM digital_account", ("created_at",)
 query("scd1_stream", "SELECT * EXCLUDE (digital_account_id) FROM guest_profile", ("created_at",))(
     lambda t: flows.scd1_stream(t.spark, silver.guest_profile_changes(
         profile_events(Streamed(t.spark, t.dir).raw("events")), t.unit), ["guest_profile_id"], "created_at", _root(t)))
+query("stream_guest_order", "SELECT * EXCLUDE (prep) FROM guest_order",
+      ("placed_at", "ready_at", "fulfilled_at", "cancelled_at", "created_at"))(lambda t: streamed_orders(t))
+query("stream_order_item", "SELECT * FROM order_item", ("placed_at", "created_at"))(
+    lambda t: streamed(t, "order_item", lambda s: silver.order_item(s, "event_ts")))
+query("stream_gold_daily", "SELECT * FROM unit_performance_daily", ("date",))(
+    lambda t: gold.unit_performance_daily(streamed_orders(t)))
 query("full_refresh", "SELECT * FROM shift", ("shift_start", "shift_end", "created_at"))(
     lambda t: flows.full_refresh(t.spark, lambda: Streamed(t.spark, t.dir).events_of("shift"),
                                  lambda s: silver.shift(s, "event_ts"), _root(t), "shift"))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from platelake.plans import metrics
 from platelake.plans.duck import A, BURN, C, EARN, GAP, I, LATE, P, S
 from platelake.plans.registry import query
 
 
 def _select(key, view, dims, measures, sql, text=(), where=None):
-    query(key, sql, text)(lambda t: view(t).query(dims, measures, where() if where else None))
+    query(key, sql, text)(lambda t: view(t).query(dims, measures, where))
 
 
 _select("mv_order_performance", metrics.order_performance,
@@ -25,7 +23,7 @@ _select("mv_order_performance", metrics.order_performance,
 _select("mv_order_performance_by_status", metrics.order_performance, ["Order Status", "Order Date"], ["Total Orders"],
         """SELECT order_status "Order Status", CAST(placed_at AS DATE) "Order Date", count(*) "Total Orders"
         FROM guest_order WHERE channel='catering' GROUP BY ALL""", ("Order Date",),
-        lambda: F.col("Channel") == "catering")
+        {"Channel": lambda c: c == "catering"})
 _select("mv_loyalty_performance", metrics.loyalty_performance, ["Tier", "Transaction Type", "Unit ID", "Transaction Month"],
         ["Unique Members", "Total Transactions", "Points Earned", "Points Redeemed"],
         f"""SELECT tier "Tier", transaction_type "Transaction Type", unit_id "Unit ID",
@@ -52,7 +50,7 @@ _select("metric_orders_sos", metrics.orders_sos, ["Channel", "Store", "Metro", "
 _select("metric_orders_sos_by_date", metrics.orders_sos, ["Order Date", "Order Type"], ["Orders", "Revenue"],
         f"""SELECT CAST(placed_at AS DATE) "Order Date", order_type "Order Type", count(*) "Orders",
         {S('total_amount')} "Revenue" FROM guest_order LEFT JOIN unit USING (unit_id) WHERE metro_area='ASIA' GROUP BY ALL""",
-        ("Order Date",), lambda: F.col("Metro") == "ASIA")
+        ("Order Date",), {"Metro": lambda c: c == "ASIA"})
 _select("metric_loyalty", metrics.loyalty, ["Tier", "Store", "Metro"],
         ["Active Members", "Transactions", "Points Earned", "Points Redeemed", "Redemption Rate"],
         f"""SELECT tier "Tier", unit_name "Store", metro_area "Metro", count(DISTINCT member_id) "Active Members",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from platelake import schemas
 from platelake.operators import gold, quality, silver, tables
 from platelake.plans.duck import (A, BURN, C, EARN, I, LATE, NOW_DEL, NOW_EVT, NOW_LOY, NOW_ORD, NOW_PAY, NOW_WST, P,
                                   R, S, days)
@@ -72,6 +73,13 @@ query("validate_integrity", """SELECT unnest(['total_is_subtotal_plus_tax','net_
       violations""")(
     lambda t: quality.validate_integrity(t.guest_order, t.order_item, t.payment, t.menu_item))
 
+query("integrity_keys", " UNION ALL ".join(
+    [f"SELECT '{n}_key_unique' check_name, count(*) violations FROM (SELECT 1 FROM {n} GROUP BY {k} HAVING count(*)>1)"
+     for n, k in schemas.PRIMARY_KEYS.items()] +
+    [f"SELECT '{n}_has_{p}', count(*) FROM {n} WHERE {schemas.PRIMARY_KEYS[p]} NOT IN (SELECT {schemas.PRIMARY_KEYS[p]} FROM {p})"
+     for n, parents in schemas.PARENTS.items() for p in parents]))(
+    lambda t: quality.key_checks({n: getattr(t, n) for n in schemas.PRIMARY_KEYS}, schemas.PRIMARY_KEYS, schemas.PARENTS))
+
 # ---- gold
 
 query("unit_performance_daily", "SELECT * FROM unit_performance_daily", ("date",))(

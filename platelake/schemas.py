@@ -67,7 +67,7 @@ ROUTES = {
     "status_event": "order_events", "delivery_order": "order_events",
     "on_hand_balance": "inventory_events", "waste_log": "inventory_events",
     "receiving_order": "inventory_events", "replenishment_order": "inventory_events",
-    "guest_profile": "guest_events",
+    "guest_profile": "guest_events", "digital_account": "guest_events",
     "loyalty_transaction": "loyalty_events", "reward_redemption": "loyalty_events",
     "shift": "workforce_events", "time_punch": "workforce_events",
 }
@@ -82,6 +82,12 @@ PRIMARY_KEYS = {
     "shift": "shift_id", "time_punch": "time_punch_id",
 }
 
+# Tables that a table's rows refer to, by the primary key of the parent.
+PARENTS = {
+    "order_item": ("guest_order",), "payment": ("guest_order",), "status_event": ("guest_order",),
+    "delivery_order": ("guest_order",), "loyalty_transaction": ("guest_order",), "digital_account": ("guest_profile",),
+}
+
 # Column classes that drive masking; the raw guest envelope carries those of the profile.
 _GUEST_TAGS = {
     "email": "class.email_address", "phone": "class.phone_number",

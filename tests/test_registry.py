@@ -9,9 +9,9 @@ from tests.compare import compare, duck
 SAMPLE = [
     "unit_performance_daily", "sos_compliance_summary", "silver_guest_profile", "f_sos_compliance", "f_franchisee_scorecard",
     "f_tender_mix", "metric_franchisee", "q_digital_adoption", "q_top_decile_customers", "demand_risk_forecast",
-    "order_reconciliation", "reshape_orders", "customer_features", "rank_recommendations", "score_batch",
+    "order_reconciliation", "reshape_orders", "customer_features", "rank_recommendations", "recommendation_lists",
     "build_feature_vector", "expected_demand", "price_drift", "weather_json_scan", "classify_pii_documents",
-    "stream_static_join", "scd1_stream", "incremental_refresh", "merge_weather", "append_evolving"]
+    "stream_static_join", "stream_gold_daily", "integrity_keys", "scd1_stream", "incremental_refresh", "merge_weather", "append_evolving"]
 
 
 @pytest.fixture(scope="module")

@@ -78,3 +78,42 @@ def test_telemetry_reads_logs_and_spans_once(spark, tmp_path):
     plan = telemetry.reshape_orders(*stored)._jdf.queryExecution().optimizedPlan().toString()
     # Once for the rows; the logs also name the wanted traces, the store dimension is numbered and counted, by state and whole.
     assert plan.count("Relation [trace_id") == 3 and plan.count("Relation [unit_id") <= 4 and plan.count("Generate explode") <= 5
+
+
+def test_a_filter_joins_only_what_it_names(spark):
+    from platelake.operators.metric_view import Join, Field, MetricView
+
+    sales = spark.createDataFrame([(1, 7, 2.0), (2, 8, 3.0), (1, 8, 4.0)], "unit_id int, item int, amount double")
+    unit = spark.createDataFrame([(1, "A"), (2, "B")], "unit_id int, store string")
+    item = spark.createDataFrame([(7, "x"), (8, "y")], "item int, kind string")
+    view = MetricView(sales, {"Store": Field(F.col("store"), ["unit"]), "Kind": Field(F.col("kind"), ["item"])},
+                      {"Total": F.sum("amount")}, {"unit": Join(unit, "unit_id", {"store": "store"}),
+                                                   "item": Join(item, "item", {"kind": "kind"})})
+    out = view.query(["Store"], ["Total"], {"Store": lambda c: c == "A"})
+    assert [tuple(r) for r in out.collect()] == [("A", 6.0)]
+    assert out._jdf.queryExecution().analyzed().toString().count("Join LeftOuter") == 1
+
+
+def test_request_without_a_candidate_has_an_empty_list(spark):
+    menu = spark.createDataFrame([(1, "Soda", "drinks", "cola"), (2, "Pie", "pizza", "plain")],
+                                 "menu_item_id bigint, item_name string, category string, subcategory string")
+    sold = spark.createDataFrame([(1, 1, 1.0)], "unit_id bigint, menu_item_id bigint, popularity double")
+    likes = ", ".join(f"affinity_{c} double" for c in recommend.CATEGORIES)
+    none = [None] * len(recommend.CATEGORIES)
+    asked = spark.createDataFrame([(1, 1, "[1,2]", None, 3, None, *none), (2, 1, "[2]", None, 3, "gold", *none)],
+                                  "request_id bigint, store_id bigint, cart_product_ids string, viewed_product_id bigint, "
+                                  f"num_recommendations int, tier string, {likes}")
+    got = {r.request_id: r for r in recommend.score_lists(asked, sold, menu).collect()}
+    assert got[1].recommendations == [] and not got[1].personalized
+    assert [x.menu_item_id for x in got[2].recommendations] == [1] and got[2].personalized
+
+
+def test_keys_are_checked_for_every_table(spark):
+    from platelake.operators import quality
+
+    orders = spark.createDataFrame([(1,), (1,), (2,)], "guest_order_id bigint")
+    paid = spark.createDataFrame([(5, 1), (6, 9), (7, None)], "payment_id bigint, guest_order_id bigint")
+    out = quality.key_checks({"guest_order": orders, "payment": paid}, {"guest_order": "guest_order_id", "payment": "payment_id"},
+                             {"payment": ("guest_order",)})
+    assert {r.check_name: r.violations for r in out.collect()} == {
+        "guest_order_key_unique": 1, "payment_key_unique": 0, "payment_has_guest_order": 1}
