@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platelake.llm import chat, langid, mixing, mtree, neardup, packing, quality, sharding, spotsigs, urls
+from platelake.llm import (chat, crosstok, langid, mixing, mtree, neardup, packing, quality, sharding, spotsigs, toxicity,
+                           urls, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -176,3 +177,26 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(0 AS BIGINT) AS attachments, CAST(0 AS BIGINT) AS attachment_tokens
 FROM e GROUP BY conv_id
 """
+
+
+# A document is called toxic from this score on.
+TOXIC_FROM = 0.7
+
+
+@query
+def op11_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lexicon = toxicity.train(docs, table(spark, sf_dir, "labels"), F.coalesce(id_fold(3) != 1, F.lit(False)))
+    return (docs.select("doc_id", "text").withColumn("score", toxicity.scored(lexicon, F.col("text")))
+            .select("doc_id", F.coalesce(id_fold(3) == 1, F.lit(True)).alias("held_out"), "score",
+                    (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted")))
+
+
+@query
+def op12_qd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_lockstep_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstok.aligned(table(spark, sf_dir, "documents"))
