@@ -14,8 +14,9 @@ blocks, trees are rows of a stored table, and equal vectors are one entry with t
 Scores are integers and exact: bounds only decide what is skipped, with a slack above the rounding of doubles.
 
 Defined cases: NULL vectors and those with NULL or non-finite components take no part; neither do vectors of another length
-than the query's.  Rows with equal id and vector count once; a query never returns its own id.  A component outside the
-range of long raises an error.  Empty tables give no rows.
+than the query's.  Rows with equal id and vector count once; an id with several vectors asks with each of them, its best
+pairs are ranked together, and a query never returns its own id.  A component beyond 2 ** 62 after scaling is set to that
+bound, a score beyond the range of long to the range's end.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -29,11 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from platelake.llm.ids import as_key
 from platelake.sources.workspace import stored
 
 SCALE = 1024
 LEAF, FANOUT = 256, 8
-CELLS, TREE_ROWS, QUERY_BLOCK = 64, 8192, 256
+CELLS, TREE_ROWS, QUERY_BLOCK = 64, 8192, 4096
+
+
+# Components and scores are held inside the range of long.
+LARGEST, MOST = 2.0 ** 62, (1 << 63) - 1
+ROUTE = "qid string, v array<bigint>, own long, cell int, least long"
 
 
 def products(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -100,8 +107,8 @@ class MTree:
         self.pages[number] = (False, below, self._far(objects[keep], parent), objects[keep], radius)
         return number
 
-    def search(self, q: np.ndarray, k: int, least: int | None = None) -> list[tuple[int, int]]:
-        """The k best (score, id), by score and then by smaller id; nothing below the score ``least``."""
+    def search(self, q: np.ndarray, k: int, least: int | None = None, without: int | None = None) -> list[tuple[int, int]]:
+        """The k best (score, id), by score and then by smaller id; nothing below ``least``, nothing of the id ``without``."""
         query = np.append(q.astype(np.float64), 0.0)
         length = float(query @ query)
         slack = 1e-6 * (1.0 + np.sqrt(length + self.far))
@@ -143,7 +150,9 @@ class MTree:
                     s = int(scores[at])
                     if len(best) >= k and s < best[0][0]:
                         continue
-                    for i in self.ids[rows[at]][:k].tolist():
+                    for i in self.ids[rows[at]][:k + 1].tolist():
+                        if i == without:
+                            continue
                         item = (s, -i)
                         if len(best) < k:
                             heapq.heappush(best, item)
@@ -170,7 +179,8 @@ def quantised(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
     fit = F.col("embedding").isNotNull() & F.forall(
         x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     return (embeddings.filter(F.col("vec_id").isNotNull() & F.coalesce(fit, F.lit(False)))
-            .select("vec_id", F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c).cast("bigint")).alias("v")))
+            .select("vec_id", F.transform(x, lambda c: F.floor(F.greatest(F.lit(-LARGEST), F.least(
+                F.lit(LARGEST), F.lit(float(scale)) * c))).cast("bigint")).alias("v")))
 
 
 def _nearest(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -179,28 +189,35 @@ def _nearest(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, cells: int = CELLS, tree_rows: int = TREE_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row of ``queries`` its k best rows of ``vectors`` (both vec_id, v)."""
-    keep = k + 1  # a query's own row may take one place
+    """query_id, rank, vec_id, score: for each row of ``queries`` its k best rows of ``vectors`` (both vec_id, v).
+
+    Queries with one vector share a search, which keeps one row more since their own one may take a place.  The vectors of an
+    id that has several are searched one by one and pass over all rows of that id.
+    """
+    keep = k + 1
     same = Window.partitionBy("v").orderBy("vec_id")
     few = (vectors.distinct().withColumn("n", F.row_number().over(same)).filter(F.col("n") <= keep)
            .groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
     entries = stored(few.withColumn("dim", F.size("v")), "mtree-entries")
-    asked = stored(queries.distinct().groupBy("v").agg(F.min("vec_id").alias("qid")).withColumn("dim", F.size("v")),
-                   "mtree-queries")
+    several = (vectors.join(queries.select("vec_id").distinct(), "vec_id", "left_semi").distinct().groupBy("vec_id").count()
+               .filter("count > 1").select("vec_id", F.col("vec_id").alias("own")))
+    name = F.concat_ws(" ", F.sha2(F.to_json("v"), 256), F.col("own").cast("string"))
+    each = stored(queries.select("vec_id", "v").distinct().join(several, "vec_id", "left").withColumn("qid", name)
+                  .withColumn("dim", F.size("v")), "mtree-queries")
+    asked = each.groupBy("qid", "dim").agg(F.first("v").alias("v"), F.first("own").alias("own"))
     parts = []
-    for dim in [r["dim"] for r in asked.select("dim").distinct().collect()]:
+    for dim in [r["dim"] for r in each.select("dim").distinct().collect()]:
         parts.append(_searched(entries.filter(F.col("dim") == dim).select("v", "ids"),
-                               asked.filter(F.col("dim") == dim).select("v", "qid"), keep, cells, tree_rows))
+                               asked.filter(F.col("dim") == dim).select("qid", "v", "own"), keep, cells, tree_rows))
     spark = vectors.sparkSession
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     found = parts[0]
     for p in parts[1:]:
         found = found.union(p)
-    each = queries.distinct().select(F.col("vec_id").alias("query_id"), "v").join(asked.select("v", "qid"), "v")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (each.select("query_id", "qid").join(found, "qid").filter("vec_id != query_id")
-            .select("query_id", "vec_id", "score").distinct().withColumn("rank", F.row_number().over(order))
+    return (each.select(F.col("vec_id").alias("query_id"), "qid").join(found, "qid").filter("vec_id != query_id")
+            .select("query_id", "vec_id", "score").withColumn("rank", F.row_number().over(order))
             .filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
 
 
@@ -208,7 +225,7 @@ def _searched(entries: DataFrame, asked: DataFrame, keep: int, cells: int, tree_
     """qid, vec_id, score: the ``keep`` best rows of each distinct query vector."""
     picked = entries.select("v").orderBy(F.xxhash64("v"), "v").limit(cells).collect()
     if not picked:
-        return entries.sparkSession.createDataFrame([], "qid long, vec_id long, score long")
+        return entries.sparkSession.createDataFrame([], "qid string, vec_id long, score long")
     centres = np.array([r["v"] for r in picked], np.float64)
 
     def assigned(batches):
@@ -236,50 +253,50 @@ def _searched(entries: DataFrame, asked: DataFrame, keep: int, cells: int, tree_
 
     def nearest(batches):
         for pdf in batches:
-            yield pd.DataFrame({"qid": pdf["qid"], "v": pdf["v"],
+            yield pd.DataFrame({"qid": pdf["qid"], "v": pdf["v"], "own": pd.array([None if o == "" else int(o) for o in pdf["own"]], dtype="Int64"),
                                 "cell": _nearest(np.stack(pdf["v"]), centres).astype("int32") if len(pdf) else [],
                                 "least": None})
 
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
 
     def visited(routes: DataFrame) -> DataFrame:
-        """Search the trees of the routes' cells; routes: qid, v, cell, least."""
+        """Search the trees of the routes' cells; routes: qid, v, own, cell, least."""
         block = F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block")
-        grouped = routes.groupBy("cell", block).agg(F.collect_list(F.struct("qid", "v", "least")).alias("asked"))
+        grouped = routes.groupBy("cell", block).agg(F.collect_list(F.struct("qid", "v", "own", "least")).alias("asked"))
 
         def run(batches):
             for pdf in batches:
                 for pages, wanted in zip(pdf["pages"], pdf["asked"]):
                     tree, rows = pickle.loads(pages), []
                     for w in wanted:
-                        least = None if w["least"] is None or pd.isna(w["least"]) else int(w["least"])
-                        got = tree.search(np.asarray(w["v"], np.int64), keep, least=least)
-                        rows += [(w["qid"], i, s) for s, i in got]
-                    yield pd.DataFrame(rows, columns=["qid", "vec_id", "score"], dtype="int64")
+                        least, own = (None if pd.isna(w[c]) else int(w[c]) for c in ("least", "own"))
+                        got = tree.search(np.asarray(w["v"], np.int64), keep, least=least, without=own)
+                        rows += [(w["qid"], i, max(min(s, MOST), -MOST)) for s, i in got]
+                    yield pd.DataFrame(rows, columns=["qid", "vec_id", "score"]).astype({"vec_id": "int64", "score": "int64"})
 
         found = trees.join(grouped, "cell").repartition("cell", "tree", "block").select("pages", "asked")
-        return found.mapInPandas(run, "qid long, vec_id long, score long")
+        return found.mapInPandas(run, "qid string, vec_id long, score long")
 
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
-    routes = asked.mapInPandas(nearest, "qid long, v array<bigint>, cell int, least long")
+    routes = asked.select("qid", "v", as_key("own")).mapInPandas(nearest, ROUTE)
     first = stored(visited(routes), "mtree-first")
     kth = (first.withColumn("n", F.row_number().over(order)).filter(F.col("n") == keep)
            .select("qid", F.col("score").alias("least")))
-    started = routes.select("qid", "v", F.col("cell").alias("home")).join(kth, "qid", "left")
+    started = routes.select("qid", "v", "own", F.col("cell").alias("home")).join(kth, "qid", "left")
 
     def reachable(batches):
         for pdf in batches:
             rows = []
-            for qid, v, home, least in zip(pdf["qid"], pdf["v"], pdf["home"], pdf["least"]):
+            for qid, v, own, home, least in zip(*(pdf[c] for c in ("qid", "v", "own", "home", "least"))):
                 q = np.asarray(v, np.float64)
                 bound = centres @ q + np.sqrt(q @ q) * radius
                 bound = bound + 1e-6 * (1 + np.abs(bound))
                 for c in np.flatnonzero(np.isfinite(radius)):
-                    if c != home and (pd.isna(least) or bound[c] >= least):
-                        rows.append((qid, v, int(c), None if pd.isna(least) else int(least)))
-            yield pd.DataFrame(rows, columns=["qid", "v", "cell", "least"]).astype({"least": "Int64"})
+                    if c != home and (least == "" or bound[c] >= int(least)):
+                        rows.append((qid, v, None if own == "" else int(own), int(c), None if least == "" else int(least)))
+            yield pd.DataFrame(rows, columns=["qid", "v", "own", "cell", "least"]).astype({"own": "Int64", "least": "Int64"})
 
-    rest = started.mapInPandas(reachable, "qid long, v array<bigint>, cell int, least long")
+    rest = started.select("qid", "v", as_key("own"), "home", as_key("least")).mapInPandas(reachable, ROUTE)
     both = first.union(visited(rest))
     return (both.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= keep)
             .select("qid", "vec_id", "score"))
