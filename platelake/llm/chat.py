@@ -14,7 +14,10 @@ Reading back is a stream: ``Reader`` takes rendered turns one after the other an
 conversation of any length needs bounded memory.
 
 Defined cases: a NULL text is empty, a NULL role is the empty role; turns are ordered by turn (NULL first), then role and
-text, repeated rows included; rows without a conversation id are one conversation with a NULL id; parts of unknown kind or NULL parts are written as document placeholders without reference.
+the texts of their parts, repeated rows included; rows without a conversation id are one conversation with a NULL id; parts
+of unknown kind or NULL parts are written as document placeholders without reference.  Sizes that are NULL, zero or negative
+count as one patch or page, seconds that are NULL, negative, NaN or infinite as one token.  A conversation of any length is read
+in one task, a turn at a time, since its digests are sequential; turns without rows are none.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from platelake.llm.ids import as_key, from_key
 CONTROLS = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _CONTROL = re.compile("|".join(re.escape(c) for c in sorted(CONTROLS, key=len, reverse=True)))
 _TURN = re.compile(r"<\|turn\|>([^\n]*)\n(.*?)<\|end\|>\n", re.S)
-_PLACE = re.compile(r"<\|(image|audio|document):(\d+)\|>")
+_PLACE = re.compile(r"<\|(?:image|audio|document):\d+\|>")
 PART = "struct<kind:string,text:string,uri:string,width:int,height:int,seconds:double,pages:int>"
 PATCH, AUDIO_RATE, PAGE_TOKENS = 28, 12.5, 1024
 
@@ -61,11 +64,12 @@ class Visitor:
         return escape(part["text"] or "")
 
     def visit_image(self, part) -> str:
-        return self._place("image", part, math.ceil((part["width"] or PATCH) / PATCH) * math.ceil(
-            (part["height"] or PATCH) / PATCH))
+        wide, high = (math.ceil((part[side] if (part[side] or 0) > 0 else PATCH) / PATCH) for side in ("width", "height"))
+        return self._place("image", part, wide * high)
 
     def visit_audio(self, part) -> str:
-        return self._place("audio", part, max(1, math.ceil((part["seconds"] or 0) * AUDIO_RATE)))
+        seconds = part["seconds"] or 0.0
+        return self._place("audio", part, max(1, math.ceil(seconds * AUDIO_RATE)) if math.isfinite(seconds) else 1)
 
     def visit_document(self, part) -> str:
         pages = part["pages"] if part is not None else None
@@ -95,8 +99,7 @@ class Reader:
         while (m := _TURN.match(self.rest)) is not None:
             self.rest = self.rest[m.end():]
             role = unescape(re.sub(r"(?<!\\)((?:\\\\)*)\\n", "\\1\n", m[1]))
-            text = "".join(unescape(t) for t in _PLACE.sub("\0", m[2]).split("\0")) if _PLACE.search(m[2]) \
-                else unescape(m[2])
+            text = "".join(map(unescape, _PLACE.split(m[2])))
             self.turns += 1
             self.all.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
             if role == "assistant":
@@ -124,9 +127,10 @@ def text_parts(conversations: DataFrame) -> DataFrame:
 
 def ordered(turns: DataFrame) -> DataFrame:
     """All turns of a conversation in one partition, in order."""
-    text = F.to_json("parts")
-    return (turns.select("conv_id", "turn", "role", "parts", text.alias("_text")).repartition("conv_id")
-            .sortWithinPartitions("conv_id", "turn", "role", "_text").drop("_text"))
+    said = F.transform("parts", lambda p: F.coalesce(p["text"], F.lit("")))
+    return (turns.select("conv_id", "turn", "role", "parts", said.alias("_said"), F.to_json("parts").alias("_all"))
+            .repartition("conv_id").sortWithinPartitions("conv_id", "turn", F.coalesce("role", F.lit("")), "_said", "_all")
+            .drop("_said", "_all"))
 
 
 def formatted(turns: DataFrame) -> DataFrame:
