@@ -11,7 +11,8 @@ copies of a few documents of each size class, largest first.
 Sources are numbered by a window over the table of sources, which has one row for each source.
 
 Defined cases: NULL sources are one source, the last one; a NULL or empty text has size 0, rate 0 and no copy; a source
-without words has target 0.  Rows that share a doc_id get the same rounding.  Reruns give the same result.
+without words has target 0.  Every row is rounded on its own, those that share an id, have none or
+are equal included; among equal rows the place in the table decides.  Reruns over the same files give the same result.
 """
 
 from __future__ import annotations
@@ -91,11 +92,48 @@ def words_of(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, doc_id, source, size) of every row, stored, and the rows themselves with the same keys, as ``row``.
+
+    The key is the id and a hash of the text.  Only where several rows share one (repeated rows) it also holds the row's place
+    in a stored copy of the table, so that each of them is rounded and mended on its own.
+    """
+    base = F.concat_ws(":", F.col("doc_id").cast("string"), F.when(F.col("doc_id").isNull(), "-"), F.xxhash64("text"))
+
+    def narrow(rows: DataFrame, key: Column) -> DataFrame:
+        return rows.select(key.alias("key"), "doc_id", "source", words_of().alias("size"))
+
+    def wide(rows: DataFrame, key: Column) -> DataFrame:
+        return rows.select(key.alias("key"), "doc_id", "source", words_of().alias("size"),
+                           F.struct(*docs.columns).alias("row"))
+
+    rows = stored(narrow(docs, base), "mixing-sizes")
+    repeated_ = rows.groupBy("key").count().filter("count > 1").select(F.col("key").alias("again"))
+    if repeated_.isEmpty():
+        return rows, wide(docs, base)
+    repeated_ = stored(repeated_, "mixing-repeated")
+    at = "_place"
+    while at in docs.columns:
+        at += "_"
+    copy = stored(docs.withColumn(at, F.monotonically_increasing_id()), "mixing-rows")
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        return (rows.join(repeated_, F.col("key") == F.col("again"), "left")
+                .withColumn("key", F.concat_ws("/", "key", F.when(F.col("again").isNotNull(), F.col("at")))).drop("again", "at"))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return numbered(rows.withColumn("at", F.element_at(F.split("key", "/"), 2))
+                        .withColumn("key", F.element_at(F.split("key", "/"), 1)))
+
+    with_place = F.concat_ws("/", base, F.col(at))
+    return stored(placed(narrow(copy, with_place)), "mixing-sizes"), placed(wide(copy, with_place))
+
+
 def applied(rows: DataFrame, tilts: DataFrame, most: int, seed: int) -> DataFrame:
-    """Rows (with doc_id, source, size) with source_size, target, rate, u and the rounded copies."""
+    """Rows (with key, source, size) with source_size, target, rate, u and the rounded copies."""
     rate = F.when((F.col("size") > 0) & (F.col("target") > 0), tilt(F.col("size"), F.col("lam"), F.col("mean"), most)) \
         .otherwise(0.0)
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chance = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     joined = rows.join(tilts.withColumnRenamed("source", "tilt_source"),
                        F.col("source").eqNullSafe(F.col("tilt_source"))).drop("tilt_source")
     return (joined.withColumns({"rate": rate, "u": chance})
@@ -105,7 +143,7 @@ def applied(rows: DataFrame, tilts: DataFrame, most: int, seed: int) -> DataFram
 
 def planned(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, mass: float = MASS, most: int = int(MOST),
             seed: int = 11) -> tuple[DataFrame, DataFrame]:
-    """(tilt of each source, single copies to add or take away) for stored doc_id, source, size rows."""
+    """(tilt of each source, single copies to add or take away) for stored key, source, size rows."""
     wanted = stored(targets(sizes, weights, mass, most), "mixing-targets")
     state = balanced(sizes, wanted, float(most))
     tilts = stored(wanted.alias("w").join(state.select("source", "mean", "lam").alias("s"),
@@ -117,27 +155,26 @@ def planned(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, mass: float
 def counted(rows: DataFrame, tilts: DataFrame, fixes: DataFrame, most: int = int(MOST), seed: int = 11) -> DataFrame:
     """Rows with their final ``copies`` and ``taken``."""
     copies = F.col("copies") + F.coalesce("change", F.lit(0))
-    return (applied(rows, tilts, most, seed).join(fixes, "doc_id", "left")
+    return (applied(rows, tilts, most, seed).join(fixes, "key", "left")
             .withColumn("copies", copies.cast("int")).withColumn("taken", F.col("copies") * F.col("size")).drop("change", "u"))
 
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies, taken for every row."""
-    rows = stored(docs.select("doc_id", "source", words_of().alias("size")), "mixing-sizes")
+    rows, _ = keyed(docs)
     return counted(rows, *planned(rows, **settings)).select(
         "doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; the columns stay."""
-    rows = stored(docs.select("doc_id", "source", words_of().alias("size")), "mixing-sizes")
-    bare = docs.select("doc_id", "source", words_of().alias("size"), F.struct(*docs.columns).alias("row"))
+    rows, bare = keyed(docs)
     taken = counted(bare, *planned(rows)).filter("copies > 0")
     return taken.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def repairs(rounded: DataFrame, most: int, each: int = REPAIRS) -> DataFrame:
-    """doc_id, change (+1 or -1): single copies that bring each source's rounded sum to its target.
+    """key, change (+1 or -1): single copies that bring each source's rounded sum to its target.
 
     At most ``each`` documents of a size class and source are candidates, so a source gathers a bounded list.
     """
@@ -145,17 +182,16 @@ def repairs(rounded: DataFrame, most: int, each: int = REPAIRS) -> DataFrame:
                  .select("source", F.round(F.col("target") - F.col("taken")).cast("long").alias("gap")).filter("gap != 0"),
                  "mixing-gaps")
     able = F.when(F.col("gap") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
-    pick = Window.partitionBy("source", "class").orderBy("u", "doc_id")
-    chosen = (rounded.filter("size > 0 AND doc_id IS NOT NULL").alias("r")
+    pick = Window.partitionBy("source", "class").orderBy("u", "key")
+    chosen = (rounded.filter("size > 0").alias("r")
               .join(gap.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source")))
               .filter(able & (F.col("size") <= F.abs("gap")))
-              .select("r.source", "gap", "doc_id", "size", "u", F.floor(F.log2("size")).alias("class"))
+              .select("r.source", "gap", "key", "size", "u", F.floor(F.log2("size")).alias("class"))
               .withColumn("n", F.row_number().over(pick)).filter(F.col("n") <= each))
     listed = chosen.groupBy("source", "gap").agg(
-        F.sort_array(F.collect_list(F.struct("size", "doc_id")), asc=False).alias("found"))
-    start = F.struct(F.abs("gap").alias("left"), F.array().cast("array<long>").alias("ids"))
+        F.sort_array(F.collect_list(F.struct("size", "key")), asc=False).alias("found"))
+    start = F.struct(F.abs("gap").alias("left"), F.array().cast("array<string>").alias("ids"))
     walked = F.aggregate("found", start, lambda a, x: F.when(
         x["size"] <= a["left"], F.struct((a["left"] - x["size"]).alias("left"),
-                                         F.concat(a["ids"], F.array(x["doc_id"])).alias("ids"))).otherwise(a))
-    return (listed.select(F.signum("gap").cast("int").alias("change"), F.explode(walked["ids"]).alias("doc_id"))
-            .dropDuplicates(["doc_id"]))
+                                         F.concat(a["ids"], F.array(x["key"])).alias("ids"))).otherwise(a))
+    return (listed.select(F.signum("gap").cast("int").alias("change"), F.explode(walked["ids"]).alias("key")))
