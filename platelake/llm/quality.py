@@ -125,23 +125,25 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, bins: i
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", rows: int = 6000) -> Trees:
-    """Fit on at most ``rows`` labelled documents, those whose hashed id is smallest.
+    """Fit on at most ``rows`` labelled rows, those whose hashes of id and text are smallest; equal rows are one.
 
-    They are chosen from ids alone; their statistics are made in tasks, and only those reach the driver.
+    The ids are chosen first, then the rows again, as an id may stand on many rows; statistics are made in tasks, and only
+    those reach the driver.
     """
     marked = (labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id")
               .agg((F.avg(label) >= 0.5).cast("int").alias("_label")))
     wanted = marked.join(docs.filter(usable).select("doc_id"), "doc_id", "left_semi")
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    picked = docs.filter(usable).select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
+    found = docs.filter(usable).select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
+    once = (found.groupBy(F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"))
+            .agg(F.min("text").alias("text"), F.min("_label").alias("_label")))
 
     def measured(parts):
         for pdf in parts:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["_label"], "x": list(table(pdf["text"]))})
+            yield pd.DataFrame({"h": pdf["h"], "t": pdf["t"], "label": pdf["_label"], "x": list(table(pdf["text"]))})
 
-    got = picked.select("doc_id", "text", "_label").mapInPandas(
-        measured, "doc_id long, label int, x array<double>").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["x"]))
+    got = once.mapInPandas(measured, "h long, t long, label int, x array<double>").orderBy("h", "t").limit(rows).collect()
+    got.sort(key=lambda r: (r["h"], r["t"]))
     x = np.array([r["x"] for r in got], np.float64).reshape(-1, len(FEATURES))
     return boost(x, np.array([r["label"] for r in got], np.float64))
 
