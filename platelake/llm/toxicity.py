@@ -8,9 +8,10 @@ logistic curve turns that rate into a score.
 
 The lexicon is learned from a bounded sample of labelled rows.  Stems are ranked by how much likelier they are in documents
 marked toxic (likelihood ratio); entries are taken one after the other, and documents that an entry explains count less
-from then on; near copies are learned from once.  So the other words of much-copied documents are not taken for toxic ones.  A stem is only as short as
-its word family needs: a longer one with the same documents is preferred.  Words that begin like an entry but are at home
-in clean documents become exceptions.  The curve is fitted on rows that the lexicon was not learned from.
+from then on; near copies are learned from once.  So the other words of much-copied documents are not taken for toxic
+ones.  A stem is only as short as its word family needs: a longer one with the same hits is preferred.  Words that begin like
+an entry but are at home in clean documents become exceptions.  The curve is fitted on rows that the lexicon was not learned
+from.
 
 Defined cases: NULL and empty texts, and texts without a word, have rate 0 and the score of that rate.  Without labelled
 rows, or with one label only, every score is the smoothed share of toxic labels (0.5 without any).  A document with several
@@ -187,13 +188,14 @@ def labelled(docs: DataFrame, labels: DataFrame, usable: Column, label: str, row
     texts = (docs.filter(usable & F.col("text").isNotNull()).select("doc_id", "text")
              .join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("label", "text"))
     # Near copies would make their common words look typical: one text for each least and each greatest shingle hash.
-    once = (texts.withColumn("h", F.xxhash64("text")).groupBy("h", "label").agg(F.min("text").alias("text"))
-            .withColumn("s", sketch("text")))
-    for key in ("s.lo", "s.hi"):
-        once = once.groupBy("label", F.col(key).alias("key")).agg(F.min_by(F.struct("h", "text", "s"), "h").alias("r")).select(
-            "label", "r.*")
-    kept = [once.filter(F.col("label") == k).orderBy("h").limit(rows) for k in (1, 0)]
-    return kept[0].unionByName(kept[1]).select("label", "text", F.pmod(F.shiftright("h", 3), F.lit(5)).alias("fold"))
+    once = stored(texts.withColumn("h", F.xxhash64("text")).groupBy("h", "label").agg(F.min("text").alias("text"))
+                  .withColumn("s", sketch("text")), "toxicity-texts")
+    kept = once.select("label", "h", "s.lo", "s.hi")
+    kept = kept.groupBy("label", "lo").agg(F.min("h").alias("h"), F.min_by("hi", "h").alias("hi"))
+    kept = kept.groupBy("label", "hi").agg(F.min("h").alias("h"))
+    kept = [kept.filter(F.col("label") == k).orderBy("h").limit(rows).select("label", "h") for k in (1, 0)]
+    return (once.join(F.broadcast(kept[0].unionByName(kept[1])), ["label", "h"], "left_semi")
+            .select("label", "text", F.pmod(F.shiftright("h", 3), F.lit(5)).alias("fold")))
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", rows: int = 4000,
@@ -204,11 +206,13 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
     ``candidates`` best stems and, for each sampled text, the words that begin with one of them.
     """
     sample = stored(labelled(docs, labels, usable, label, rows), "toxicity-sample")
-    learn = sample.filter("fold > 0")
-    sizes = {r["label"]: r["n"] for r in learn.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
+    sizes = Counter()
+    for r in sample.groupBy("label", (F.col("fold") > 0).alias("learned")).agg(F.count("*").alias("n")).collect():
+        sizes[r["label"], r["learned"]] = r["n"]
+    n_pos, n_neg = (sizes[k, True] + sizes[k, False] for k in (1, 0))
     if not n_pos or not n_neg:
         return Lexicon((), (), 0.0, float(np.log((n_pos + 1) / (n_neg + 1))))
+    learn = sample.filter("fold > 0") if sizes[1, True] and sizes[0, True] else sample
 
     def counted(parts):
         for pdf in parts:
@@ -243,7 +247,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
 
     got = sample.mapInPandas(found, "label int, fold int, words long, word array<string>, n array<long>").collect()
     got.sort(key=lambda r: (r["label"], r["fold"], r["words"], list(r["word"])))
-    entries, plain = choose([r for r in got if r["fold"]], known, least)
+    entries, plain = choose([r for r in got if r["fold"]] or got, known, least)
     free = tuple(dict.fromkeys([" ".join(folded_words(p)) for p in exceptions] + plain))
     lexicon = Lexicon(tuple(entries), free, 0.0, 0.0)
     curve = [r for r in got if not r["fold"]] or got
