@@ -143,21 +143,22 @@ def _slot_facts(pools: DataFrame) -> DataFrame:
     return pools.groupBy("unit_id", "category", "sg").agg(F.count(F.lit(1)).alias("sold"), F.max("micro").alias("best"))
 
 
-def _unit_tops(pools: DataFrame) -> DataFrame:
-    """Per unit and category: the best MAX_N unrestricted popularities, best first."""
+def _unit_tops(pools: DataFrame, max_n: int) -> DataFrame:
+    """Per unit and category: the best ``max_n`` unrestricted popularities, best first."""
     first = Window.partitionBy("unit_id", "category").orderBy(F.col("micro").desc(), "menu_item_id")
-    best = pools.filter(F.col("sg") == "").withColumn("i", F.row_number().over(first)).filter(F.col("i") <= MAX_N)
+    best = pools.filter(F.col("sg") == "").withColumn("i", F.row_number().over(first)).filter(F.col("i") <= max_n)
     return best.groupBy("unit_id").agg(*[F.sort_array(F.collect_list(
         F.when(F.col("category") == c, F.col("micro"))), asc=False).alias(f"tops_{c}") for c in CATEGORIES])
 
 
 def rank_recommendations(requests: DataFrame, cart: DataFrame, popularity: DataFrame, menu_item: DataFrame,
-                         suppress=SUPPRESS) -> DataFrame:
+                         suppress=SUPPRESS, max_n: int = MAX_N) -> DataFrame:
     """Ranked add-ons per request.
 
     ``requests``: request_id, unit_id, n, tier and affinity_* (NULL for a cold
     start).  ``cart``: request_id, menu_item_id.  Items in the cart and doubled
-    subcategories are left out; score descending, then id.
+    subcategories are left out; score descending, then id.  ``n`` is held between
+    1 and ``max_n``.
 
     A slot is one category and suppression group.  The n-th best item of any
     category bounds the answer from below, so slots and depths that cannot reach
@@ -169,9 +170,9 @@ def rank_recommendations(requests: DataFrame, cart: DataFrame, popularity: DataF
     cart = cart.select("request_id", "menu_item_id").distinct()
     pools = popularity_pools(popularity, menu_item, suppress)
     zero, no = F.lit(0).cast("bigint"), F.lit(False)
-    n = F.least(F.lit(MAX_N), F.greatest(F.lit(1), F.coalesce("n", F.lit(DEFAULT_N))))
+    n = F.least(F.lit(max_n), F.greatest(F.lit(1), F.coalesce("n", F.lit(DEFAULT_N))))
     head = requests.join(_cart_facts(cart, menu, suppress), "request_id", "left").join(
-        _unit_tops(pools), "unit_id", "left").withColumns({
+        _unit_tops(pools, max_n), "unit_id", "left").withColumns({
             "n": n, **{f"has_{c}": F.coalesce(f"has_{c}", no) for c in CATEGORIES},
             **{f"held_{c}": F.coalesce(f"held_{c}", zero) for c in CATEGORIES},
             **{f"liked_{c}": fixed(F.coalesce(f"affinity_{c}", F.lit(0.0)), MICRO) for c in CATEGORIES}})
@@ -188,7 +189,7 @@ def rank_recommendations(requests: DataFrame, cart: DataFrame, popularity: DataF
     bound = F.coalesce(F.greatest(*nth), F.lit(-1))
     slot = F.array(*[F.struct(
         F.lit(c).alias("category"), F.lit(s).alias("sg"), F.col(f"comp_{c}").alias("complement"),
-        F.col(f"base_{c}").alias("base"), (F.col("n") + (F.col(f"held_{c}") if s == "" else zero)).alias("reach"),
+        F.col(f"base_{c}").alias("base"), F.col(f"liked_{c}").alias("liked"), (F.col("n") + (F.col(f"held_{c}") if s == "" else zero)).alias("reach"),
         (F.coalesce(f"block_{suppress.index(s)}", no) if s else no).alias("closed"))
         for c in CATEGORIES for s in ("", *suppress)])
     # A rounded score may reach a bound that the exact one misses by less than a millionth.
@@ -207,13 +208,13 @@ def rank_recommendations(requests: DataFrame, cart: DataFrame, popularity: DataF
     sold_items = popularity.filter(F.col("popularity") > 0).select("unit_id", "menu_item_id")
     quiet = short.withColumn("depth", at(F.col("reach") + F.col("sold"))).join(shelf, ["category", "sg", "depth"]).join(
         sold_items, ["unit_id", "menu_item_id"], "left_anti").withColumn("micro", zero)
-    cols = ["request_id", "n", "tier", "filled", "has_drinks", "anchor", "category", "complement", "base", "weight",
+    cols = ["request_id", "n", "tier", "filled", "has_drinks", "anchor", "category", "complement", "liked",
             "menu_item_id", "micro"]
     pairs = popular.select(*cols).unionByName(quiet.select(*cols)).join(cart, ["request_id", "menu_item_id"], "left_anti")
-    exact = half_up(F.col("base") + F.col("weight") * F.col("micro"), F.lit(100)) / F.lit(float(MICRO))
-    scored = pairs.withColumn("score", clamp(exact, 0.0, 1.0))
+    part = lambda c: F.col(c) / F.lit(float(MICRO))
+    scored = pairs.withColumn("score", heuristic_score(F.col("filled"), F.col("complement"), part("liked"), part("micro")))
     best = Window.partitionBy("request_id").orderBy(F.col("score").desc(), "menu_item_id")
-    top = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= MAX_N).filter("rank <= n")
+    top = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= max_n).filter("rank <= n")
     reason = reco_reason(F.col("category"), F.col("filled"), F.col("complement"), F.col("anchor"), F.col("has_drinks"),
                          F.col("tier"))
     return top.withColumn("reason", reason).join(menu.select("menu_item_id", "item_name", "subcategory"), "menu_item_id").select(
@@ -352,12 +353,15 @@ def is_personalized() -> Column:
     return known
 
 
-def score_batch(requests: DataFrame, popularity: DataFrame, menu_item: DataFrame, suppress=SUPPRESS) -> DataFrame:
+def score_batch(requests: DataFrame, popularity: DataFrame, menu_item: DataFrame, suppress=SUPPRESS, scorer=None,
+                max_n: int = MAX_N) -> DataFrame:
     """Enriched requests -> ranked rows plus whether the request was personalised.
 
     Reads ``cart_product_ids`` (text), ``viewed_product_id``,
     ``num_recommendations``, ``store_id`` and the looked-up customer features.
-    NULL and NaN both mean missing; the viewed item joins the cart.
+    NULL and NaN both mean missing; the viewed item joins the cart.  With a
+    ``scorer`` (see ``learned``) the learned score ranks, and ``aov`` and
+    ``store_aov`` are read too; without one the blended score does.
     """
     affinities = [f"affinity_{c}" for c in CATEGORIES]
     clean = requests.withColumn("personalized", is_personalized()).withColumns(
@@ -367,9 +371,16 @@ def score_batch(requests: DataFrame, popularity: DataFrame, menu_item: DataFrame
                    F.when(viewed.isNotNull() & (viewed != 0), F.array(viewed))
                    .otherwise(F.array().cast("array<bigint>")))
     cart = clean.select("request_id", F.explode(ids).alias("menu_item_id"))
+    money = {"aov": F.col("personalized"), "store_aov": F.lit(True)}
     head = clean.select("request_id", _whole("store_id").alias("unit_id"), _whole("num_recommendations").alias("n"),
-                        F.when(F.col("personalized"), F.col("tier")).alias("tier"), *affinities)
-    ranked = rank_recommendations(head, cart, popularity, menu_item, suppress)
+                        F.when(F.col("personalized"), F.col("tier")).alias("tier"), *affinities,
+                        *[F.when(known & _present(c), F.col(c)).alias(c) for c, known in money.items() if scorer is not None])
+    if scorer is None:
+        ranked = rank_recommendations(head, cart, popularity, menu_item, suppress, max_n)
+    else:
+        from platelake.operators.learned import rank_learned
+
+        ranked = rank_learned(head, cart, popularity, menu_item, scorer, suppress, max_n)
     return ranked.join(clean.select("request_id", "personalized"), "request_id")
 
 
@@ -386,7 +397,8 @@ def as_lists(ranked: DataFrame, requests: DataFrame | None = None) -> DataFrame:
         "recommendations", F.coalesce("recommendations", F.array()))
 
 
-def score_lists(requests: DataFrame, popularity: DataFrame, menu_item: DataFrame, suppress=SUPPRESS) -> DataFrame:
+def score_lists(requests: DataFrame, popularity: DataFrame, menu_item: DataFrame, suppress=SUPPRESS, scorer=None,
+                max_n: int = MAX_N) -> DataFrame:
     """``score_batch`` as one row for every request; where nothing is left to recommend the list is empty."""
-    ranked = score_batch(requests, popularity, menu_item, suppress)
+    ranked = score_batch(requests, popularity, menu_item, suppress, scorer, max_n)
     return as_lists(ranked, requests.withColumn("personalized", is_personalized()))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from platelake.functions.loyalty import tier_to_multiplier
 from platelake.functions.masks import mask_email, mask_phone
-from platelake.operators import carts, features, governance, recommend
+from platelake.operators import carts, features, governance, learned, recommend
 from platelake.operators.features import CATEGORIES
+from platelake.operators.learned import Split
 from platelake.operators.tables import rows
 from platelake.plans.duck import HU, NOW_ORD, R, S, TODAY, A, fx, mid
 from platelake.plans.registry import query
@@ -81,8 +84,8 @@ ANCHOR = "coalesce(" + ",".join(f"CASE WHEN has_{c} THEN '{c}' END" for c in sor
 AFF = "coalesce(CASE m.category " + " ".join(f"WHEN '{c}' THEN affinity_{c}" for c in CATEGORIES) + " END,0.0)"
 
 
-def ranked_sql(req: str, cart: str, extra: str = "") -> str:
-    """Every request against every menu item: the plain definition of the ranking."""
+def ranked_sql(req: str, cart: str, extra: str = "", micro: str | None = None) -> str:
+    """Every request against every menu item: the plain definition of the ranking, under the blended score or ``micro``."""
     score = (f"CASE WHEN filled THEN 55*comp*100000+25*{fx('aff', 1000000)}+20*{fx('pop', 1000000)} "
              f"ELSE 55*{fx('aff', 1000000)}+45*{fx('pop', 1000000)} END")
     return f"""SELECT request_id, CAST(rank AS INTEGER) rank, menu_item_id, item_name, category, subcategory,
@@ -90,7 +93,7 @@ def ranked_sql(req: str, cart: str, extra: str = "") -> str:
       FROM (SELECT *, CASE WHEN category='drinks' AND filled AND NOT has_drinks THEN 'complements your order; no drink in cart'
       WHEN comp>=5 AND filled THEN 'complements '||anchor WHEN NOT filled THEN 'popular at this store' ELSE 'frequently added' END reason
       FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY micro DESC, menu_item_id) rank FROM
-      (SELECT *, {HU(score, '100')} micro FROM (SELECT r.*, m.menu_item_id, item_name, category, subcategory, {FILLED} filled,
+      (SELECT *, {micro or HU(score, '100')} micro FROM (SELECT r.*, m.menu_item_id, item_name, category, subcategory, {FILLED} filled,
       {ANCHOR} anchor, coalesce(has_drinks,false) has_drinks, {comp_sql()} comp, {AFF} aff, coalesce(p.popularity,0.0) pop,
       least(10,greatest(1,coalesce(n,5))) k FROM {req} r CROSS JOIN menu_item m
       LEFT JOIN {flags_sql(cart)} f USING (request_id) LEFT JOIN item_popularity p ON p.unit_id=r.unit_id AND p.menu_item_id=m.menu_item_id
@@ -122,6 +125,48 @@ BATCH_CART = f"""(SELECT event_id request_id, (event_id*7)%{SIZE} menu_item_id F
 query("score_batch", ranked_sql(BATCH, BATCH_CART, ", personalized"))(lambda t: recommend.score_batch(
     event_requests(t).join(t.feature_tables[0], "profile_id", "left"), t.feature_tables[2], t.menu_item, SUPPRESS))
 
+# Stated trees for the check of the learned ranking; fitted ones are checked by brute force in the tests.
+RULES = [
+    Split("store_popularity", 0.35, Split("complement_score", 0.45, -0.4, 0.15), Split("is_cat_drinks", 0.5, 0.1, 0.55)),
+    Split("cust_cat_affinity", 0.18, Split("store_popularity", 0.62, -0.25, 0.2), Split("store_popularity", 0.35, 0.05, 0.4)),
+    Split("store_popularity", 0.8, Split("tier_ord", 1.5, -0.1, 0.12), Split("cust_aov", 250.0, 0.3, 0.7)),
+    Split("complement_score", 0.65, Split("is_cat_desserts", 0.5, -0.05, -0.3), Split("store_popularity", 0.15, 0.0, 0.35)),
+]
+
+
+def tree_sql(tree) -> str:
+    if not isinstance(tree, Split):
+        return repr(float(tree))
+    return f"(CASE WHEN {tree.feature}<={tree.at!r} THEN {tree_sql(tree.left)} ELSE {tree_sql(tree.right)} END)"
+
+
+INPUTS = {"complement_score": "comp/10.0::DOUBLE", "cust_cat_affinity": "aff::DOUBLE", "store_popularity": "pop",
+          "cust_aov": "coalesce(aov,0.0)", "store_aov": "coalesce(store_aov,0.0)",
+          "tier_ord": "CASE tier " + " ".join(f"WHEN '{n}' THEN {v}" for n, v in recommend.TIER_ORDINALS.items()) + " ELSE 0 END",
+          **{f"is_cat_{c}": f"CASE WHEN category='{c}' THEN 1 ELSE 0 END" for c in CATEGORIES}}
+
+
+def rules_sql() -> str:
+    margin = "(0.0::DOUBLE+" + "+".join(tree_sql(t) + "::DOUBLE" for t in RULES) + ")"
+    for name, value in INPUTS.items():
+        margin = re.sub(rf"\b{name}<=", f"({value})<=", margin)
+    return f"CAST(round(1.0::DOUBLE/(1.0::DOUBLE+exp(-{margin}))*1000000.0::DOUBLE) AS BIGINT)"
+
+
+BATCH_AOV = BATCH.replace("tier, profile_id IS NOT NULL", "tier, aov, store_aov, profile_id IS NOT NULL").replace(
+    "ON profile_id=user_id)", "ON profile_id=user_id LEFT JOIN store_aov s ON s.unit_id=user_id%25)")
+
+
+def enriched(t):
+    customers, stores, _ = t.feature_tables
+    return features.feature_lookup(event_requests(t), customers, stores.select("unit_id", "store_aov"))
+
+
+query("score_batch_rules", ranked_sql(BATCH_AOV, BATCH_CART, ", personalized", rules_sql()))(lambda t: recommend.score_batch(
+    enriched(t), t.feature_tables[2], t.menu_item, SUPPRESS, learned.of_trees(RULES)))
+query("score_batch_learned")(lambda t: recommend.score_batch(
+    enriched(t), t.feature_tables[2], t.menu_item, SUPPRESS, learned.of_model(recommend.train_ranker(training(t), trees=20))))
+
 query("recommendation_lists", f"""SELECT b.request_id, b.personalized, count(r.rank) offered,
       coalesce(string_agg(r.menu_item_id, ',' ORDER BY r.rank),'') items FROM {BATCH} b
       LEFT JOIN ({ranked_sql(BATCH, BATCH_CART)}) r USING (request_id) GROUP BY 1, 2""")(
