@@ -39,23 +39,27 @@ BLOCK = 2048
 _MARGIN = 6.0
 
 
-def permute(x: np.ndarray) -> np.ndarray:
-    """A fixed permutation of the 32-bit universe (in place)."""
+def permute(x: np.ndarray, keys: tuple[int, int]) -> np.ndarray:
+    """A permutation of the 32-bit universe (in place); every pair of odd keys gives another one."""
     x ^= x >> np.uint32(16)
-    x *= np.uint32(0x7FEB352D)
+    x *= np.uint32(keys[0])
     x ^= x >> np.uint32(15)
-    x *= np.uint32(0x846CA68B)
+    x *= np.uint32(keys[1])
     x ^= x >> np.uint32(16)
     return x
 
 
+# The odd keys of the two permutations.
+FIRST, SECOND = (0x7FEB352D, 0x846CA68B), (0x85EBCA6B, 0xC2B2AE35)
+
+
 def signature(hashes: np.ndarray, coordinates: int = BANDS * ROWS) -> np.ndarray:
     """Circulant MinHash of a shingle set."""
-    first = permute((hashes >> np.uint64(32)).astype(np.uint32))
+    first = permute((hashes >> np.uint64(32)).astype(np.uint32), FIRST)
     best = np.full(coordinates, 0xFFFFFFFF, np.uint32)
     shift = np.arange(coordinates, dtype=np.uint32)[:, None]
     for at in range(0, len(first), 512):
-        np.minimum(best, permute(first[None, at:at + 512] + shift).min(axis=1), out=best)
+        np.minimum(best, permute(first[None, at:at + 512] + shift, SECOND).min(axis=1), out=best)
     return best
 
 
