@@ -95,30 +95,30 @@ def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "near_edited", "near_next")
 
 
-# Words in a host that put its URLs on the list of op10.
-LISTED_WORDS = ("casino", "bets", "pills")
+# A page is listed if its visible text is shorter than this many characters.
+THIN_PAGE = 400
 
 
 @query
 def op10_blocked_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    listed = pages.filter(urls.host_of(F.col("url")).rlike("|".join(LISTED_WORDS)))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    listed = pages.filter(F.length(F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", "")) < THIN_PAGE)
     return urls.judged(pages, listed).select("page_id", "host", "path", "rule", "verdict", "canonical", "listed")
 
 
 ORACLES["op10_blocked_bloom"] = """
 WITH parts AS (
-  SELECT page_id, coalesce(url, '') AS url,
+  SELECT page_id, html, coalesce(url, '') AS url,
     translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
       'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 keyed AS (
-  SELECT page_id, host, path, CASE WHEN regexp_replace(host, '^www\\.', '') = '' THEN NULL ELSE
+  SELECT page_id, html, host, path, CASE WHEN regexp_replace(host, '^www\\.', '') = '' THEN NULL ELSE
     regexp_replace(host, '^www\\.', '') || regexp_replace(path, '/+$', '') ||
     CASE WHEN q = '' THEN '' ELSE '?' || q END END AS canonical
   FROM (SELECT *, regexp_replace(regexp_replace('&' || regexp_extract(url, '(?s)^.*?://[^?#]*\\?([^#]*)', 1),
     '&(utm_[a-z]+|ref|gclid|fbclid)=[^&]*', '', 'g'), '^&+', '') AS q FROM parts)),
-listed AS (SELECT DISTINCT canonical FROM keyed WHERE regexp_matches(host, 'casino|bets|pills') AND canonical IS NOT NULL),
+listed AS (SELECT DISTINCT canonical FROM keyed WHERE length(regexp_replace(coalesce(html, ''), '<[^>]*>', '', 'g')) < 400 AND canonical IS NOT NULL),
 ruled AS (
   SELECT k.*, l.canonical IS NOT NULL AS listed, CASE
     WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'

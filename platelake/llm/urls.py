@@ -1,15 +1,17 @@
 """URL filter: host and path rules, and a list of canonical URLs behind a blocked Bloom filter.
 
 The filter is built as rows (block, eight 64-bit words): each listed URL sets one bit in every word of the block that its
-hash names.  The number of blocks grows with the list up to ``MAX_BLOCKS`` (4 MB), so broadcasting it is bounded; a longer
-list only raises the share of false hits.  Pages whose bits are all set are possible hits, and only those are joined to
+hash names.  The number of blocks grows with the list, so the share of false hits stays the same for any list; pages meet their
+block in a join, which Spark broadcasts while the filter is below the session's threshold and deals out by block beyond it.
+Pages whose bits are all set are possible hits, and only those are joined to
 the list, which removes the false ones.  All other pages skip that join.
 
 Rules are a short, fixed configuration: host and path prefix with a verdict.  A rule fits its host and all subdomains if
 the path starts with its path; the longest one wins.
 
 Defined cases: a NULL URL or one without ``://`` has empty host and path, fits no rule and is allowed.  Repeated pages are
-each judged; repeated and NULL entries of the list count once or not at all; an empty list blocks nothing.
+each judged; repeated and NULL entries of the list count once or not at all; an empty list blocks nothing, an empty table
+gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,7 +20,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MAX_BLOCKS = 1 << 16
 BITS_PER_URL = 16
 WORDS = 8
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -56,7 +57,7 @@ def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def _block(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    return F.pmod(F.xxhash64(key), F.lit(blocks))
 
 
 def _bit(key: Column, word: int) -> Column:
@@ -68,7 +69,7 @@ def _bit(key: Column, word: int) -> Column:
 def bloom(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
     """The filter's rows (block, w0 .. w7) and its number of blocks."""
     need = keys.agg(F.approx_count_distinct(key)).first()[0] * BITS_PER_URL / (64 * WORDS)
-    blocks = max(1, min(MAX_BLOCKS, int(need) + 1))
+    blocks = max(1, int(need) + 1)
     rows = keys.select(_block(F.col(key), blocks).alias("block"), *[_bit(F.col(key), i).alias(f"w{i}") for i in range(WORDS)])
     return rows.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)]), blocks
 
@@ -79,7 +80,7 @@ def judged(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     filter_rows, blocks = bloom(keys, "key")
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
                         canonical(F.col("url")).alias("key"))
-    rows = rows.withColumn("block", _block(F.col("key"), blocks)).join(F.broadcast(filter_rows), "block", "left")
+    rows = rows.withColumn("block", _block(F.col("key"), blocks)).join(filter_rows, "block", "left")
     all_set = F.lit(True)
     for i in range(WORDS):
         all_set = all_set & (F.coalesce(F.col(f"w{i}"), F.lit(0)).bitwiseAND(_bit(F.col("key"), i)) != 0)
