@@ -180,3 +180,40 @@ def test_boosting_against_every_cut():
     y = ((x[:, 0] > 0.3) ^ (x[:, 1] > 0)).astype(float)
     got = quality.boost(x, y, trees=5, depth=2).score(x)
     assert np.allclose(got, boost_brute(x, y, 5, 2), atol=1e-9)
+
+
+def test_two_permutations():
+    from platelake.llm import neardup
+
+    x = np.arange(1 << 16, dtype=np.uint32) * np.uint32(65_521)
+    one, two = neardup.permute(x.copy(), neardup.FIRST), neardup.permute(x.copy(), neardup.SECOND)
+    assert len(np.unique(one)) == len(np.unique(two)) == len(x) and (one == two).mean() < 0.001
+    # Coordinates estimate the Jaccard similarity, and neighbouring ones are not the same estimate.
+    rng = np.random.default_rng(1)
+    near = []
+    for _ in range(60):
+        a = rng.integers(0, 2 ** 63, 300, dtype=np.uint64)
+        b = np.concatenate([a[:260], rng.integers(0, 2 ** 63, 40, dtype=np.uint64)])
+        near.append(neardup.signature(a) == neardup.signature(b))
+    near = np.array(near)
+    assert abs(near.mean() - 260 / 340) < 0.02
+    assert abs(np.corrcoef(near[:, :-1].ravel(), near[:, 1:].ravel())[0, 1]) < 0.1
+
+
+def test_the_exact_join_removes_false_hits(spark):
+    from platelake.llm import urls
+
+    pages = spark.range(30_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.net/p"), "id").alias("url"))
+    listed = pages.filter("page_id % 3 = 0").select("url")
+    keys = listed.select(urls.canonical(F.col("url")).alias("key"))
+    rows, blocks = urls.bloom(keys, "key")
+    assert blocks > 200 and rows.count() > 200
+    got = urls.judged(pages, listed).groupBy("listed", "verdict").count().collect()
+    assert {(r["listed"], r["verdict"]): r["count"] for r in got} == {(True, "block"): 10_000, (False, "allow"): 20_000}
+    key = F.concat(F.lit("h.net/p"), "page_id")
+    probes = pages.filter("page_id % 3 > 0").withColumn("key", key).withColumn("block", urls._block(F.col("key"), blocks)).join(rows, "block")
+    hit = F.lit(True)
+    for i in range(urls.WORDS):
+        hit = hit & (F.col(f"w{i}").bitwiseAND(urls._bit(F.col("key"), i)) != 0)
+    assert 0 < probes.filter(hit).count() < 600
+    assert urls.judged(pages.limit(0), listed).count() == 0 and urls.judged(pages.limit(7), listed.limit(0)).count() == 7
