@@ -13,6 +13,7 @@ from platelake.plans.catalog import GIVEN, Tables, profile_events
 from platelake.plans.duck import HU, I, NOW_ORD, S, TODAY, cases, fx, mid, sha
 from platelake.plans.registry import query
 from platelake.sources import envelope, payloads, sinks
+from platelake.sources.keyed import ChangeLog, KeyedTable
 from platelake.streaming import flows
 
 # ---- sources
@@ -95,7 +96,7 @@ query("append_otel", """SELECT 'guest_order' event_type, count(*) AS rows FROM o
       SELECT 'delivery_order', count(*) FROM otel_base WHERE channel='own_delivery' UNION ALL
       SELECT 'status_event', CAST(sum(CASE WHEN stages>0 THEN stages ELSE 3 END) AS BIGINT) FROM otel_base""")(
     lambda t: append_otel(t))
-query("overwrite_dim", "SELECT * FROM menu_item")(lambda t: stored(t, t.menu_item))
+query("overwrite_dim", "SELECT * FROM menu_item")(lambda t: overwrite_dim(t))
 query("export_csv", "SELECT CAST(menu_item_id AS VARCHAR) menu_item_id, item_name, category FROM menu_item")(
     lambda t: export_csv(t, t.menu_item.select("menu_item_id", "item_name", "category")))
 query("export_csv_stores", "SELECT CAST(unit_id AS VARCHAR) unit_id, unit_name, metro_area FROM unit")(
@@ -115,7 +116,7 @@ def append_evolving(t):
     sinks.append_events(t.events_of("shift"), root)
     sinks.append_events(t.raw("events"), root)
     count = F.count(F.lit(1)).alias("rows")
-    parts = [t.spark.read.parquet(f"{root}/{name}").select(
+    parts = [sinks.read_events(t.spark, root, name).select(
         F.lit(name).alias("target"), "event_type", F.col("source") if name == "order_events" else
         F.lit(None).cast("string").alias("source")).groupBy("target", "event_type", "source").agg(count)
         for name in ("order_events", "workforce_events", "quarantine")]
@@ -125,7 +126,7 @@ def append_evolving(t):
 def append_otel(t):
     root = sinks.fresh(t.spark, "staging")
     sinks.append_events(reshaped(t), root)
-    return t.spark.read.parquet(f"{root}/order_events").groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"))
+    return sinks.read_events(t.spark, root, "order_events").groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def export_csv(t, rows):
@@ -135,11 +136,11 @@ def export_csv(t, rows):
 
 
 def _two_batches(t, df, keys, version):
-    """First the even versions, then the odd ones, into a snapshot table."""
-    table = sinks.Snapshots(t.spark, sinks.fresh(t.spark, "snapshots"))
+    """First the even versions, then the odd ones, into a keyed table."""
+    table = KeyedTable(t.spark, sinks.fresh(t.spark, "keyed"), keys)
     for odd in (0, 1):
         batch = silver.latest(df.filter(F.col(version) % 2 == odd), keys, version)
-        table.upsert(batch, keys, version)
+        table.upsert(batch, version)
     return table.read()
 
 
@@ -154,12 +155,19 @@ def merge_events(t):
 
 
 def write_feature_table(t):
-    table = sinks.Snapshots(t.spark, sinks.fresh(t.spark, "features"))
-    first = table.upsert(t.customer_features.select("profile_id", "recency_days", "tier"), ["profile_id"])
-    table.upsert(first.filter(F.col("profile_id") % 3 == 0).withColumn("recency_days", F.lit(-1)), ["profile_id"])
+    table = KeyedTable(t.spark, sinks.fresh(t.spark, "features"), ["profile_id"])
+    first = table.upsert(t.customer_features.select("profile_id", "recency_days", "tier"))
+    table.upsert(first.filter(F.col("profile_id") % 3 == 0).withColumn("recency_days", F.lit(-1)))
     return table.read()
 
 
+def overwrite_dim(t):
+    """The dimension replaced by itself with one column more, then as it is."""
+    table = KeyedTable(t.spark, sinks.fresh(t.spark, "dimension"), ["menu_item_id"], buckets=4)
+    table.replace(t.menu_item.withColumn("old", F.lit(1)))
+    return table.replace(t.menu_item)
+
+
 # ---- streaming
 
 class Streamed(Tables):
@@ -200,13 +208,33 @@ query("stream_digital_account", "SELECT * FROM digital_account", ("created_at",)
                               lambda s: silver.digital_account(s, "event_ts"), _root(t), "digital_account"))
 query("scd1_stream", "SELECT * EXCLUDE (digital_account_id) FROM guest_profile", ("created_at",))(
     lambda t: flows.scd1_stream(t.spark, silver.guest_profile_changes(
-        profile_events(Streamed(t.spark, t.dir).raw("events")), t.unit), ["guest_profile_id"], "created_at", _root(t)))
+        profile_events(Streamed(t.spark, t.dir).raw("events")), t.unit), ["guest_profile_id"], "created_at", _root(t)).read())
+query("scd1_compacted", "SELECT * EXCLUDE (digital_account_id) FROM guest_profile WHERE guest_profile_id%7<>0", ("created_at",))(
+    lambda t: compacted_profiles(t))
 query("stream_guest_order", "SELECT * EXCLUDE (prep) FROM guest_order",
       ("placed_at", "ready_at", "fulfilled_at", "cancelled_at", "created_at"))(lambda t: streamed_orders(t))
 query("stream_order_item", "SELECT * FROM order_item", ("placed_at", "created_at"))(
     lambda t: streamed(t, "order_item", lambda s: silver.order_item(s, "event_ts")))
 query("stream_gold_daily", "SELECT * FROM unit_performance_daily", ("date",))(
     lambda t: gold.unit_performance_daily(streamed_orders(t)))
+
+
+def compacted_profiles(t):
+    """The change feed in three batches, the newest first, erasures of every seventh profile, all folded into the base."""
+    changes = silver.guest_profile_changes(profile_events(t.raw("events")), t.unit)
+    log = ChangeLog(t.spark, sinks.fresh(t.spark, "profiles"), ["guest_profile_id"], "created_at", "erased", buckets=8)
+    rows = changes.withColumn("erased", F.lit(False))
+    gone = changes.filter(F.col("guest_profile_id") % 7 == 0).withColumns(
+        {"created_at": F.lit("2100-01-01").cast("timestamp"), "erased": F.lit(True)})
+    log.append(rows.filter(F.dayofmonth("created_at") > 20), 0)
+    log.append(gone, 1)
+    log.compact()
+    log.append(rows.filter(F.dayofmonth("created_at") <= 10), 2)
+    log.append(rows.filter(F.dayofmonth("created_at").between(11, 20)), 3)
+    log.compact()
+    return log.read().drop("erased")
+
+
 query("full_refresh", "SELECT * FROM shift", ("shift_start", "shift_end", "created_at"))(
     lambda t: flows.full_refresh(t.spark, lambda: Streamed(t.spark, t.dir).events_of("shift"),
                                  lambda s: silver.shift(s, "event_ts"), _root(t), "shift"))

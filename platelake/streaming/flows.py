@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 
-from platelake.operators.silver import latest
+from platelake.sources.keyed import ChangeLog
 
 Transform = Callable[[DataFrame], DataFrame]
 _LOG = logging.getLogger(__name__)
@@ -32,19 +32,25 @@ def run_table(spark: SparkSession, stream: DataFrame, transform: Transform, root
     return spark.read.parquet(out)
 
 
-def scd1_stream(spark: SparkSession, changes: DataFrame, keys: list[str], version: str, root: str) -> DataFrame:
-    """Latest row per key from a change stream, late changes losing to newer ones.
+def scd1_stream(spark: SparkSession, changes: DataFrame, keys: list[str], version: str, root: str, gone: str = "false",
+                compact_every: int = 20, buckets: int = 16) -> ChangeLog:
+    """Follow a change stream into a :class:`ChangeLog` and return it, drained.
 
-    The state store keeps one row per key; each batch appends only the keys it
-    changed, and the reader takes the newest version per key.  A replayed batch
-    appends rows it already wrote, which changes nothing.
+    A batch is reduced to its newest change per key and committed as a delta; every ``compact_every`` batches the deltas are
+    folded into the base.  Late changes lose against newer ones wherever these are, so the stream itself holds no state.
+    A replayed batch replaces its own delta, which changes nothing.
     """
-    out = f"{root}/changes"
-    query = (latest(changes, keys, version).writeStream.outputMode("update")
-             .foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch={batch}"))
-             .option("checkpointLocation", f"{root}/_checkpoints/scd1").trigger(availableNow=True).start())
+    log = ChangeLog(spark, f"{root}/table", keys, version, gone, buckets)
+
+    def take(df: DataFrame, batch: int) -> None:
+        log.append(df, batch)
+        if log.pending() >= compact_every:
+            log.compact()
+
+    query = (changes.writeStream.foreachBatch(take).option("checkpointLocation", f"{root}/_checkpoints/scd1")
+             .trigger(availableNow=True).start())
     query.awaitTermination()
-    return latest(spark.read.parquet(out).drop("batch"), keys, version)
+    return log
 
 
 def full_refresh(spark: SparkSession, source: Callable[[], DataFrame], transform: Transform, root: str, name: str,

@@ -267,21 +267,16 @@ def test_row_visibility_and_tags(spark):
     assert governance.tagged(guests, "guest_profile").schema["email"].metadata == {"class": "class.email_address"}
 
 
-def test_routing_append_and_upsert(spark, tmp_path):
+def test_routing_and_append(spark, tmp_path):
     rows = spark.createDataFrame([("payment", 1, 5, datetime(2026, 1, 1)), ("mystery", 2, 5, datetime(2026, 1, 1))],
                                  "event_type string, event_id bigint, unit_id bigint, event_ts timestamp")
     sinks.append_events(rows, str(tmp_path))
     sinks.append_events(rows, str(tmp_path))
-    stored = spark.read.schema(schemas.ORDER_EVENTS).parquet(f"{tmp_path}/order_events")
+    stored = sinks.read_events(spark, str(tmp_path), "order_events")
     assert stored.count() == 2 and {r.source for r in stored.collect()} == {"synth"}
-    assert spark.read.parquet(f"{tmp_path}/quarantine").count() == 2
-    table = sinks.Snapshots(spark, str(tmp_path / "t"))
-    assert table.read() is None
-    table.upsert(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), ["k"])
-    again = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
-    for _ in range(2):
-        table.upsert(again, ["k"])
-    assert sorted(tuple(r) for r in table.read().collect()) == [(1, "a"), (2, "c"), (3, "d")]
+    assert stored.columns == schemas.ORDER_EVENTS.fieldNames() or set(stored.columns) == set(schemas.ORDER_EVENTS.fieldNames())
+    assert sinks.read_events(spark, str(tmp_path), "quarantine").count() == 2
+    assert sinks.read_events(spark, str(tmp_path), "guest_events") is None
 
 
 def test_gold_and_silver_flow(spark):
