@@ -60,12 +60,18 @@ def is_noise(user_id: Column) -> Column:
 
 
 def logs_scan(logs: DataFrame, since: Column | None = None) -> DataFrame:
-    """Order records with a positive amount and a time, newer than ``since``."""
-    a = F.col("attributes")
+    """Order records with a positive amount and a time, newer than ``since``.
+
+    The time is the record's own text (``event_ts``, where the table has it and it parses), else its nanoseconds.
+    """
+    a, nanos = F.col("attributes"), F.col("time_unix_nano")
+    told = F.col("event_ts").cast("string") if "event_ts" in logs.columns else None
+    at = from_nanos(nanos) if told is None else event_time(told, nanos)
     if since is not None:
-        logs = logs.filter(since.isNull() | newer_than(F.col("time_unix_nano"), since))
+        newer = newer_than(nanos, since) if told is None else at > since
+        logs = logs.filter(since.isNull() | newer)
     return logs.select(
-        "trace_id", "time_unix_nano", from_nanos(F.col("time_unix_nano")).alias("event_ts"),
+        "trace_id", "time_unix_nano", at.alias("event_ts"),
         a["app.order.id"].alias("order_id"), a["app.order.member_id"].alias("member_id"),
         a["app.order.amount"].try_cast("double").alias("amount"),
         a["app.order.items.count"].try_cast("int").alias("items_count"),
@@ -74,11 +80,10 @@ def logs_scan(logs: DataFrame, since: Column | None = None) -> DataFrame:
     ).filter((F.col("amount") > 0) & F.col("event_ts").isNotNull())
 
 
-def spans_scan(spans: DataFrame, log_rows: DataFrame) -> DataFrame:
-    """Order and stage spans of the traces in ``log_rows``."""
+def order_spans(spans: DataFrame) -> DataFrame:
+    """Order and stage spans with their attributes as columns."""
     a = F.col("attributes")
-    wanted = spans.filter((F.col("name") == ORDER_SPAN) | F.col("name").like("stage:%"))
-    return wanted.join(log_rows.select("trace_id").distinct(), "trace_id", "left_semi").select(
+    return spans.filter((F.col("name") == ORDER_SPAN) | F.col("name").like("stage:%")).select(
         "trace_id", "name", "start_time_unix_nano", a["order.store_id"].alias("store_id"),
         a["order.channel"].alias("channel"), a["order.skus"].alias("skus"),
         a["order.item_count"].try_cast("int").alias("item_count"),
@@ -87,19 +92,28 @@ def spans_scan(spans: DataFrame, log_rows: DataFrame) -> DataFrame:
         a["order.location.zip"].alias("zip"), a["sos.target_seconds"].try_cast("int").alias("sos_target"))
 
 
+def spans_scan(spans: DataFrame, log_rows: DataFrame) -> DataFrame:
+    """Order and stage spans of the traces in ``log_rows``."""
+    return order_spans(spans).join(log_rows.select("trace_id").distinct(), "trace_id", "left_semi")
+
+
 def stage_of(name: Column) -> Column:
     """Stage of a stage span's name, lower-cased and stripped of spaces; NULL for other spans."""
     stage = F.replace(F.lower(F.trim(F.substring_index(name, ":", -1))), F.lit(" "), F.lit(""))
     return F.when(name.like("stage:%"), stage)
 
 
-def index_spans(span_rows: DataFrame) -> DataFrame:
-    """Per trace the newest order span, the stages (one entry for each stage span) and their number, in one pass."""
+def span_index() -> list[Column]:
+    """Aggregates over the spans of a trace: facts of the newest order span, and its stages, each once."""
     is_order = F.col("name") == ORDER_SPAN
     facts = F.struct("store_id", "channel", "skus", "prep_seconds", "state", "sos_target")
-    return span_rows.groupBy("trace_id").agg(
-        F.max_by(facts, F.when(is_order, F.col("start_time_unix_nano"))).alias("span"),
-        F.array_sort(F.collect_list(stage_of(F.col("name")))).alias("stages")).withColumn("stage_count", F.size("stages"))
+    return [F.max_by(facts, F.when(is_order, F.col("start_time_unix_nano"))).alias("span"),
+            F.array_sort(F.collect_set(stage_of(F.col("name")))).alias("stages")]
+
+
+def index_spans(span_rows: DataFrame) -> DataFrame:
+    """Per trace the newest order span, the stages and their number, in one pass; a stage sent twice is one."""
+    return span_rows.groupBy("trace_id").agg(*span_index()).withColumn("stage_count", F.size("stages"))
 
 
 def unit_pools(unit: DataFrame) -> DataFrame:
@@ -136,12 +150,17 @@ def order_base(logs: DataFrame, spans: DataFrame, unit: DataFrame, since: Column
     """One row per accepted log record with everything the five projections need."""
     log_rows = logs_scan(logs, since).filter(~is_noise(F.col("user_id")))
     indexed = index_spans(spans_scan(spans, log_rows))
+    return order_rows(log_rows.join(indexed, "trace_id", "left"), unit)
+
+
+def order_rows(traced: DataFrame, unit: DataFrame) -> DataFrame:
+    """Order rows of log records with their ``span`` and ``stages`` (NULL where a trace has no spans)."""
     total = F.floor(F.col("amount") * 100 + F.lit(0.5))
     sub = half_up(total * 1000, F.lit(1000 + TAX_PER_MILLE))
     prep = F.coalesce("span.prep_seconds", F.lit(0))
     target = F.coalesce(F.nullif(F.col("span.sos_target"), F.lit(0)), F.lit(1800))
     channel = F.when(F.col("span.channel") == "delivery", "own_delivery").otherwise("carryout")
-    rows = log_rows.join(indexed, "trace_id", "left").select(
+    rows = traced.select(
         "trace_id", "event_ts", "tracking_id", parse_member_id(F.col("member_id")).alias("member_id"),
         F.col("span.state").alias("state"), F.coalesce("span.store_id", "trace_id").alias("store_key"),
         channel.alias("channel"),
@@ -154,6 +173,25 @@ def order_base(logs: DataFrame, spans: DataFrame, unit: DataFrame, since: Column
     return map_store_to_unit(rows.withColumn("all_units", all_units), unit)
 
 
+def trace_stream(logs: DataFrame, spans: DataFrame, delay: str, reach: str) -> DataFrame:
+    """Log records and spans, both as streams, joined to one row a trace as ``order_rows`` reads it.
+
+    A record delivered again is dropped while its first delivery is remembered, later by the watermark.  A span belongs to a
+    record of its trace if it starts within ``reach`` of it, before or after.  A trace's row comes out once the watermark
+    (newest time of the slower stream, less ``delay``) has passed its record by ``reach``, so spans later than their log
+    still count.  State is bounded: records and spans of the last ``delay`` plus twice ``reach``.  Records that are older than
+    the watermark on arrival are dropped, hence ``delay`` must cover the feed's lateness.
+    """
+    records = (logs_scan(logs).withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(["trace_id"])
+               .filter(~is_noise(F.col("user_id"))))
+    parts = order_spans(spans).withColumn("span_at", from_nanos(F.col("start_time_unix_nano"))).withWatermark(
+        "span_at", delay).withColumnRenamed("trace_id", "span_trace")
+    near = F.expr(f"trace_id = span_trace AND span_at BETWEEN event_ts - INTERVAL {reach} AND event_ts + INTERVAL {reach}")
+    found = records.join(parts, near, "leftOuter").drop("span_at", "span_trace")
+    key = ["trace_id", "event_ts", "amount", "member_id", "tracking_id"]
+    return found.groupBy(*key).agg(*span_index())
+
+
 def _dollars(cents: Column) -> Column:
     return cents / F.lit(100.0)
 
@@ -230,6 +268,11 @@ def events_of(base: DataFrame, *kinds: Column) -> DataFrame:
     return base.select(F.explode(F.concat(*kinds)).alias("event")).select("event.*")
 
 
+def all_events() -> list[Column]:
+    """The arrays of all five event types."""
+    return [order_events(), item_events(), payment_events(), status_events(), delivery_events()]
+
+
 def as_envelope(rows: DataFrame) -> DataFrame:
     """Rows in the order envelope's declared columns; absent ones are NULL."""
     have = set(rows.columns)
@@ -239,5 +282,4 @@ def as_envelope(rows: DataFrame) -> DataFrame:
 
 def reshape_orders(logs: DataFrame, spans: DataFrame, unit: DataFrame, since: Column | None = None) -> DataFrame:
     """All five event types in the order envelope's declared columns; logs and spans are read once."""
-    return events_of(order_base(logs, spans, unit, since), order_events(), item_events(), payment_events(),
-                     status_events(), delivery_events())
+    return events_of(order_base(logs, spans, unit, since), *all_events())

@@ -247,6 +247,68 @@ query("incremental_refresh", """SELECT event_type, count(*) AS rows FROM (SELECT
         lambda logs: telemetry.reshape_orders(logs, t.otel_spans, t.unit), _root(t)).groupBy("event_type").agg(
         F.count(F.lit(1)).alias("rows")))
 
+OTEL_COUNTS = """SELECT event_type, count(*) AS rows FROM (SELECT 'guest_order' event_type FROM otel_base
+      UNION ALL SELECT 'order_item' FROM otel_line UNION ALL SELECT 'payment' FROM otel_base UNION ALL
+      SELECT 'delivery_order' FROM otel_base WHERE channel='own_delivery' UNION ALL
+      SELECT 'status_event' FROM otel_base, range(CASE WHEN stages>0 THEN stages ELSE 3 END)) GROUP BY 1"""
+query("incremental_refresh_replayed", OTEL_COUNTS)(lambda t: replayed(t))
+query("telemetry_streamed", "SELECT trace_id, guest_order_id, unit_id, channel, cents/100.0::DOUBLE total_amount, breach sos_breach FROM otel_base")(
+    lambda t: telemetry_streamed(t))
+query("expect_stream", """SELECT 'user_events' flow, unnest([{'rule':'has_value','rows_seen':n,'rows_failed':a},
+      {'rule':'own_user','rows_seen':n,'rows_failed':b}], recursive:=true) FROM (SELECT count(*) n, count(*) FILTER (WHERE NOT value>5) a,
+      count(*) FILTER (WHERE NOT user_id%10<>0) b FROM events)""")(lambda t: expected_events(t))
+
+
+def _files(t, df, path, times=1):
+    """Append the rows to a folder as one file, ``times`` times, and return its schema."""
+    for _ in range(times):
+        df.coalesce(1).write.mode("append").parquet(path)
+    return df.schema
+
+
+def _one_by_one(t, path, schema):
+    return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def replayed(t):
+    """Every log record is delivered in two files."""
+    root = _root(t)
+    logs = t.otel_logs.withColumn("event_ts", telemetry.from_nanos(F.col("time_unix_nano")))
+    stream = _one_by_one(t, f"{root}/logs", _files(t, logs, f"{root}/logs", 2))
+    return flows.incremental_telemetry(
+        t.spark, stream, lambda df: telemetry.reshape_orders(df, t.otel_spans, t.unit), root, delay="60 days").groupBy(
+        "event_type").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def telemetry_streamed(t):
+    """Logs and spans as two streams; a closing record in each moves the watermark past the last order."""
+    root = _root(t)
+    end = t.otel_logs.agg(F.max("time_unix_nano") + F.lit(20 * 86_400_000_000_000)).scalar()
+    last_log = t.otel_logs.limit(1).select(
+        F.lit("close").alias("trace_id"), end.alias("time_unix_nano"),
+        F.create_map(F.lit("app.order.amount"), F.lit("1"), F.lit("user.id"), F.lit("fee-test")).alias("attributes"))
+    last_span = t.otel_spans.limit(1).select(F.lit("close").alias("trace_id"), F.lit(telemetry.ORDER_SPAN).alias("name"),
+                                             end.alias("start_time_unix_nano"), "attributes")
+    for name, rows, last in (("logs", t.otel_logs, last_log), ("spans", t.otel_spans, last_span)):
+        _files(t, rows.select(last.columns), f"{root}/{name}")
+        _files(t, last, f"{root}/{name}")
+    events = flows.telemetry_stream(t.spark, _one_by_one(t, f"{root}/logs", last_log.schema),
+                                    _one_by_one(t, f"{root}/spans", last_span.schema), t.unit, root)
+    traces = t.otel_logs.select("trace_id", make_id("otel", F.col("trace_id")).alias("guest_order_id"))
+    return events.filter(F.col("event_type") == "guest_order").join(traces, "guest_order_id").select(
+        "trace_id", "guest_order_id", "unit_id", "channel", "total_amount", "sos_breach")
+
+
+def expected_events(t):
+    """User events as a stream under two rules; the failures that its batches reported, added up."""
+    rules = {"has_value": "value > 5", "own_user": "user_id % 10 <> 0"}
+    root = _root(t)
+    stream = flows.expected_stream(Streamed(t.spark, t.dir).raw("events"), rules, "user_events")
+    with flows.ExpectationLog(t.spark) as log:
+        flows.triggered_run(stream, f"{root}/events", f"{root}/_checkpoints/events")
+    return log.rows().groupBy("flow", "rule").agg(F.sum("rows_seen").alias("rows_seen"), F.sum("rows_failed").alias("rows_failed"))
+
+
 # ---- telemetry reshape
 ITEMS = "FROM otel_line"
 query("parse_skus", """SELECT trace_id, m menu_item_id, q quantity FROM (SELECT trace_id, m0 m, q0 q FROM order_span WHERE m0 IS NOT NULL

@@ -11,7 +11,13 @@ from collections.abc import Callable
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
+from platelake import schemas
+from platelake.operators import telemetry
+from platelake.operators.quality import expect_or_drop
+from platelake.sources import sinks
 from platelake.sources.keyed import ChangeLog
 
 Transform = Callable[[DataFrame], DataFrame]
@@ -68,14 +74,89 @@ def full_refresh(spark: SparkSession, source: Callable[[], DataFrame], transform
     raise ValueError("attempts must be positive")
 
 
-def incremental_telemetry(spark: SparkSession, logs: DataFrame, reshape: Transform, root: str) -> DataFrame:
-    """Telemetry log stream -> order envelope rows, one folder per batch.
+def incremental_telemetry(spark: SparkSession, logs: DataFrame, reshape: Transform, root: str,
+                          delay: str | None = None, key: str = "trace_id", at: str = "event_ts") -> DataFrame:
+    """Telemetry log stream -> order envelope rows, one commit for each batch.
 
-    A retried batch overwrites its own folder, so it never doubles rows.
+    A retried batch replaces its own rows.  With ``delay`` a record delivered again (the same ``key``) is dropped: it is
+    remembered until the watermark, ``delay`` behind the newest time in column ``at``, has passed it by ``delay``, and
+    afterwards it is too old to be read.  So state is bounded by the records of twice that time, and ``delay`` must cover
+    how late a record may come.
     """
-    out = f"{root}/order_events"
-    query = (logs.writeStream
-             .foreachBatch(lambda df, batch: reshape(df).write.mode("overwrite").parquet(f"{out}/batch={batch}"))
+    if delay is not None:
+        logs = logs.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
+    return _committed_stream(spark, logs, reshape, root)
+
+
+def telemetry_stream(spark: SparkSession, logs: DataFrame, spans: DataFrame, unit: DataFrame, root: str,
+                     delay: str = "1 hour", reach: str = "2 hours") -> DataFrame:
+    """Logs and spans as streams -> order envelope rows; see :func:`telemetry.trace_stream` for what is remembered."""
+    def reshape(traces: DataFrame) -> DataFrame:
+        return telemetry.events_of(telemetry.order_rows(traces, unit), *telemetry.all_events())
+
+    return _committed_stream(spark, telemetry.trace_stream(logs, spans, delay, reach), reshape, root)
+
+
+def _committed_stream(spark: SparkSession, rows: DataFrame, reshape: Transform, root: str) -> DataFrame:
+    """Reshape each batch and append it in a commit named after the batch; returns the committed order events."""
+    out = f"{root}/staging"
+    query = (rows.writeStream.foreachBatch(lambda df, batch: sinks.append_events(reshape(df), out, f"telemetry-{batch:09d}"))
              .option("checkpointLocation", f"{root}/_checkpoints/telemetry").trigger(availableNow=True).start())
     query.awaitTermination()
-    return spark.read.parquet(out).drop("batch")
+    found = sinks.read_events(spark, out, "order_events")
+    return spark.createDataFrame([], schemas.ORDER_EVENTS) if found is None else found
+
+
+def expected_stream(stream: DataFrame, rules: dict[str, str], flow: str) -> DataFrame:
+    """``expect_or_drop`` on a stream; an :class:`ExpectationLog` that listens gets the failures of every batch."""
+    failed = [F.count_if(~F.coalesce(F.expr(r), F.lit(False))).alias(n) for n, r in rules.items()]
+    watched = stream.observe(f"{OBSERVED}{flow}", F.count(F.lit(1)).alias(SEEN), *failed)
+    return expect_or_drop(watched, rules)
+
+
+OBSERVED, SEEN = "expect:", "rows_seen"
+
+
+class ExpectationLog(StreamingQueryListener):
+    """Failures per flow, rule and batch, gathered from what the running queries report: no extra pass over the rows.
+
+    ``rows`` is a table of (flow, rule, batch, rows_seen, rows_failed).  A batch that is run again after a failure reports
+    again and replaces its figures.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.found = spark, {}
+
+    def __enter__(self) -> "ExpectationLog":
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.wait()
+        self.spark.streams.removeListener(self)
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        for name, row in (event.progress.observedMetrics or {}).items():
+            if name.startswith(OBSERVED):
+                figures = row.asDict()
+                for rule, failed in figures.items():
+                    if rule != SEEN:
+                        self.found[name[len(OBSERVED):], rule, event.progress.batchId] = (figures[SEEN], failed)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+    def wait(self) -> None:
+        """Until the reports of finished batches have arrived."""
+        self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+
+    def rows(self) -> DataFrame:
+        self.wait()
+        return self.spark.createDataFrame([(*key, *figures) for key, figures in sorted(self.found.items())],
+                                          "flow string, rule string, batch bigint, rows_seen bigint, rows_failed bigint")
