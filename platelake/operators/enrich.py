@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platelake.functions import weather as wx
-from platelake.functions.ids import event_key
 from platelake.operators.silver import latest
 
 
@@ -36,9 +35,13 @@ def classified_alerts(alerts: DataFrame) -> DataFrame:
     ).filter(F.col("alert_level").isNotNull())
 
 
-def apply_alerts(weather: DataFrame, alerts: DataFrame, unit: DataFrame) -> DataFrame:
+def apply_alerts(weather: DataFrame, alerts: DataFrame, unit: DataFrame, first: Column | None = None,
+                 last: Column | None = None) -> DataFrame:
     """Strongest alert in force per metro and day.
 
+    Alerts are only spread over the days from ``first`` to ``last``; by default
+    those of the weather rows, which costs a pass over them.
+
     An alert holds in every metro of its state from onset to expiry.  Without an
     expiry it never holds; without an onset it holds on every day up to expiry.
     Dated alerts become one severity per metro and day before the join, and open
@@ -49,8 +52,8 @@ def apply_alerts(weather: DataFrame, alerts: DataFrame, unit: DataFrame) -> Data
     rank = wx.lookup(F.col("alert_level"), wx.SEVERITY, 0)
     local = alerts.filter(F.col("expires_date").isNotNull()).join(metros, "state").select(
         "metro_area", rank.alias("severity"), "onset_date", "expires_date")
-    first = weather.agg(F.min("forecast_date")).scalar()
-    last = weather.agg(F.max("forecast_date")).scalar()
+    first = weather.agg(F.min("forecast_date")).scalar() if first is None else first
+    last = weather.agg(F.max("forecast_date")).scalar() if last is None else last
     start, end = F.greatest("onset_date", first), F.least("expires_date", last)
     dated = (
         local.filter(F.col("onset_date").isNotNull() & (start <= end))
@@ -80,28 +83,6 @@ def with_multipliers(weather: DataFrame) -> DataFrame:
         wx.delivery_shift(F.col("weather_condition")).alias("channel_shift_delivery"))
 
 
-def event_rows(feed: DataFrame, per_metro_holidays: bool = False) -> DataFrame:
-    """Reports of the three sources -> one event schema with a stable key.
-
-    Holiday keys leave the metro out, so one row survives for all metros unless
-    ``per_metro_holidays`` is set.
-    """
-    metro, day, name, src = (F.col(c) for c in ("metro_area", "event_date", "event_name", "source"))
-    holiday = src == "nager"
-    keyed = event_key(src, metro, day, name)
-    key = keyed if per_metro_holidays else F.when(holiday, event_key(src, day, name)).otherwise(keyed)
-    category = (F.when(holiday, "national_holiday")
-                .when((src == "ticketmaster") & (F.col("crowd") % 2 == 1), "major_sports")
-                .when((src == "seatgeek") & (F.col("crowd") <= 5), "major_sports").otherwise("concert"))
-    seats = (F.when(holiday, F.lit(0)).when(src == "ticketmaster", F.col("crowd") * 1000)
-             .otherwise(F.lit(15000))).cast("bigint")
-    rows = feed.select(
-        "report_id", "metro_area", F.to_date(day).alias("event_date"), key.alias("event_id"),
-        name.alias("event_name"), category.alias("event_category"),
-        F.when(holiday, "").otherwise(F.col("venue")).alias("venue"), seats.alias("est_attendance"), src)
-    return rows.withColumn("est_demand_multiplier", wx.event_multiplier(F.col("event_category")))
-
-
 def merge_event_sources(events: DataFrame) -> DataFrame:
     """One row per key: the last report wins, except that a lower-trust source
     only fills keys nobody else reported, and there the first report wins."""

@@ -17,6 +17,7 @@ from platelake import schemas
 from platelake.functions.ids import make_id
 from platelake.functions.loyalty import points_earned, tier_for_spend
 from platelake.operators import derive, enrich, features, silver, views
+from platelake.plans import payload_feeds
 from platelake.sources import sinks
 
 WASTE_CATEGORIES = ("overproduction", "spoilage", "theft", "expired", "damaged")
@@ -473,7 +474,7 @@ class Tables:
 
     @cached_property
     def local_events(self) -> DataFrame:
-        return enrich.merge_event_sources(enrich.event_rows(self.happening_feed))
+        return enrich.merge_event_sources(payload_feeds.event_rows(self.happening_feed))
 
     @cached_property
     def demand_risk_forecast(self) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from platelake.functions import weather as wx
+from platelake.plans.payload_feeds import SEAT_TYPES
 
 
 def fx(c: str, scale: int = 10000) -> str:
@@ -89,6 +90,20 @@ def _line_id(kind: str) -> str:
 _COND = "CASE " + " ".join(
     f"WHEN weather_code BETWEEN {a} AND {b} THEN '{n}'" for a, b, n in wx.WMO_RANGES) + " ELSE 'clear' END"
 
+# Which listing type a report's crowd stands for.
+KIND = "['" + "','".join(SEAT_TYPES) + "'][crowd]"
+RISK = f"""SELECT u.unit_id, u.metro_area, u.franchisee_id, u.region_id, w.forecast_date,
+        w.observation_type, w.weather_condition, w.alert_level, w.high_temp_f, w.low_temp_f, w.precipitation_inches,
+        w.demand_multiplier weather_demand_multiplier, w.channel_shift_delivery, e.event_name, e.event_category, e.venue,
+        e.est_attendance, e.est_demand_multiplier event_demand_multiplier, e.source event_source,
+        round(k,4) combined_demand_multiplier,
+        CASE WHEN k<0.8 THEN 'demand_risk' WHEN k>1.4 THEN 'capacity_risk' ELSE 'normal' END risk_level
+        FROM unit u JOIN weather_conditions w USING (metro_area)
+        LEFT JOIN local_events e ON e.metro_area=w.metro_area AND e.event_date=w.forecast_date,
+        LATERAL (SELECT least(2.5::DOUBLE,greatest(0.3::DOUBLE,
+            coalesce(w.demand_multiplier,1.0)*coalesce(e.est_demand_multiplier,1.0))) k)
+        WHERE w.forecast_date BETWEEN {TODAY} AND {TODAY}+14"""
+
 CTES = {
     "unit": """SELECT CAST(n_nationkey AS BIGINT) unit_id, n_name unit_name, n_name city, n_name state, r_name metro_area,
         CAST(n_regionkey AS BIGINT) region_id,
@@ -259,17 +274,18 @@ CTES = {
               WHEN source='seatgeek' AND crowd<=5 THEN 'major_sports' ELSE 'concert' END event_category FROM happening_feed)""",
     "local_events": """SELECT * EXCLUDE (report_id) FROM event_report QUALIFY row_number() OVER (PARTITION BY event_id
         ORDER BY source<>'seatgeek' DESC, CASE WHEN source='seatgeek' THEN -report_id ELSE report_id END DESC)=1""",
-    "demand_risk_forecast": f"""SELECT u.unit_id, u.metro_area, u.franchisee_id, u.region_id, w.forecast_date,
-        w.observation_type, w.weather_condition, w.alert_level, w.high_temp_f, w.low_temp_f, w.precipitation_inches,
-        w.demand_multiplier weather_demand_multiplier, w.channel_shift_delivery, e.event_name, e.event_category, e.venue,
-        e.est_attendance, e.est_demand_multiplier event_demand_multiplier, e.source event_source,
-        round(k,4) combined_demand_multiplier,
-        CASE WHEN k<0.8 THEN 'demand_risk' WHEN k>1.4 THEN 'capacity_risk' ELSE 'normal' END risk_level
-        FROM unit u JOIN weather_conditions w USING (metro_area)
-        LEFT JOIN local_events e ON e.metro_area=w.metro_area AND e.event_date=w.forecast_date,
-        LATERAL (SELECT least(2.5::DOUBLE,greatest(0.3::DOUBLE,
-            coalesce(w.demand_multiplier,1.0)*coalesce(e.est_demand_multiplier,1.0))) k)
-        WHERE w.forecast_date BETWEEN {TODAY} AND {TODAY}+14""",
+    "demand_risk_forecast": RISK,
+    # Events as the payload parsers give them: the largest attendance, then venue, category and metro wins a key.
+    "refreshed_events": f"""SELECT *, {cases('event_category', wx.EVENTS, '1.0')}::DOUBLE est_demand_multiplier FROM (
+        SELECT metro_area, event_date, substr({sha('source', 'metro_area', 'event_date', 'event_name')},1,16) event_id, event_name,
+        CASE WHEN source='ticketmaster' THEN CASE WHEN crowd%2=1 THEN 'major_sports' ELSE 'concert' END
+             WHEN {KIND} IN ('concert','theater') THEN 'concert' ELSE 'major_sports' END event_category, venue,
+        CAST(CASE WHEN source='seatgeek' THEN 15000 WHEN crowd=9 THEN 5000000 ELSE crowd*1000 END AS BIGINT) est_attendance, source
+        FROM happening_feed WHERE source='ticketmaster' OR (source='seatgeek' AND {KIND} NOT IN ('circus','comedy'))
+        UNION ALL SELECT u.metro_area, event_date, substr({sha("'nager'", 'event_date', 'event_name')},1,16), event_name,
+        'national_holiday', '', CAST(0 AS BIGINT), source FROM happening_feed h JOIN (SELECT DISTINCT metro_area, state FROM unit) u
+        USING (state) WHERE source='nager' AND report_id%3<>1)
+        QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY est_attendance DESC, venue DESC, event_category DESC, metro_area DESC)=1""",
     "otel_logs": """SELECT CAST(event_id AS VARCHAR) trace_id, epoch_us(ts)*1000 time_unix_nano, ts event_ts,
         'web-'||(event_id-event_id%5) order_id,
         TRY_CAST(CASE WHEN event_id%19=0 THEN 'n/a' WHEN event_id%17=0 THEN '0' ELSE CAST(value AS VARCHAR) END AS DOUBLE) amount,

@@ -10,11 +10,11 @@ from platelake.functions.ids import make_id
 from platelake.operators import derive, enrich, gold, silver, telemetry
 from platelake.plans import payload_feeds
 from platelake.plans.catalog import GIVEN, Tables, profile_events
-from platelake.plans.duck import HU, I, NOW_ORD, S, TODAY, cases, fx, mid, sha
+from platelake.plans.duck import HU, I, KIND, NOW_ORD, RISK, S, TODAY, cases, fx, mid, sha
 from platelake.plans.registry import query
 from platelake.sources import envelope, payloads, sinks
 from platelake.sources.keyed import ChangeLog, KeyedTable
-from platelake.streaming import flows
+from platelake.streaming import flows, refresh
 
 # ---- sources
 query("dim_lookup", "SELECT unit_id, franchisee_id, region_id FROM unit")(lambda t: envelope.lookup(t.unit))
@@ -61,7 +61,6 @@ query("ticketmaster_json_scan", f"""SELECT metro_area, event_date, {EVENT_ID}, e
       CASE WHEN crowd%2=1 THEN 'major_sports' ELSE 'concert' END event_category, venue,
       CAST(CASE WHEN crowd=9 THEN 5000 ELSE crowd END*1000 AS BIGINT) est_attendance, source FROM happening_feed
       WHERE source='ticketmaster'""", ("event_date",))(lambda t: payloads.ticketmaster(payload_feeds.tickets(t)))
-KIND = "['" + "','".join(payload_feeds.SEAT_TYPES) + "'][crowd]"
 query("seatgeek_json_scan", f"""SELECT metro_area, event_date, {EVENT_ID}, event_name,
       CASE WHEN {KIND} IN ('concert','theater') THEN 'concert' ELSE 'major_sports' END event_category, venue,
       CAST(15000 AS BIGINT) est_attendance, source FROM happening_feed WHERE source='seatgeek'
@@ -150,7 +149,7 @@ def merge_weather(t):
 
 
 def merge_events(t):
-    rows = enrich.event_rows(t.happening_feed).select("event_id", "event_name", "report_id")
+    rows = payload_feeds.event_rows(t.happening_feed).select("event_id", "event_name", "report_id")
     return _two_batches(t, rows, ["event_id"], "report_id")
 
 
@@ -382,7 +381,7 @@ query("apply_alerts", "SELECT metro_area, forecast_date, alert_level FROM weathe
         "metro_area", "forecast_date", "alert_level"))
 query("weather_multiplier", "SELECT * FROM weather_conditions", ("forecast_date",))(lambda t: t.weather_conditions)
 query("event_multiplier", "SELECT report_id, event_category, est_demand_multiplier FROM event_report")(
-    lambda t: enrich.event_rows(t.happening_feed).select("report_id", "event_category", "est_demand_multiplier"))
+    lambda t: payload_feeds.event_rows(t.happening_feed).select("report_id", "event_category", "est_demand_multiplier"))
 query("compose_multipliers", """SELECT metro_area, forecast_date, event_id, round(least(2.5::DOUBLE,greatest(0.3::DOUBLE,
       coalesce(demand_multiplier,1.0)*coalesce(est_demand_multiplier,1.0))),4) multiplier FROM weather_conditions w
       LEFT JOIN (SELECT metro_area, event_date forecast_date, event_id, est_demand_multiplier FROM local_events) e
@@ -392,15 +391,30 @@ query("compose_multipliers", """SELECT metro_area, forecast_date, event_id, roun
         "metro_area", "forecast_date", "event_id",
         F.round(wx.combine(F.col("demand_multiplier"), F.col("est_demand_multiplier")), 4).alias("multiplier")))
 query("event_id", "SELECT report_id, event_id FROM event_report")(
-    lambda t: enrich.event_rows(t.happening_feed).select("report_id", "event_id"))
+    lambda t: payload_feeds.event_rows(t.happening_feed).select("report_id", "event_id"))
 query("event_id_per_metro", f"""SELECT report_id, {EVENT_ID} FROM happening_feed""")(
-    lambda t: enrich.event_rows(t.happening_feed, per_metro_holidays=True).select("report_id", "event_id"))
+    lambda t: payload_feeds.event_rows(t.happening_feed, per_metro_holidays=True).select("report_id", "event_id"))
 query("merge_event_sources", "SELECT * FROM local_events", ("event_date",))(lambda t: t.local_events)
 LOOKUP = """(SELECT coalesce(w.metro_area,e.metro_area) metro_area, coalesce(w.forecast_date,e.event_date) forecast_date,
       w.* EXCLUDE (metro_area, forecast_date), event_category, est_attendance, est_demand_multiplier event_demand_multiplier
       FROM weather_conditions w FULL JOIN (SELECT metro_area, event_date, event_category, est_attendance, est_demand_multiplier
       FROM local_events QUALIFY row_number() OVER (PARTITION BY metro_area, event_date ORDER BY event_id DESC)=1) e
       ON e.metro_area=w.metro_area AND e.event_date=w.forecast_date)"""
+query("refresh_weather_events", RISK.replace("local_events", "refreshed_events"), ("forecast_date",))(lambda t: refreshed_outlook(t))
+
+
+def refreshed_outlook(t):
+    """Payloads in two runs, history up to today first, then all of them; the outlook from the stored tables."""
+    today = t.spark.range(1).select(t.today.alias("d")).first().d
+    job = refresh.Refresh(t.spark, sinks.fresh(t.spark, "refresh"), t.unit)
+    feeds = {"forecasts": payload_feeds.forecasts(t), "alerts": payload_feeds.alerts(t), "holidays": payload_feeds.holidays(t),
+             "tickets": payload_feeds.tickets(t), "seats": payload_feeds.seats(t)}
+    early = feeds | {"forecasts": feeds["forecasts"].filter(F.xxhash64("payload") % 2 == 0), "tickets": feeds["tickets"].limit(0)}
+    job.run(early, today)
+    job.run(feeds, today)
+    return job.outlook(today)
+
+
 query("weather_event_lookup", f"SELECT * FROM {LOOKUP}", ("forecast_date",))(lambda t: lookup(t))
 
 

@@ -1,6 +1,7 @@
 """Keyed parquet tables: upserts that rewrite only the buckets they touch, and a change log folded into them.
 
-Rows are dealt into a fixed number of buckets by a hash of their key.  A commit names the folder of every bucket; an upsert
+Rows are dealt into a fixed number of buckets by a hash of their key, or by the first characters of a key column, such as the
+month of a day, and a read can then choose some.  A commit names the folder of every bucket; an upsert
 reads and rewrites the buckets of its rows and takes the other folders over unchanged.  Choose the number of buckets so that
 one is a convenient file (some hundred megabytes); a bucket is merged in one task of that size, keys being unique.
 """
@@ -24,19 +25,23 @@ GONE = "_gone"
 class KeyedTable:
     """``read``, ``upsert`` and ``replace``; readers of the last ``keep`` versions find their files."""
 
-    def __init__(self, spark: SparkSession, root: str, keys: list[str], buckets: int = 16, keep: int = 2):
+    def __init__(self, spark: SparkSession, root: str, keys: list[str], buckets: int = 16, keep: int = 2,
+                 by: str | None = None, chars: int = 10):
         self.spark, self.root, self.keys, self.keep = spark, root.rstrip("/"), list(keys), keep
+        self.by, self.chars = by, chars
         self.files = Files(spark, root)
         self.versions = Versions(self.files)
         _, state = self.versions.newest()
         self.buckets = state["buckets"] if state else buckets
 
     def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        if self.by is not None:
+            return F.coalesce(F.substring(F.col(self.by).cast("string"), 1, self.chars), F.lit("none"))
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("string")
 
-    def _load(self, state: dict, buckets: list[int] | None = None) -> DataFrame:
+    def _load(self, state: dict, buckets: list[str] | None = None) -> DataFrame:
         schema = T.StructType.fromJson(state["schema"])
-        chosen = sorted(state["folders"]) if buckets is None else [str(b) for b in buckets if str(b) in state["folders"]]
+        chosen = sorted(state["folders"]) if buckets is None else [b for b in buckets if b in state["folders"]]
         paths = [f"{self.root}/{state['folders'][b]}" for b in chosen]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
@@ -45,6 +50,14 @@ class KeyedTable:
         _, state = self.versions.newest()
         return self._load(state) if state else None
 
+    def read_between(self, first: str, last: str) -> DataFrame | None:
+        """Rows whose ``by`` column lies between two texts, from the folders that can hold them alone."""
+        _, state = self.versions.newest()
+        if not state:
+            return None
+        near = sorted(b for b in state["folders"] if first[:self.chars] <= b <= last[:self.chars])
+        return self._load(state, near).filter(F.col(self.by).cast("string").between(first, last))
+
     def upsert(self, updates: DataFrame, version: str | None = None) -> DataFrame:
         """Overlay the rows by key: the update wins, then the higher ``version``.  Columns new to the table are added."""
         number, state = self.versions.newest()
@@ -60,14 +73,14 @@ class KeyedTable:
     def replace(self, rows: DataFrame) -> DataFrame:
         """Other rows in place of all; readers see the old ones until the new ones are complete."""
         number, _ = self.versions.newest()
-        return self._put(number, None, rows, list(range(self.buckets)))
+        return self._put(number, None, rows, [])
 
-    def _put(self, number: int, state: dict | None, rows: DataFrame, touched: list[int], **more) -> DataFrame:
+    def _put(self, number: int, state: dict | None, rows: DataFrame, touched: list[str], **more) -> DataFrame:
         folder = f"data/{uuid.uuid4().hex}"
         (rows.withColumn(BUCKET, self._bucket()).repartition(BUCKET).write.partitionBy(BUCKET)
          .parquet(f"{self.root}/{folder}"))
         made = {n.split("=")[1] for n in self.files.names(folder) if n.startswith(f"{BUCKET}=")}
-        folders = {b: f for b, f in (state["folders"] if state else {}).items() if int(b) not in touched}
+        folders = {b: f for b, f in (state["folders"] if state else {}).items() if b not in touched}
         folders |= {b: f"{folder}/{BUCKET}={b}" for b in made}
         content = {"buckets": self.buckets, "folders": folders, "schema": rows.schema.jsonValue()}
         self.versions.commit(number, content | {k: v for k, v in (state or {}).items() if k not in content} | more)
@@ -124,7 +137,7 @@ class ChangeLog(KeyedTable):
         paths = [f"{self.root}/{f}" for f in state.get("deltas", {}).values()]
         return self.spark.read.option("mergeSchema", True).parquet(*paths) if paths else None
 
-    def _everything(self, state: dict, buckets: list[int] | None = None) -> DataFrame:
+    def _everything(self, state: dict, buckets: list[str] | None = None) -> DataFrame:
         rows, deltas = self._load(state, buckets), self._deltas(state)
         return rows if deltas is None else rows.unionByName(deltas, allowMissingColumns=True)
 
