@@ -124,8 +124,9 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, bins: i
     return Trees(np.array(features), np.array(limits), np.array(values), none.start)
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", rows: int = 6000) -> Trees:
-    """Fit on at most ``rows`` labelled rows, those whose hashes of id and text are smallest; equal rows are one.
+def sampled(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality",
+            rows: int = 6000) -> tuple[np.ndarray, np.ndarray]:
+    """Statistics and labels of at most ``rows`` labelled rows, those whose hashes of id and text are smallest; equal rows are one.
 
     The ids are chosen first, then the rows again, as an id may stand on many rows; statistics are made in tasks, and only
     those reach the driver.
@@ -145,7 +146,25 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
     got = once.mapInPandas(measured, "h long, t long, label int, x array<double>").orderBy("h", "t").limit(rows).collect()
     got.sort(key=lambda r: (r["h"], r["t"]))
     x = np.array([r["x"] for r in got], np.float64).reshape(-1, len(FEATURES))
-    return boost(x, np.array([r["label"] for r in got], np.float64))
+    return x, np.array([r["label"] for r in got], np.float64)
+
+
+def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", rows: int = 6000) -> Trees:
+    """Fit on the rows of :func:`sampled`."""
+    return boost(*sampled(docs, labels, usable, label, rows))
+
+
+def train_with_limit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", rows: int = 6000,
+                     most_rejected: float = 0.001) -> tuple[Trees, float]:
+    """The trees, and the score below which a document is rejected.
+
+    The limit is one half, or less where that would cost more than ``most_rejected`` of the good rows among a fifth of the
+    sample that trees fitted on the other rows have not seen.
+    """
+    x, y = sampled(docs, labels, usable, label, rows)
+    kept = np.arange(len(y)) % 5 == 0
+    seen = boost(x[~kept], y[~kept]).score(x[kept])[y[kept] == 1]
+    return boost(x, y), min(0.5, float(np.quantile(seen, most_rejected))) if len(seen) else 0.0
 
 
 def scored(trees: Trees, text: Column) -> Column:
