@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import re
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
 from platelake.functions.loyalty import tier_to_multiplier
 from platelake.functions.masks import mask_email, mask_phone
-from platelake.operators import carts, features, governance, learned, recommend
+from platelake.operators import carts, features, governance, learned, profile, recommend
 from platelake.operators.features import CATEGORIES
 from platelake.operators.learned import Split
 from platelake.operators.tables import rows
 from platelake.plans.duck import HU, NOW_ORD, R, S, TODAY, A, fx, mid
 from platelake.plans.registry import query
+from platelake.sources import sinks
 
 # Subcategories are brand names in the supplied tables; two of them stand in for the suppressed ones.
 SUPPRESS = ("Brand#1", "Brand#2")
@@ -272,6 +274,37 @@ query("profile_daily", "SELECT day, column_name, n AS rows, n-c nulls, lo minimu
       FROM guest_order GROUP BY 1""" for c in ("member_id", "total_amount")) + ")", ("day",))(
     lambda t: governance.daily_profile(t.guest_order, ["member_id", "total_amount"], "placed_at"))
 
+ORDER_NUMBERS = ("guest_order_id", "unit_id", "profile_id", "member_id", "subtotal", "discount_amount", "tax_amount", "total_amount")
+ORDER_TIMES = ("placed_at", "created_at")
+ORDER_TEXTS = ("channel", "order_type", "order_status")
+WEEK = "placed_at>=CAST((SELECT max(placed_at) FROM guest_order) AS DATE)-6"
+query("profile_week", " UNION ALL ".join(
+    f"""SELECT 'guest_order' table_name, '{c}' column_name, count(*) AS rows, count(*)-count({c}) nulls, {lo} low, {hi} high
+      FROM guest_order WHERE {WEEK}""" for c in (*ORDER_NUMBERS, *ORDER_TIMES, *ORDER_TEXTS) for lo, hi in [
+        (f"min({c})::DOUBLE", f"max({c})::DOUBLE") if c in ORDER_NUMBERS else
+        (f"epoch(min({c}))::DOUBLE", f"epoch(max({c}))::DOUBLE") if c in ORDER_TIMES else ("NULL::DOUBLE", "NULL::DOUBLE")]))(
+    lambda t: profile_week(t))
+STAGED = ("order_events", "inventory_events", "loyalty_events")
+query("profile_staging")(lambda t: profile_staging(t))
+
+
+def profile_week(t):
+    """Daily states of all orders, merged over the newest week."""
+    store = profile.ProfileStore(t.spark, sinks.fresh(t.spark, "profiles"))
+    store.measure(t.guest_order, "guest_order", F.to_date("placed_at"), [*ORDER_NUMBERS, *ORDER_TIMES, *ORDER_TEXTS])
+    last = t.guest_order.agg(F.to_date(F.max("placed_at")).alias("d")).first().d
+    return store.profile("guest_order", str(last - timedelta(days=6)), str(last)).select(
+        "table_name", "column_name", "rows", "nulls", "low", "high")
+
+
+def profile_staging(t):
+    """All columns of the three staging tables, by the day of their events, merged over all days."""
+    store = profile.ProfileStore(t.spark, sinks.fresh(t.spark, "profiles"))
+    for name in STAGED:
+        store.measure(t.envelope(name), name, F.to_date("event_ts"))
+    found = [store.profile(name) for name in STAGED]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
 
 def _pii(table: str, columns: list[str]) -> str:
     return " UNION ALL ".join(

@@ -21,7 +21,7 @@ def con(sf_dir):
 
 def test_every_oracle_has_a_query():
     assert set(e.oracle_sql()) <= set(e.queries())
-    assert set(QUERIES) - set(e.oracle_sql()) == {"train_ranker", "profile_table"}
+    assert set(QUERIES) - set(e.oracle_sql()) == {"train_ranker", "profile_table", "score_batch_learned", "profile_staging"}
 
 
 def test_entry(spark):
