@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from platelake.functions.numeric import favg, fsum, rate, ratio
-from platelake.operators.metric_view import Field, Join, MetricView
-from platelake.operators.tables import earned, gap, is_late, is_status, redeemed, rows
+from platelake.operators.metric_view import (Field, Join, MetricView, count_of, count_rows, distinct, mean, mean_money, money, share,
+                                             total)
+from platelake.operators.tables import gap, is_late, is_status
 
 
 def _month(ts):
@@ -22,8 +22,10 @@ def _of_unit(column):
     return Field(F.col(column), ["unit"])
 
 
-def per_row(total):
-    return total / rows()
+def _points(sign):
+    """Points earned (1) or redeemed (-1)."""
+    moved = F.col("points_delta") * sign
+    return total(F.when(moved > 0, moved).otherwise(0))
 
 
 def order_performance(t):
@@ -31,10 +33,10 @@ def order_performance(t):
         t.guest_order,
         {"Unit ID": F.col("unit_id"), "Channel": F.col("channel"), "Order Type": F.col("order_type"),
          "Order Status": F.col("order_status"), "Order Date": F.to_date("placed_at"), "Order Month": _month("placed_at")},
-        {"Total Orders": rows(), "Total Revenue": fsum("total_amount"), "Average Order Value": per_row(fsum("total_amount")),
-         "Fulfilled Orders": F.count_if(F.col("order_status") == "fulfilled"),
-         "Cancelled Orders": F.count_if(F.col("order_status") == "cancelled"),
-         "Total Discount": fsum("discount_amount"), "SOS Breach Rate": per_row(F.sum(F.col("sos_breach").cast("int")))})
+        {"Total Orders": count_rows(), "Total Revenue": money("total_amount"), "Average Order Value": money("total_amount") / count_rows(),
+         "Fulfilled Orders": count_of(F.col("order_status") == "fulfilled"),
+         "Cancelled Orders": count_of(F.col("order_status") == "cancelled"),
+         "Total Discount": money("discount_amount"), "SOS Breach Rate": total(F.col("sos_breach").cast("int")) / count_rows()})
 
 
 def loyalty_performance(t):
@@ -43,9 +45,9 @@ def loyalty_performance(t):
         t.loyalty_transaction,
         {"Tier": F.col("tier"), "Transaction Type": kind, "Unit ID": F.col("unit_id"),
          "Transaction Month": _month("transaction_at")},
-        {"Unique Members": F.count_distinct("member_id"), "Total Transactions": rows(),
-         "Points Earned": F.sum(F.when(kind == "earn", points).otherwise(0)),
-         "Points Redeemed": F.sum(F.when(kind == "redeem", F.abs(points)).otherwise(0))})
+        {"Unique Members": distinct("member_id"), "Total Transactions": count_rows(),
+         "Points Earned": total(F.when(kind == "earn", points).otherwise(0)),
+         "Points Redeemed": total(F.when(kind == "redeem", F.abs(points)).otherwise(0))})
 
 
 def inventory_waste(t):
@@ -53,16 +55,16 @@ def inventory_waste(t):
         t.waste_log,
         {"Unit ID": F.col("unit_id"), "Stock SKU": F.col("stock_sku"), "Waste Category": F.col("waste_category"),
          "Waste Week": F.to_date(F.date_trunc("week", "logged_at")), "Waste Month": _month("logged_at")},
-        {"Total Waste Quantity": fsum("waste_quantity"), "Total Waste Cost": fsum("waste_cost"), "Waste Events": rows(),
-         "Average Waste Cost per Event": per_row(fsum("waste_cost"))})
+        {"Total Waste Quantity": money("waste_quantity"), "Total Waste Cost": money("waste_cost"), "Waste Events": count_rows(),
+         "Average Waste Cost per Event": money("waste_cost") / count_rows()})
 
 
 def staff_hours(t):
     return MetricView(
         t.time_punch,
         {"Unit ID": F.col("unit_id"), "Shift Date": F.to_date("punch_in"), "Shift Month": _month("punch_in")},
-        {"Total Hours Worked": fsum("hours_worked"), "Total Shifts": rows(),
-         "Unique Employees": F.count_distinct("employee_id"), "Average Hours per Shift": per_row(fsum("hours_worked"))})
+        {"Total Hours Worked": money("hours_worked"), "Total Shifts": count_rows(),
+         "Unique Employees": distinct("employee_id"), "Average Hours per Shift": money("hours_worked") / count_rows()})
 
 
 def orders_sos(t):
@@ -70,8 +72,8 @@ def orders_sos(t):
         t.guest_order,
         {"Order Date": F.to_date("placed_at"), "Channel": F.col("channel"), "Order Type": F.col("order_type"),
          "Store": _of_unit("u_name"), "Metro": _of_unit("u_metro"), "State": _of_unit("u_state")},
-        {"Orders": rows(), "Revenue": fsum("total_amount"), "Average Order Value": favg("total_amount"),
-         "SOS Breach Rate": rate(F.col("sos_breach")), "Cancellation Rate": rate(F.col("order_status") == "cancelled")},
+        {"Orders": count_rows(), "Revenue": money("total_amount"), "Average Order Value": mean_money("total_amount"),
+         "SOS Breach Rate": share(F.col("sos_breach")), "Cancellation Rate": share(F.col("order_status") == "cancelled")},
         {"unit": _unit_join(t)})
 
 
@@ -79,8 +81,8 @@ def loyalty(t):
     return MetricView(
         t.loyalty_transaction,
         {"Transaction Date": F.to_date("transaction_at"), "Tier": F.col("tier"), "Store": _of_unit("u_name"), "Metro": _of_unit("u_metro")},
-        {"Active Members": F.count_distinct("member_id"), "Transactions": rows(), "Points Earned": earned(),
-         "Points Redeemed": redeemed(), "Redemption Rate": ratio(redeemed(), earned())},
+        {"Active Members": distinct("member_id"), "Transactions": count_rows(), "Points Earned": _points(1),
+         "Points Redeemed": _points(-1), "Redemption Rate": _points(-1) / _points(1)},
         {"unit": _unit_join(t)})
 
 
@@ -88,8 +90,8 @@ def waste(t):
     return MetricView(
         t.waste_log,
         {"Waste Date": F.to_date("logged_at"), "Waste Category": F.col("waste_category"), "Store": _of_unit("u_name"), "Metro": _of_unit("u_metro")},
-        {"Waste Cost": fsum("waste_cost"), "Waste Quantity": fsum("waste_quantity"), "Waste Events": rows(),
-         "Avg Cost per Event": ratio(fsum("waste_cost"), rows())},
+        {"Waste Cost": money("waste_cost"), "Waste Quantity": money("waste_quantity"), "Waste Events": count_rows(),
+         "Avg Cost per Event": money("waste_cost") / count_rows()},
         {"unit": _unit_join(t)})
 
 
@@ -97,8 +99,8 @@ def labor(t):
     return MetricView(
         t.time_punch,
         {"Work Date": F.to_date("punch_in"), "Store": _of_unit("u_name"), "Metro": _of_unit("u_metro")},
-        {"Labor Hours": fsum("hours_worked"), "Employees": F.count_distinct("employee_id"), "Punches": rows(),
-         "Avg Hours per Punch": favg("hours_worked")},
+        {"Labor Hours": money("hours_worked"), "Employees": distinct("employee_id"), "Punches": count_rows(),
+         "Avg Hours per Punch": mean_money("hours_worked")},
         {"unit": _unit_join(t)})
 
 
@@ -107,9 +109,9 @@ def franchisee(t):
         t.guest_order,
         {"Order Date": F.to_date("placed_at"), "Franchisee": Field(F.col("f_name"), ["franchisee"]), "Store": _of_unit("u_name"),
          "Metro": _of_unit("u_metro"), "Region": _of_unit("u_region")},
-        {"Revenue": fsum("total_amount"), "Orders": rows(), "Average Order Value": favg("total_amount"),
-         "SOS Breach Rate": rate(F.col("sos_breach")),
-         "Stores": Field(F.count_distinct(F.when(F.col("u_name").isNotNull(), F.col("unit_id"))), ["unit"])},
+        {"Revenue": money("total_amount"), "Orders": count_rows(), "Average Order Value": mean_money("total_amount"),
+         "SOS Breach Rate": share(F.col("sos_breach")),
+         "Stores": Field(distinct(F.when(F.col("u_name").isNotNull(), F.col("unit_id"))), ["unit"])},
         {"unit": _unit_join(t), "franchisee": Join(t.franchisee, "franchisee_id", {"f_name": "franchisee_name"})})
 
 
@@ -118,9 +120,9 @@ def delivery(t):
         t.delivery_order,
         {"Delivery Date": F.to_date("created_at"), "Channel": Field(F.col("o_channel"), ["guest_order"]),
          "Store": _of_unit("u_name"), "Metro": _of_unit("u_metro")},
-        {"Deliveries": rows(), "Late Deliveries": F.count_if(is_late()), "Late Delivery Rate": rate(is_late()),
-         "Avg Delivery Gap Seconds": F.avg(gap())},
-        {"unit": _unit_join(t), "guest_order": Join(t.guest_order, "guest_order_id", {"o_channel": "channel"})})
+        {"Deliveries": count_rows(), "Late Deliveries": count_of(is_late()), "Late Delivery Rate": share(is_late()),
+         "Avg Delivery Gap Seconds": mean(gap())},
+        {"unit": _unit_join(t), "guest_order": Join(t.guest_order, "guest_order_id", {"o_channel": "channel"}, fine=True)})
 
 
 def menu(t):
@@ -129,7 +131,7 @@ def menu(t):
         t.order_item,
         {"Order Date": F.to_date("placed_at"), "Item": item("i_name"), "Category": item("i_category"),
          "Daypart": item("i_daypart"), "Store": _of_unit("u_name")},
-        {"Units Sold": F.sum("quantity"), "Net Revenue": fsum("line_net_amount"), "Line Items": rows()},
+        {"Units Sold": total("quantity"), "Net Revenue": money("line_net_amount"), "Line Items": count_rows()},
         {"unit": _unit_join(t),
          "menu_item": Join(t.menu_item, "menu_item_id", {"i_name": "item_name", "i_category": "category",
                                                          "i_daypart": "daypart"})})
@@ -140,8 +142,8 @@ def payments(t):
         t.payment,
         {"Payment Date": F.to_date("paid_at"), "Tender Type": F.col("tender_type"),
          "Channel": Field(F.col("o_channel"), ["guest_order"]), "Store": _of_unit("u_name"), "Metro": _of_unit("u_metro")},
-        {"Payment Amount": fsum("amount"), "Payments": rows(), "Average Payment": favg("amount")},
-        {"unit": _unit_join(t), "guest_order": Join(t.guest_order, "guest_order_id", {"o_channel": "channel"})})
+        {"Payment Amount": money("amount"), "Payments": count_rows(), "Average Payment": mean_money("amount")},
+        {"unit": _unit_join(t), "guest_order": Join(t.guest_order, "guest_order_id", {"o_channel": "channel"}, fine=True)})
 
 
 def guest(t):
@@ -149,8 +151,8 @@ def guest(t):
         t.guest_profile,
         {"Created Date": F.to_date("created_at"), "Account Status": F.col("account_status"), "Store": _of_unit("u_name"),
          "Metro": _of_unit("u_metro")},
-        {"Profiles": rows(), "Active Profiles": F.count_if(is_status("active")),
-         "Inactive Profiles": F.count_if(is_status("inactive")), "Churn Rate": rate(is_status("inactive"))},
+        {"Profiles": count_rows(), "Active Profiles": count_of(is_status("active")),
+         "Inactive Profiles": count_of(is_status("inactive")), "Churn Rate": share(is_status("inactive"))},
         {"unit": _unit_join(t)})
 
 
@@ -159,14 +161,14 @@ def demand_risk(t):
         t.demand_risk_forecast,
         {"Forecast Date": F.col("forecast_date"), "Metro": F.col("metro_area"), "Risk Level": F.col("risk_level"),
          "Weather Condition": F.col("weather_condition")},
-        {"Avg Demand Multiplier": favg("combined_demand_multiplier"),
-         "Demand Risk Days": F.count_if(F.col("risk_level") == "demand_risk"),
-         "Capacity Risk Days": F.count_if(F.col("risk_level") == "capacity_risk"), "Store Days": rows()})
+        {"Avg Demand Multiplier": mean_money("combined_demand_multiplier"),
+         "Demand Risk Days": count_of(F.col("risk_level") == "demand_risk"),
+         "Capacity Risk Days": count_of(F.col("risk_level") == "capacity_risk"), "Store Days": count_rows()})
 
 
 def customer(t):
     seen = F.when(F.col("recency_days") >= 0, F.col("recency_days"))
     return MetricView(
         t.customer_features, {"Tier": F.col("tier")},
-        {"Customers": rows(), "Avg Lifetime Spend": favg("monetary_total"), "Avg Order Value": favg("aov"),
-         "Avg Recency Days": F.avg(seen), "Avg Total Orders": F.avg("total_orders")})
+        {"Customers": count_rows(), "Avg Lifetime Spend": mean_money("monetary_total"), "Avg Order Value": mean_money("aov"),
+         "Avg Recency Days": mean(seen), "Avg Total Orders": mean("total_orders")})
