@@ -29,15 +29,25 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
 _WRITTEN: list[str] = []
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows to the workspace and read them back, so that their lineage ends there."""
-    path = fresh(df.sparkSession, name)
+    """Write the rows to the workspace and read them back, so that their lineage ends there.
+
+    Python stages on the way get batches of ``BATCH_ROWS`` rows, which bounds what a worker holds of long texts.
+    """
+    spark = df.sparkSession
+    path = fresh(spark, name)
     _WRITTEN.append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def clear(spark: SparkSession) -> int:
