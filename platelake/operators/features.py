@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platelake.functions.numeric import fixed
+from platelake.operators.joins import left_join
 
 CATEGORIES = ("pizza", "wings", "sides", "salads", "drinks", "desserts")
 
@@ -103,7 +104,10 @@ def serialised(store: DataFrame) -> DataFrame:
     return store.withColumns({c: F.to_json(c) for c in maps})
 
 
-def feature_lookup(requests: DataFrame, customers: DataFrame, stores: DataFrame) -> DataFrame:
-    """Requests (profile_id, store_id) enriched with both feature tables; misses stay NULL."""
+def feature_lookup(requests: DataFrame, customers: DataFrame, stores: DataFrame, heavy_stores: tuple = ()) -> DataFrame:
+    """Requests (profile_id, store_id) enriched with both feature tables; misses stay NULL.
+
+    Anonymous requests are dealt out instead of meeting in one task, and so are those of ``heavy_stores``.
+    """
     stores = stores.withColumnRenamed("unit_id", "store_id")
-    return requests.join(customers, "profile_id", "left").join(stores, "store_id", "left")
+    return left_join(left_join(requests, customers, "profile_id"), stores, "store_id", heavy_stores)

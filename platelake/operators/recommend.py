@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from platelake.functions.ids import make_id
 from platelake.functions.numeric import clamp, fixed, half_up
 from platelake.operators.features import CATEGORIES
+from platelake.operators.joins import left_join
 
 # Complement weight of the inner category when the basket holds the outer.
 COMPLEMENTS = {
@@ -234,7 +235,7 @@ def feature_columns(pairs: DataFrame, cart: DataFrame, customers: DataFrame, sto
     rows = (
         pairs.join(menu_item.select("menu_item_id", "category"), "menu_item_id")
         .join(flags, "request_id", "left")
-        .join(customers.select("profile_id", "tier", "aov", *[f"affinity_{c}" for c in CATEGORIES]), "profile_id", "left")
+        .transform(left_join, customers.select("profile_id", "tier", "aov", *[f"affinity_{c}" for c in CATEGORIES]), "profile_id")
         .join(stores.select("unit_id", "store_aov"), "unit_id", "left")
         .join(popularity.select("unit_id", "menu_item_id", "popularity"), ["unit_id", "menu_item_id"], "left")
         .withColumns({f"has_{c}": F.coalesce(f"has_{c}", F.lit(False)) for c in CATEGORIES}))

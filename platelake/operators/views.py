@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from platelake.functions import weather as wx
 from platelake.functions.ids import make_id
+from platelake.operators.joins import left_join
 from platelake.operators.telemetry import ORDER_SPAN, from_nanos
 
 
@@ -77,7 +78,7 @@ def order_reconciliation(logs, spans, guest_order, customer_features) -> DataFra
     web = web_orders(logs).withColumn("guest_order_id", make_id("otel", F.col("trace_id")))
     return (
         web.join(storefronts(spans).drop("raw_channel", "web_total_quantity"), "trace_id", "left")
-        .join(silver, "guest_order_id", "left").join(_customer(customer_features), "member_id", "left")
+        .join(silver, "guest_order_id", "left").transform(left_join, _customer(customer_features), "member_id")
         .select(
             "web_order_id", "trace_id", "guest_order_id", "member_id", "web_amount", "web_item_count",
             "web_tracking_id", "web_order_ts", "web_store_id", "web_store_city", "web_store_state",
@@ -97,7 +98,7 @@ def web_order_live(logs, spans, customer_features) -> DataFrame:
     channel = F.when(raw == "delivery", "own_delivery").otherwise(F.coalesce(raw, F.lit("carryout")))
     return (
         web_orders(logs).drop("web_tracking_id").join(storefronts(spans), "trace_id", "left")
-        .join(stage, "trace_id", "left").join(_customer(customer_features), "member_id", "left")
+        .join(stage, "trace_id", "left").transform(left_join, _customer(customer_features), "member_id")
         .select(
             "web_order_id", "trace_id", "web_store_id", "web_store_city", "web_store_state", "web_store_zip",
             channel.alias("channel"), "web_amount", "web_item_count", "web_total_quantity", "order_stage",

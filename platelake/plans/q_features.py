@@ -11,6 +11,7 @@ from platelake.functions.loyalty import tier_to_multiplier
 from platelake.functions.masks import mask_email, mask_phone
 from platelake.operators import carts, features, governance, learned, profile, recommend
 from platelake.operators.features import CATEGORIES
+from platelake.operators.joins import heavy_keys, left_join
 from platelake.operators.learned import Split
 from platelake.operators.tables import rows
 from platelake.plans.duck import HU, NOW_ORD, R, S, TODAY, A, fx, mid
@@ -33,6 +34,20 @@ query("store_features_json", f"""SELECT unit_id, '{{'||string_agg('"'||category|
       list_position({list(CATEGORIES)},category))||'}}' top_item_per_category FROM ({TOP}) GROUP BY 1""")(
     lambda t: features.serialised(t.store_features).select("unit_id", "top_item_per_category"))
 query("store_popularity", "SELECT * FROM item_popularity")(lambda t: t.item_popularity)
+query("heavy_store_lookup", """SELECT guest_order_id request_id, s.store_aov, cf.tier FROM guest_order g
+      LEFT JOIN store_aov s ON s.unit_id=CASE WHEN g.guest_order_id%2=0 THEN 3 ELSE g.unit_id END
+      LEFT JOIN customer_features cf ON cf.profile_id=g.profile_id""")(lambda t: heavy_store_lookup(t))
+
+
+def heavy_store_lookup(t):
+    """Orders looked up in both feature tables, half of them sent to one store."""
+    asked = t.guest_order.select(F.col("guest_order_id").alias("request_id"), "profile_id",
+                                 F.when(F.col("guest_order_id") % 2 == 0, F.lit(3)).otherwise(F.col("unit_id")).cast("bigint").alias("store_id"))
+    customers, stores, _ = t.feature_tables
+    heavy = tuple(heavy_keys(asked, "store_id", 0.1))
+    return features.feature_lookup(asked, customers, stores.select("unit_id", "store_aov"), heavy).select("request_id", "store_aov", "tier")
+
+
 query("feature_lookup", """SELECT event_id request_id, cf.tier, cf.aov, s.store_aov, u.metro_area FROM events
       LEFT JOIN customer_features cf ON cf.profile_id=user_id LEFT JOIN store_aov s ON s.unit_id=user_id%25
       LEFT JOIN unit u ON u.unit_id=s.unit_id""")(lambda t: features.feature_lookup(
@@ -66,7 +81,7 @@ def order_requests(t):
     customers, _, _ = t.feature_tables
     known = customers.select("profile_id", "tier", *[f"affinity_{c}" for c in CATEGORIES])
     return t.guest_order.select(F.col("guest_order_id").alias("request_id"), "unit_id", "profile_id",
-                                (F.col("guest_order_id") % 13).cast("int").alias("n")).join(known, "profile_id", "left")
+                                (F.col("guest_order_id") % 13).cast("int").alias("n")).transform(left_join, known, "profile_id")
 
 
 def flags_sql(cart: str) -> str:
