@@ -8,10 +8,11 @@ Only a group that no shard can hold is cut, by the hash of the id, into pieces o
 large as a shard would fill its rows long before its bytes where the group's text is short.
 
 Slots number the rows of a shard without gaps: an offset for each item from prefix sums over the items, plus a row
-number inside the item, so no task sees a whole shard.
+number inside the item, large ones in slices, so no task sees a whole shard or a whole large group.
 
 Defined cases: NULL and empty texts are one group of size 1 a row.  Rows of one group go to one shard unless the group is
-cut; a cut group's rows with one id stay together, and its rows without an id are cut by their place in the table.  Ties are broken by item number and id, so reruns agree.  An empty table gives no rows.
+cut; a cut group's rows with one id stay together, and its rows without an id are cut by their place in the table.  Ties
+are broken by item number and id, so reruns agree.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -70,20 +71,27 @@ def sharded(docs: DataFrame, shards: int = 8, parcels: int = PARCELS, alone: flo
     first, known = parcels, []
     for group in large:
         pieces = int(np.ceil(group["share"] / piece)) if group["share"] * shards > 1 else 1
-        known.append((group["text_hash"], first, pieces))
+        known.append((group["text_hash"], first, pieces, int(np.ceil(group["share"] / pieces / alone))))
         first += pieces
-    known = F.broadcast(spark.createDataFrame(known, "text_hash long, first int, pieces int"))
+    known = F.broadcast(spark.createDataFrame(known, "text_hash long, first int, pieces int, slices int"))
+    # Large items are numbered in slices, so no task sorts a whole one.
     rows = (rows.join(known, "text_hash", "left")
-            .withColumn("item", F.coalesce(F.col("first") + F.pmod("deal", F.col("pieces")).cast("int"), F.pmod("text_hash", F.lit(parcels)).cast("int")))
-            .drop("first", "pieces"))
-    items = sorted(map(tuple, rows.groupBy("item").agg(*sums).collect()))  # at most parcels + 3 / alone + 3 / piece rows
-    found = place(np.array([x[1:] for x in items], np.float64).reshape(-1, len(SIZES)), shards)
+            .withColumn("item", F.coalesce(F.col("first") + F.pmod("deal", F.col("pieces")).cast("int"),
+                                           F.pmod("text_hash", F.lit(parcels)).cast("int")))
+            .withColumn("slice", F.coalesce(F.pmod(F.xxhash64("deal"), F.col("slices")).cast("int"), F.lit(0)))
+            .drop("first", "pieces", "slices"))
+    cells = sorted(map(tuple, rows.groupBy("item", "slice").agg(*sums).collect()))  # at most parcels + 6 / alone + 3 / piece rows
+    sizes: dict[int, np.ndarray] = {}
+    for item, _, *size in cells:
+        sizes[item] = sizes.get(item, 0) + np.array(size, np.float64)
+    shard_of = dict(zip(sizes, place(np.array(list(sizes.values())).reshape(-1, len(SIZES)), shards)))
     used, places = [0] * shards, []
-    for (number, _, _, n), shard in zip(items, found):
-        places.append((number, int(shard), used[shard]))
+    for item, slice_, _, _, n in cells:
+        shard = int(shard_of[item])
+        places.append((item, slice_, shard, used[shard]))
         used[shard] += n
-    placed = spark.createDataFrame(places, "item int, shard int, base long")
-    inside = Window.partitionBy("item").orderBy("doc_id", "size", "text_crc32")
-    return (rows.withColumn("at", F.row_number().over(inside)).join(F.broadcast(placed), "item")
+    placed = spark.createDataFrame(places, "item int, slice int, shard int, base long")
+    inside = Window.partitionBy("item", "slice").orderBy("doc_id", "size", "text_crc32")
+    return (rows.withColumn("at", F.row_number().over(inside)).join(F.broadcast(placed), ["item", "slice"])
             .select("doc_id", "size", "tokens", "text_crc32", "item", "shard",
                     (F.col("base") + F.col("at") - 1).alias("slot")))
