@@ -219,3 +219,30 @@ def test_the_exact_join_removes_false_hits(spark):
         hit = hit & (F.col(f"w{i}").bitwiseAND(urls._bit(F.col("key"), i)) != 0)
     assert 0 < probes.filter(hit).count() < 600
     assert urls.judged(pages.limit(0), listed).count() == 0 and urls.judged(pages.limit(7), listed.limit(0)).count() == 7
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    schema = DOCS + ", score double, key string, row string, extra map<string,int>"
+    base = [(i, prose(i % 25, 40 + i), "en", f"s{i % 3}", 0, 0.5, "k", "r", {"a": i}) for i in range(60)]
+    rows = base + [base[3]] * 3 + [(None, base[4][1], *base[4][2:]), (None, prose(99, 50), None, None, None, None, None, None, None),
+                                   (200, None, "en", None, 0, 0.0, "", "", {}), (201, "", "en", "s0", 0, 0.0, "", "", {}),
+                                   (202, "?! 12", "en", "s0", 0, 0.0, "", "", {})]
+    for name, docs in (("full", rows), ("none", [])):
+        spark.createDataFrame(docs, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels = [(i, 1) for i in range(60)] + [(None, 1), (3, None)] if docs else []
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int" if not docs else "doc_id long, quality int").write.parquet(
+            f"{tmp_path}/{name}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/full/documents.parquet")
+    for name, stage in cp.STAGES[:-1]:
+        after = cp.stored(stage(spark, docs, f"{tmp_path}/full"), "odd")
+        assert after.columns == docs.columns
+        if name == "language ID":
+            assert {200, 201, 202}.isdisjoint(r.doc_id for r in after.select("doc_id").collect()) and after.count() == 65
+        if name == "MinHash near-dedup":
+            ids = [r.doc_id for r in after.select("doc_id").collect()]
+            assert max(Counter(i for i in ids if i is not None).values()) == 1
+        docs = after
+    assert cp.STAGES[-1][1](spark, docs, f"{tmp_path}/full").count() > 0
+    assert cp.run(spark, f"{tmp_path}/none").count() == 0
