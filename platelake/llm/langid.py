@@ -1,13 +1,15 @@
 """Language identification: averaged hashed subword embeddings and a linear softmax.
 
 A text is the mean of the embeddings of its hashed byte n-grams (2 to 4 bytes, inside words, word ends marked by a
-space).  Embeddings and softmax are trained together by stochastic gradient descent in numpy on a bounded sample of
-labelled rows.  A temperature fitted on rows kept from training makes the softmax a calibrated confidence, and the
-rejection limit is taken from those rows as well.
+space).  Everything is learned from all labelled rows: the embedding of a bucket from its exact share in every language,
+the softmax from the mean embeddings of the rows, a temperature that makes it a calibrated confidence, and the rejection
+limit.  The rows are dealt into folds by their texts, and what a row adds to softmax, temperature and limit comes from
+embeddings of the other folds, so a text is never judged by itself.  ``train(per_lang=n)`` fits on a bounded sample instead,
+embeddings and softmax together by stochastic gradient descent in numpy.
 
 Defined cases: a NULL text or one without a letter gets ``und`` with score 0 and is rejected.  Without any labelled row
 there is no model and every text gets ``und``.  With one language every text with a letter gets it with score 1.
-Repeated rows are predicted alike; whole texts are read, in slices of bounded size.  Only the text enters a prediction.
+A language that stands in one fold only is judged by embeddings of all rows.  Repeated rows are predicted alike; whole texts are read, in slices of bounded size.  Only the text enters a prediction.
 """
 
 from __future__ import annotations
@@ -16,14 +18,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from platelake.sources.workspace import stored
+
 UNDETERMINED = "und"
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 SLICE = 1 << 19
+FOLDS = 4
+# One text's share in a bucket is counted in units of this size, so that sums are exact.
+UNIT = 1 << 24
+TEMPERATURES = np.geomspace(0.05, 20, 60)
 
 # ASCII letters stay (upper case lowered), other ASCII becomes a space, bytes above ASCII stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -81,10 +91,16 @@ class Model:
 
 def scrambled(text: str) -> str:
     """The text with its letters in another order, spaces and lengths of words as they were: no language."""
-    letters = [c for c in text if c.isalpha()]
-    order = np.random.default_rng(len(letters)).permutation(len(letters))
-    again = iter([letters[i] for i in order])
-    return "".join(next(again) if c.isalpha() else c for c in text)
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").copy()
+    each, at = np.unique(chars, return_inverse=True)
+    where = np.flatnonzero(np.array([chr(c).isalpha() for c in each], bool)[at])
+    chars[where] = chars[where][np.random.default_rng(len(where)).permutation(len(where))]
+    return chars.tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=-1, keepdims=True))
+    return e / e.sum(axis=-1, keepdims=True)
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], bits: int, dim: int = 16, epochs: int = 12, batch: int = 32,
@@ -116,10 +132,6 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], bits: int, dim: int = 16
         w = np.concatenate([rows[i][1] / max(rows[i][1].sum(), 1) for i in part])
         return used, np.bincount(owner * len(used) + at, w, len(part) * len(used)).reshape(len(part), len(used))
 
-    def softmax(z: np.ndarray) -> np.ndarray:
-        e = np.exp(z - z.max(axis=1, keepdims=True))
-        return e / e.sum(axis=1, keepdims=True)
-
     each = max(1, -(-len(train) // batch))
     epochs = max(epochs, -(-least_steps // each))
     steps, done = epochs * each, 0
@@ -142,7 +154,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], bits: int, dim: int = 16
     parts = [shares(kept[at:at + batch]) for at in range(0, len(kept), batch)]
     z = np.concatenate([share @ emb[used] for used, share in parts]) @ soft + bias
     right = y[kept]
-    temps = np.geomspace(0.05, 20, 60)
+    temps = TEMPERATURES
     spread = np.full((len(kept), n_lang), 1 / (len(kept) + 2) / n_lang)  # smoothed targets: never quite sure
     spread[np.arange(len(kept)), right] += 1 - 1 / (len(kept) + 2)
     loss = [-(spread * np.log(softmax(z / t) + 1e-12)).sum(axis=1).mean() for t in temps]
@@ -158,8 +170,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], bits: int, dim: int = 16
     return Model(langs, emb @ soft, bias, temperature, limit, bits)
 
 
-def train(docs: DataFrame, usable: Column, per_lang: int = 600, bits: int = 14, parts: int = 16,
-          calibration_rows: int = 20_000, most_rejected: float = 0.001) -> Model:
+def train_on_sample(docs: DataFrame, usable: Column, per_lang: int, bits: int = 14, parts: int = 16,
+                    calibration_rows: int = 20_000, most_rejected: float = 0.001) -> Model:
     """Fit on the ``per_lang`` usable rows of each language whose hashed id is smallest.
 
     The rows are chosen from ids alone, first inside ``parts`` parts of each language, so that a frequent one does not
@@ -208,6 +220,141 @@ def train(docs: DataFrame, usable: Column, per_lang: int = 600, bits: int = 14,
     return model
 
 
+def shares(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text and the share of its n-grams in each."""
+    counts = np.bincount(subword_ids(text, bits), minlength=1 << bits)
+    ids = np.flatnonzero(counts)
+    return ids, counts[ids] / max(int(counts.sum()), 1)
+
+
+def tallies(rows: DataFrame, bits: int) -> tuple[list[str], np.ndarray]:
+    """Languages, and the sums of the rows' shares by fold, language and bucket, from (text, lang, fold) rows."""
+
+    def told(total):
+        for (lang, fold), units in total.items():
+            at = np.flatnonzero(units)
+            yield pd.DataFrame({"lang": lang, "fold": fold, "bucket": at, "units": units[at]})
+
+    def counted(batches):
+        total = {}
+        for pdf in batches:
+            for text, lang, fold in zip(pdf["text"], pdf["lang"], pdf["fold"]):
+                ids, share = shares(text, bits)
+                if len(ids) == 0:
+                    continue
+                if (lang, fold) not in total:
+                    if len(total) >= 64:  # bounds what a task holds of many languages
+                        yield from told(total)
+                        total = {}
+                    total[lang, fold] = np.zeros(1 << bits, np.int64)
+                total[lang, fold][ids] += np.rint(share * UNIT).astype(np.int64)
+        yield from told(total)
+
+    got = (rows.mapInPandas(counted, "lang string, fold int, bucket int, units long")
+           .groupBy("lang", "fold", "bucket").agg(F.sum(F.col("units").cast("double")).alias("units")).toArrow())
+    names = got["lang"].combine_chunks().dictionary_encode()
+    langs = sorted(names.dictionary.to_pylist()) if len(got) else []
+    sums = np.zeros((FOLDS, len(langs), 1 << bits))
+    if langs:
+        place = np.array([langs.index(x) for x in names.dictionary.to_pylist()])[names.indices.to_numpy()]
+        sums[got["fold"].to_numpy(), place, got["bucket"].to_numpy()] = got["units"].to_numpy() / UNIT
+    return langs, sums
+
+
+def embeddings(sums: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Embedding of every bucket from all rows, and those for the rows of each fold from the other folds.
+
+    A bucket's embedding is the logarithm of its share in every language, less the mean over the languages; beyond ``dim``
+    languages it is projected on the directions that hold most of the corpus.
+    """
+
+    def profile(of: np.ndarray) -> np.ndarray:
+        size = of.shape[1]
+        share = np.log((of + 1 / size) / (of.sum(axis=1, keepdims=True) + 1))
+        return (share - share.mean(axis=0)).T
+
+    whole = sums.sum(axis=0)
+    others = [whole - fold for fold in sums]
+    others = [np.where(rest.sum(axis=1, keepdims=True) > 0.5, rest, whole) for rest in others]
+    every = profile(whole)
+    if every.shape[1] > dim:
+        heavy = every * whole.sum(axis=0)[:, None]
+        axes = np.linalg.eigh(every.T @ heavy)[1][:, -dim:]
+    else:
+        axes = np.eye(every.shape[1])
+    return every @ axes, np.stack([profile(rest) @ axes for rest in others])
+
+
+def train_on_all(docs: DataFrame, usable: Column, bits: int = 14, dim: int = 16, most_rejected: float = 0.001,
+                 foreign_caught: float = 0.95) -> Model:
+    """Fit on all usable rows: one pass over the texts for the embeddings, one for the rows' mean embeddings.
+
+    The second pass stores a short vector of each row, and another of its text with the letters scrambled, as text in no
+    language; softmax, temperature and rejection limit are worked out on those.  What reaches the driver is bounded by the
+    languages and buckets.  The limit is the confidence below which ``foreign_caught`` of the scrambled texts fall, or lower
+    where that would cost more than ``most_rejected`` of the rightly predicted rows.
+    """
+    rows = (docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
+            .select("text", "lang", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")))
+    langs, sums = tallies(rows, bits)
+    if len(langs) < 2:
+        return Model(langs, np.zeros((1 << bits, len(langs))), np.zeros(len(langs)), 1.0, 0.0, bits)
+    every, others = embeddings(sums, dim)
+    code = {lang: i for i, lang in enumerate(langs)}
+
+    def placed(batches):
+        for pdf in batches:
+            out = []
+            for text, lang, fold in zip(pdf["text"], pdf["lang"], pdf["fold"]):
+                for foreign, t in ((False, text), (True, scrambled(text))):
+                    ids, share = shares(t, bits)
+                    if len(ids):
+                        out.append((float(code[lang]), foreign, (share @ others[fold][ids]).round(9)))
+            yield pd.DataFrame(out, columns=["label", "foreign", "v"])
+
+    points = stored(rows.mapInPandas(placed, "label double, foreign boolean, v array<double>"), "langid-points")
+    known = points.filter("not foreign")
+    fitted = LogisticRegression(family="multinomial", maxIter=50, regParam=1e-5).fit(
+        known.select("label", array_to_vector("v").alias("features")))
+    weights, bias = fitted.coefficientMatrix.toArray().round(6), np.array(fitted.interceptVector.toArray()).round(6)
+
+    def losses(batches):
+        total, n = np.zeros(len(TEMPERATURES)), 0
+        for pdf in batches:
+            if len(pdf):
+                z = np.stack(pdf["v"]) @ weights.T + bias
+                right = pdf["label"].to_numpy().astype(int)
+                smooth = 1 / (n_rows + 2)  # smoothed targets: never quite sure
+                for i, t in enumerate(TEMPERATURES):
+                    log = np.log(softmax(z / t) + 1e-12)
+                    total[i] -= (1 - smooth) * log[np.arange(len(z)), right].sum() + smooth * log.mean(axis=1).sum()
+        yield pd.DataFrame({"i": np.arange(len(total)), "loss": total})
+
+    n_rows = known.count()
+    loss = known.mapInPandas(losses, "i int, loss double").groupBy("i").agg(F.sum("loss").alias("loss")).collect()
+    temperature = float(TEMPERATURES[min(loss, key=lambda r: (round(r["loss"], 6), r["i"]))["i"]])
+
+    @F.pandas_udf("sure double, best int")
+    def confidence(v: pd.Series) -> pd.DataFrame:
+        p = softmax((np.stack(v) @ weights.T + bias) / temperature) if len(v) else np.zeros((0, len(langs)))
+        return pd.DataFrame({"sure": p.max(axis=1), "best": p.argmax(axis=1)})
+
+    judged = points.select("foreign", "label", confidence("v").alias("p"))
+    wanted, held = judged.agg(
+        F.percentile_approx(F.when(F.col("foreign"), F.col("p.sure")), foreign_caught, 100_000),
+        F.percentile_approx(F.when(~F.col("foreign") & (F.col("p.best") == F.col("label")), F.col("p.sure")),
+                            most_rejected, 100_000)).first()
+    return Model(langs, every @ weights.T, bias, temperature, 0.0 if held is None else min(wanted, held), bits)
+
+
+def train(docs: DataFrame, usable: Column, per_lang: int | None = None, bits: int = 14, parts: int = 16,
+          calibration_rows: int = 20_000, most_rejected: float = 0.001) -> Model:
+    """Fit on all usable rows, or, if ``per_lang`` is given, on so many of each language (``train_on_sample``)."""
+    if per_lang is None:
+        return train_on_all(docs, usable, bits, most_rejected=most_rejected)
+    return train_on_sample(docs, usable, per_lang, bits, parts, calibration_rows, most_rejected)
+
+
 def predicted(model: Model, text: Column) -> Column:
     """Struct of ``lang_pred`` and ``score`` for a text column."""
 
