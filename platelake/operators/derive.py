@@ -124,12 +124,16 @@ def sold_in_daypart(daypart: Column, hour: Column) -> Column:
 
 
 def price_line(order_item, guest_order, menu_item, item_price, unit) -> DataFrame:
-    """Reprice lines: base x period multiplier x store index, plus the marketplace surcharge."""
+    """Reprice lines: base x period multiplier x store index, plus the marketplace surcharge.
+
+    Prices are rows of an item and a period each.  The planner sizes generated ones by their items, so they are merged, never
+    broadcast.
+    """
     lines = (
         order_item.select("order_item_id", "guest_order_id", "menu_item_id", "quantity")
         .join(guest_order.select("guest_order_id", "unit_id", "channel", "financial_period_id"), "guest_order_id")
         .join(menu_item.select("menu_item_id", "base_price"), "menu_item_id")
-        .join(item_price, ["menu_item_id", "financial_period_id"], "left")
+        .join(item_price.hint("merge"), ["menu_item_id", "financial_period_id"], "left")
         .join(unit.select("unit_id", "market_price_index"), "unit_id", "left"))
     mult = fixed(F.coalesce("price_multiplier", F.lit(1.0)))
     index = fixed(F.coalesce("market_price_index", F.lit(1.0)))
