@@ -90,6 +90,14 @@ def store_features(guest_order: DataFrame, order_item: DataFrame, unit: DataFram
         F.map_from_entries(entries).alias("top_item_per_category"))
 
 
+def store_values(guest_order: DataFrame, unit: DataFrame) -> DataFrame:
+    """``unit_id`` and ``store_aov`` of :func:`store_features`, without a look at the items."""
+    orders = guest_order.groupBy("unit_id").agg(
+        F.count(F.lit(1)).alias("store_orders"), F.coalesce(F.sum(fixed("total_amount")), F.lit(0)).alias("value"))
+    return orders.join(unit.select("unit_id"), "unit_id", "left").select(
+        "unit_id", F.round(F.col("value") / F.lit(10_000) / F.col("store_orders"), 4).alias("store_aov"))
+
+
 def with_popularity(store: DataFrame, popularity: DataFrame) -> DataFrame:
     """Add the item -> share map; its size per unit is the size of the catalogue."""
     maps = popularity.groupBy("unit_id").agg(F.map_from_entries(

@@ -35,7 +35,8 @@ def left_join(left: DataFrame, right: DataFrame, on: str, heavy: list | tuple =
     hot = F.col(on).isin(*heavy) if heavy else F.lit(False)
     turn = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
     dealt = left.withColumn(salt, F.when(F.col(on).isNull() | hot, turn).otherwise(0))
-    copies = F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    some = right.filter(F.col(on).isNotNull())
-    spread = some.withColumn(salt, F.explode(copies)) if heavy else some.withColumn(salt, F.lit(0))
+    one = F.array(F.lit(0))
+    copies = F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(one) if heavy else one
+    # Exploded also where it is always 0: a literal is folded into a condition, and then NULL keys meet in one task.
+    spread = right.filter(F.col(on).isNotNull()).withColumn(salt, F.explode(copies))
     return dealt.join(spread, [on, salt], "left").drop(salt)

@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from platelake.operators import recommend
 from platelake.operators.features import CATEGORIES
+from platelake.sources.workspace import lookup, settled
 
 MICRO = recommend.MICRO
 QUIET = -1  # the interval of items that the store has not sold
-NOWHERE = -(1 << 63)
+CART = -2  # stands for the items in the cart
 
 
 @dataclass(frozen=True)
@@ -31,45 +32,54 @@ class Split:
     left: "Split | float"
     right: "Split | float"
 
-    def column(self) -> Column:
-        sides = [s.column() if isinstance(s, Split) else F.lit(float(s)) for s in (self.left, self.right)]
-        return F.when(F.col(self.feature) <= F.lit(float(self.at)), sides[0]).otherwise(sides[1])
+    def sql(self, known: dict[str, float] | None = None) -> str:
+        """The tree as an expression; splits on features in ``known`` are settled here."""
+        if known and self.feature in known:
+            side = self.left if known[self.feature] <= self.at else self.right
+            return _sql(side, known)
+        return f"CASE WHEN {self.feature} <= {_sql(float(self.at))} THEN {_sql(self.left, known)} ELSE {_sql(self.right, known)} END"
 
     def cuts(self, feature: str) -> set[float]:
         below = [s.cuts(feature) for s in (self.left, self.right) if isinstance(s, Split)]
         return set().union(*below, {float(self.at)} if self.feature == feature else set())
 
 
+def _sql(side: Split | float, known: dict[str, float] | None = None) -> str:
+    return side.sql(known) if isinstance(side, Split) else f"double('{float(side)!r}')"
+
+
 @dataclass(frozen=True)
 class Scorer:
-    """``score`` adds a column of that name, between 0 and 1, to rows with the model inputs; ``cuts`` are all popularities at
-    which it can change."""
+    """``cuts`` are all popularities at which the score can change; ``score`` is that of an item of the given popularity, between
+    0 and 1, as an expression of the other model inputs."""
 
     cuts: tuple[float, ...]
-    score: Callable[[DataFrame], DataFrame]
+    score: Callable[[float], Column]
 
 
 def of_trees(trees: list[Split], start: float = 0.0) -> Scorer:
-    """The logistic of a sum of trees, as one generated expression."""
-    margin = F.lit(float(start))
-    for tree in trees:
-        margin = margin + tree.column()
+    """The logistic of a sum of trees, as generated expressions: one for each popularity asked for."""
     cuts = set().union(*(t.cuts("store_popularity") for t in trees))
-    return Scorer(tuple(sorted(cuts)), lambda rows: rows.withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))))
+
+    def score(popularity: float) -> Column:
+        margin = F.expr(" + ".join([_sql(start), *(_sql(t, {"store_popularity": popularity}) for t in trees)]))
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
+
+    return Scorer(tuple(sorted(cuts)), score)
 
 
 def of_model(model) -> Scorer:
-    """A fitted gradient-boosted classifier of :func:`recommend.train_ranker`."""
-    index, cuts = recommend.FEATURES.index("store_popularity"), set()
-    for tree in model.trees:
-        nodes = [tree._java_obj.rootNode()]
-        while nodes:
-            node = nodes.pop()
-            if node.subtreeDepth() > 0:
-                if node.split().featureIndex() == index:
-                    cuts.add(float(node.split().threshold()))
-                nodes += [node.leftChild(), node.rightChild()]
-    return Scorer(tuple(sorted(cuts)), lambda rows: recommend.learned_scores(model, rows))
+    """A fitted gradient-boosted classifier of :func:`recommend.train_ranker`; its trees are read out, twice the weighted sum of
+    their leaves is the margin."""
+    def tree(node, weight: float) -> Split | float:
+        if node.subtreeDepth() == 0:
+            return 2.0 * weight * node.prediction()
+        split = node.split()
+        return Split(recommend.FEATURES[split.featureIndex()], float(split.threshold()), tree(node.leftChild(), weight),
+                     tree(node.rightChild(), weight))
+
+    found = [tree(t._java_obj.rootNode(), w) for t, w in zip(model.trees, model.treeWeights, strict=True)]
+    return of_trees([t for t in found if isinstance(t, Split)], sum(t for t in found if not isinstance(t, Split)))
 
 
 def _interval(popularity: Column, cuts: tuple[float, ...]) -> Column:
@@ -90,36 +100,29 @@ def shelves(popularity: DataFrame, menu: DataFrame, reach: DataFrame, cuts: tupl
     """(cells, places) of the stores in ``reach`` (unit_id, reach); ``groups`` are the suppression groups.
 
     ``cells``: unit_id, category, sg, interval, items.  ``places``: unit_id, category, sg, interval, depth, menu_item_id in id
-    order, the sold items all, of the unsold ones the first ``reach``.  The k-th unsold item of a store stands on place k plus
-    the number of sold items with fewer than k unsold ones before them, so no store meets the whole menu.
+    order, the first ``reach`` of each interval and of the unsold items.  Both are lookup tables: their size follows the stores,
+    not the menu.
     """
     cell = ["unit_id", "category", "sg"]
-    order = recommend.numbered(menu.select("category", "sg", "menu_item_id"), ("category", "sg"), name="place").withColumn(
-        "place", F.col("place") + 1)
-    sold = popularity.filter(F.col("popularity") > 0).join(reach.select("unit_id"), "unit_id", "left_semi").join(
-        order, "menu_item_id").withColumn("interval", _interval(F.col("popularity"), cuts)).select(
-        *cell, "interval", "menu_item_id", "place")
-    ranked = recommend.numbered(sold, (*cell, "interval"), name="depth").withColumn("depth", F.col("depth") + 1).join(
+    most = reach.agg(F.max("reach")).first()[0] or 0
+    shelf, sold = recommend.shop_floor(popularity, menu)
+    sold = settled(sold.join(reach.select("unit_id"), "unit_id", "left_semi").withColumn(
+        "interval", _interval(F.col("popularity"), cuts)).select(*cell, "interval", "menu_item_id", "place"), "sold_items")
+    by_id = Window.partitionBy(*cell, "interval").orderBy("menu_item_id")
+    ranked = sold.withColumn("depth", F.row_number().over(by_id)).filter(F.col("depth") <= most).join(
         reach, "unit_id").filter(F.col("depth") <= F.col("reach"))
-    counts = sold.groupBy(*cell, "interval").agg(F.count(F.lit(1)).alias("items"))
+    counts = settled(sold.groupBy(*cell, "interval").agg(F.count(F.lit(1)).alias("items")), "counts")
     sizes = menu.groupBy("category", "sg").agg(F.count(F.lit(1)).alias("size"))
     taken = counts.groupBy(*cell).agg(F.sum("items").alias("taken"))
-    every = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(g).alias("sg")) for c in CATEGORIES for g in groups])
-    left = (reach.select("*", F.explode(every).alias("s")).select("unit_id", "reach", "s.*").join(sizes, ["category", "sg"])
-            .join(taken, cell, "left").withColumn("items", F.col("size") - F.coalesce("taken", F.lit(0))).filter("items > 0"))
+    left = lookup(reach.select("*", F.explode(recommend.every_cell(groups)).alias("s")).select("unit_id", "reach", "s.*").join(
+        sizes, ["category", "sg"]).join(taken, cell, "left").withColumn(
+        "items", F.col("size") - F.coalesce("taken", F.lit(0))).filter("items > 0").select(
+        *cell, F.col("reach").alias("want"), "items"), "unsold_cells")
     quiet = left.select(*cell, F.lit(QUIET).alias("interval"), "items")
-    # Unsold items before each sold one; only those with fewer than ``reach`` can move a wanted place.
-    before = recommend.numbered(sold, tuple(cell), name="nth").withColumn("free", F.col("place") - F.col("nth") - 1)
-    moved = before.join(left.select(*cell, "reach"), cell).filter(F.col("free") < F.col("reach")).groupBy(*cell, "free").agg(
-        F.count(F.lit(1)).alias("n"))
-    steps = left.select(*cell, F.explode(F.sequence(F.lit(1).cast("bigint"), F.least("reach", "items"))).alias("depth"))
-    shift = Window.partitionBy(*cell).orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)
-    shifted = steps.join(moved.select(*cell, (F.col("free") + 1).alias("depth"), "n"), [*cell, "depth"], "left").withColumn(
-        "place", F.col("depth") + F.coalesce(F.sum("n").over(shift), F.lit(0)))
-    unsold = shifted.join(order, ["category", "sg", "place"]).select(
-        *cell, F.lit(QUIET).alias("interval"), "depth", "menu_item_id")
-    places = ranked.select(*cell, "interval", "depth", "menu_item_id").unionByName(unsold)
-    return counts.unionByName(quiet), places
+    unsold = recommend.first_unsold(sold.select(*cell, "place"), shelf, left).select(
+        *cell, F.lit(QUIET).alias("interval"), F.col("k").alias("depth"), "menu_item_id")
+    places = ranked.select(*cell, "interval", F.col("depth").cast("bigint").alias("depth"), "menu_item_id").unionByName(unsold)
+    return counts.unionByName(quiet), lookup(places, "places")
 
 
 def rank_learned(requests: DataFrame, cart: DataFrame, popularity: DataFrame, menu_item: DataFrame, scorer: Scorer,
@@ -128,57 +131,77 @@ def rank_learned(requests: DataFrame, cart: DataFrame, popularity: DataFrame, me
 
     ``requests``: request_id, unit_id, n, tier, aov, store_aov and affinity_* (NULL where unknown).  ``cart``: request_id,
     menu_item_id.  Results are those of scoring every item of the menu that is neither in the cart nor suppressed.
+
+    A request's scores of one category, an array with an entry for each interval, are worked out where the request is, and
+    only the store's cells that can matter become rows.
     """
     menu = menu_item.select("menu_item_id", "item_name", "category", "subcategory").withColumn(
         "sg", recommend.suppress_key(F.col("subcategory"), suppress))
     cart = cart.select("request_id", "menu_item_id").distinct()
-    no, zero = F.lit(False), F.lit(0.0)
+    zero = F.lit(0.0)
+    groups = ("", *suppress)
+    lines = recommend.cart_lines(cart, menu, suppress)
     held = cart.groupBy("request_id").agg(F.count(F.lit(1)).alias("held"))
-    n = F.least(F.lit(max_n), F.greatest(F.lit(1), F.coalesce("n", F.lit(recommend.DEFAULT_N))))
-    head = requests.join(recommend._cart_facts(cart, menu, suppress), "request_id", "left").join(held, "request_id", "left")
+    facts = settled(held.join(recommend.cart_facts(lines, suppress), "request_id", "left"), "cart_facts")
     # Requests without a store share one that has sold nothing.
-    head = head.withColumns({"n": n, "unit_id": F.coalesce(F.col("unit_id").cast("bigint"), F.lit(NOWHERE)), **{f"has_{c}": F.coalesce(f"has_{c}", no) for c in CATEGORIES}})
+    unit = F.coalesce(F.col("unit_id").cast("bigint"), F.lit(recommend.NOWHERE))
+    deepest = (F.col("n") + F.coalesce("held", F.lit(0))).cast("bigint")
+    reach = lookup(requests.select("request_id", unit.alias("unit_id"), recommend.asked_for(max_n).alias("n")).join(
+        facts.select("request_id", "held"), "request_id", "left").groupBy("unit_id").agg(F.max(deepest).alias("reach")), "reach")
+    cells, places = shelves(popularity, menu, reach, scorer.cuts, groups)
+    offered, names = recommend.offered_names(places, menu)
+    inside = _inside(scorer.cuts)
+    group = F.lit(0)
+    for i, name in enumerate(groups):
+        group = F.when(F.col("sg") == name, i).otherwise(group)
+    at = F.when(F.col("interval") == QUIET, sum(0.0 > cut for cut in scorer.cuts)).otherwise(F.col("interval"))
+    stock = lookup(cells.groupBy("unit_id", "category").agg(F.collect_list(F.struct(
+        "sg", "interval", "items", group.alias("group"), at.alias("at"))).alias("stock")), "stock")
     tier = F.lit(0.0)
     for name, value in recommend.TIER_ORDINALS.items():
         tier = F.when(F.col("tier") == name, F.lit(float(value))).otherwise(tier)
-    head = head.withColumns({
-        "reach": (F.col("n") + F.coalesce("held", F.lit(0))).cast("bigint"), "filled": recommend.has_basket(),
-        "anchor": F.coalesce(*[F.when(F.col(f"has_{c}"), F.lit(c)) for c in sorted(CATEGORIES)]),
-        "cust_aov": F.coalesce("aov", zero), "store_aov": F.coalesce("store_aov", zero), "tier_ord": tier})
-    reach = head.groupBy("unit_id").agg(F.max("reach").alias("reach"))
-    groups = ("", *suppress)
-    cells, places = shelves(popularity, menu, reach, scorer.cuts, groups)
+    head = requests.withColumn("unit_id", unit).join(facts, "request_id", "left").join(
+        recommend.held_offers(lines, offered), "request_id", "left")
+    head = recommend.carted(head.withColumn("n", recommend.asked_for(max_n)), suppress).withColumns({
+        "reach": deepest, "cust_aov": F.coalesce("aov", zero), "store_aov": F.coalesce("store_aov", zero), "tier_ord": tier})
+    request = ["request_id", "unit_id", "n", "reach", "tier", "filled", "has_drinks", "anchor"]
     per = head.select(
-        "*", F.explode(F.array(*[F.struct(
-            F.lit(c).alias("category"), recommend.complement_score(c).alias("complement_score"),
-            F.coalesce(f"affinity_{c}", zero).alias("cust_cat_affinity"),
-            F.array(*[F.coalesce(f"block_{i}", no) for i in range(len(suppress))]).cast("array<boolean>").alias("closed"))
-            for c in CATEGORIES])).alias("c")).select(
-        "request_id", "unit_id", "n", "reach", "tier", "filled", "has_drinks", "anchor", "cust_aov", "store_aov", "tier_ord",
-        "c.*", *[F.when(F.col("c.category") == c, 1.0).otherwise(0.0).alias(f"is_cat_{c}") for c in CATEGORIES])
-    inside = _inside(scorer.cuts)
-    quiet = inside[sum(0.0 > cut for cut in scorer.cuts)]
-    at = F.when(F.col("interval") == QUIET, F.lit(float(quiet))).otherwise(
-        F.get(F.array(*[F.lit(float(v)) for v in inside]), F.col("interval")))
-    stock = cells.groupBy("unit_id", "category", "interval").agg(F.collect_list(F.struct("sg", "items")).alias("stock"))
-    found = per.join(stock, ["unit_id", "category"]).withColumn("store_popularity", at)
-    closed = F.lit(False)
-    for i, name in enumerate(suppress):
-        closed = F.when(F.col("sg") == name, F.get("closed", F.lit(i))).otherwise(closed)
-    micro = F.round(F.col("score") * F.lit(float(MICRO))).cast("bigint")
-    scored = (scorer.score(found).withColumn("micro", F.greatest(F.lit(0), F.least(F.lit(MICRO), micro)).cast("bigint"))
-              .select("*", F.explode("stock").alias("cell")).select("*", "cell.*").filter(~closed))
+        *request, "closed", "in_cart", "cust_aov", "store_aov", "tier_ord", F.explode(F.array(*[F.struct(
+            F.lit(c).alias("category"), F.col(f"comp_{c}").alias("complement_score"),
+            F.coalesce(f"affinity_{c}", zero).alias("cust_cat_affinity")) for c in CATEGORIES])).alias("c")).select(
+        *request, "closed", "in_cart", "cust_aov", "store_aov", "tier_ord", "c.*",
+        *[F.when(F.col("c.category") == c, 1.0).otherwise(0.0).alias(f"is_cat_{c}") for c in CATEGORIES])
+    micro = lambda x: F.greatest(F.lit(0), F.least(F.lit(MICRO), F.round(x * F.lit(float(MICRO))).cast("bigint"))).cast("bigint")
+    found = per.select(*request, "closed", "in_cart", "category", "complement_score", F.array(*[micro(scorer.score(v)) for v in inside]).alias(
+        "micros")).join(stock, ["unit_id", "category"])
+    # A cell below one of its category that has enough items cannot matter.
+    is_open = lambda s: ~F.get("closed", s["group"])
+    score_of = lambda s: F.get("micros", s["at"])
+    enough = F.array_max(F.transform(F.filter("stock", lambda s: is_open(s) & (s["items"] >= F.col("reach"))), score_of))
+    # The cart rides along as one more cell.
+    here = F.when(F.col("in_cart").isNotNull(), F.array(F.struct(
+        F.lit("").alias("sg"), F.lit(CART).alias("interval"), F.lit(0).cast("bigint").alias("items"), F.lit(0).alias("group"), F.lit(0).alias("at"))))
+    wanted = found.withColumn("enough", F.coalesce(enough, F.lit(-1))).select(
+        *request, "in_cart", "category", "complement_score", "micros", F.explode(F.concat(
+            F.filter("stock", lambda s: is_open(s) & (score_of(s) >= F.col("enough"))),
+            F.coalesce(here, F.filter("stock", lambda s: F.lit(False))))).alias("cell")).select(
+        *request, "category", "complement_score", "cell.sg", "cell.interval", "cell.items",
+        (F.col("cell.interval") == CART).alias("is_cart"), F.when(F.col("cell.interval") == CART, F.col("in_cart")).alias("in_cart"),
+        F.when(F.col("cell.interval") == CART, -1).otherwise(F.get("micros", F.col("cell.at"))).alias("micro"))
     # Intervals below the score at which enough items are surely found cannot matter.
     above = Window.partitionBy("request_id").orderBy(F.col("micro").desc()).rangeBetween(Window.unboundedPreceding, -1)
-    useful = scored.withColumn("better", F.coalesce(F.sum("items").over(above), F.lit(0))).filter(
-        F.col("better") < F.col("reach"))
-    depth = F.explode(F.sequence(F.lit(1).cast("bigint"), F.least("items", "reach")))
-    pairs = useful.withColumn("depth", depth).join(places, ["unit_id", "category", "sg", "interval", "depth"]).join(
-        cart, ["request_id", "menu_item_id"], "left_anti")
+    useful = wanted.withColumn("better", F.coalesce(F.sum("items").over(above), F.lit(0))).filter(
+        F.col("is_cart") | (F.col("better") < F.col("reach")))
+    upto = F.sequence(F.lit(1).cast("bigint"), F.least("items", "reach"))
+    at = useful.withColumn("at", F.explode(F.when(F.col("is_cart"), F.col("in_cart")).otherwise(upto))).drop("in_cart")
+    pairs = at.withColumn("depth", F.when(~F.col("is_cart"), F.col("at"))).join(
+        places, ["unit_id", "category", "sg", "interval", "depth"], "left").withColumn(
+        "menu_item_id", F.when(F.col("is_cart"), F.col("at")).otherwise(F.col("menu_item_id"))).filter(F.col("menu_item_id").isNotNull())
     best = Window.partitionBy("request_id").orderBy(F.col("micro").desc(), "menu_item_id")
-    top = pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= max_n).filter("rank <= n")
+    top = recommend.without_cart(pairs).withColumn("rank", F.row_number().over(best)).filter(
+        F.col("rank") <= max_n).filter("rank <= n")
     reason = recommend.reco_reason(F.col("category"), F.col("filled"), F.col("complement_score"), F.col("anchor"),
                                    F.col("has_drinks"), F.col("tier"))
-    return top.withColumn("reason", reason).join(menu.select("menu_item_id", "item_name", "subcategory"), "menu_item_id").select(
+    return top.withColumn("reason", reason).join(names, "menu_item_id").select(
         "request_id", "rank", "menu_item_id", "item_name", "category", "subcategory",
         (F.col("micro") / F.lit(float(MICRO))).alias("score"), "reason")

@@ -16,6 +16,7 @@ from platelake.functions.ids import make_id
 from platelake.functions.numeric import clamp, fixed, half_up
 from platelake.operators.features import CATEGORIES
 from platelake.operators.joins import left_join
+from platelake.sources.workspace import lookup, settled
 
 # Complement weight of the inner category when the basket holds the outer.
 COMPLEMENTS = {
@@ -108,48 +109,142 @@ def numbered(rows: DataFrame, by: tuple[str, ...] = (), width: int = 65_536, nam
         name, F.col("id_offset") + F.col("id_rank") - 1).drop("id_range", "id_rank", "id_offset")
 
 
-def popularity_pools(popularity: DataFrame, menu_item: DataFrame, suppress=SUPPRESS) -> DataFrame:
-    """Sold items of every unit with their depth in the unit's popularity order.
+NOWHERE = -(1 << 63)  # the store of requests without one
 
-    Depth counts items that are surely better plus equally popular ones with a
-    lower id, so rounding of the final score cannot push an item past it.
+
+def shop_floor(popularity: DataFrame, menu: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(shelf, sold): the menu numbered by id within category and suppression group, and what each store has sold of it."""
+    shelf = numbered(menu.select("category", "sg", "menu_item_id"), ("category", "sg"), name="place").withColumn(
+        "place", F.col("place") + 1)
+    sold = popularity.filter(F.col("popularity") > 0).select("unit_id", "menu_item_id", "popularity").join(shelf, "menu_item_id")
+    return shelf, sold
+
+
+def first_unsold(sold: DataFrame, shelf: DataFrame, want: DataFrame) -> DataFrame:
+    """unit_id, category, sg, k, menu_item_id: the first unsold items by id of the cells in ``want``.
+
+    ``want``: unit_id, category, sg, want (how many), items (the most there can be).  ``sold`` has the place of every sold item
+    of these cells.  The k-th unsold item stands on place k plus the number of sold items with fewer than k unsold ones before
+    them, so no store meets the whole menu.
     """
-    items = popularity.join(menu_item.select("menu_item_id", "category", "subcategory"), "menu_item_id").filter(
-        F.col("popularity") > 0)
-    items = items.withColumn("sg", suppress_key(F.col("subcategory"), suppress)).withColumn(
-        "micro", fixed("popularity", MICRO))
-    group = Window.partitionBy("unit_id", "category", "sg")
+    cell = ["unit_id", "category", "sg"]
+    most = want.agg(F.max("want")).first()[0] or 0
+    by_place = sold.select(*cell, "place", F.col("place").alias("menu_item_id"))
+    before = numbered(by_place, tuple(cell), name="nth").withColumn("free", F.col("place") - F.col("nth") - 1)
+    # Only sold items with fewer than ``want`` unsold ones before them can move a wanted place.
+    moved = before.filter(F.col("free") < most).join(want.select(*cell, "want"), cell).filter(
+        F.col("free") < F.col("want")).groupBy(*cell, "free").agg(F.count(F.lit(1)).alias("n"))
+    steps = want.select(*cell, F.explode(F.sequence(F.lit(1).cast("bigint"), F.least("want", "items"))).alias("k"))
+    shift = Window.partitionBy(*cell).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    shifted = steps.join(moved.select(*cell, (F.col("free") + 1).alias("k"), "n"), [*cell, "k"], "left").withColumn(
+        "place", F.col("k") + F.coalesce(F.sum("n").over(shift), F.lit(0)))
+    return shifted.join(shelf, ["category", "sg", "place"]).select(*cell, "k", "menu_item_id")
+
+
+def every_cell(groups) -> Column:
+    """All pairs of a category and a suppression group."""
+    return F.array(*[F.struct(F.lit(c).alias("category"), F.lit(g).alias("sg")) for c in CATEGORIES for g in groups])
+
+
+def popularity_pools(popularity: DataFrame, menu: DataFrame, reach: DataFrame, groups) -> tuple[DataFrame, DataFrame]:
+    """(pool, slots) of the stores in ``reach`` (unit_id, reach: the deepest place that a request there can take).
+
+    ``pool``: unit_id, category, sg, depth, menu_item_id, micro.  Depth counts items that are surely better plus equally
+    popular ones with a lower id, so rounding of the final score cannot push an item past it; unsold items follow in id order.
+    ``slots``: unit_id, category, sg, sold, best.  Both are lookup tables: their size follows the stores, not the menu.
+    """
+    cell = ["unit_id", "category", "sg"]
+    most = reach.agg(F.max("reach")).first()[0] or 0
+    shelf, sold = shop_floor(popularity, menu)
+    items = settled(sold.join(reach.select("unit_id"), "unit_id", "left_semi").filter(F.col("category").isin(*CATEGORIES)).select(
+        *cell, "menu_item_id", "place", fixed("popularity", MICRO).alias("micro")), "sold_items")
     # Count per distinct popularity first: the running count then walks distinct values only.
-    levels = items.groupBy("unit_id", "category", "sg", "micro").agg(F.count(F.lit(1)).alias("level_size"))
-    surely = group.orderBy(F.col("micro").desc()).rangeBetween(Window.unboundedPreceding, -TIE_MARGIN - 1)
-    levels = levels.select("unit_id", "category", "sg", "micro",
-                           F.coalesce(F.sum("level_size").over(surely), F.lit(0)).alias("better"))
-    level = ("unit_id", "category", "sg", "micro")
-    return numbered(items, level, name="equals").join(levels, list(level)).select(
-        "unit_id", "category", "sg", "menu_item_id", "micro", (F.col("better") + F.col("equals") + 1).alias("depth"))
-
-
-def _cart_facts(cart: DataFrame, menu: DataFrame, suppress) -> DataFrame:
-    """Per request: categories present, unrestricted items held per category, subcategories present."""
-    known = cart.join(menu.select("menu_item_id", "category", "sg"), "menu_item_id")
-    cat, sg = F.col("category"), F.col("sg")
-    return known.groupBy("request_id").agg(
-        *[F.bool_or(cat == c).alias(f"has_{c}") for c in CATEGORIES],
-        *[F.count_if((cat == c) & (sg == "")).alias(f"held_{c}") for c in CATEGORIES],
-        *[F.bool_or(sg == s).alias(f"block_{i}") for i, s in enumerate(suppress)])
-
-
-def _slot_facts(pools: DataFrame) -> DataFrame:
-    """Per unit and slot: items sold and the best popularity."""
-    return pools.groupBy("unit_id", "category", "sg").agg(F.count(F.lit(1)).alias("sold"), F.max("micro").alias("best"))
-
-
-def _unit_tops(pools: DataFrame, max_n: int) -> DataFrame:
-    """Per unit and category: the best ``max_n`` unrestricted popularities, best first."""
-    first = Window.partitionBy("unit_id", "category").orderBy(F.col("micro").desc(), "menu_item_id")
-    best = pools.filter(F.col("sg") == "").withColumn("i", F.row_number().over(first)).filter(F.col("i") <= max_n)
-    return best.groupBy("unit_id").agg(*[F.sort_array(F.collect_list(
-        F.when(F.col("category") == c, F.col("micro"))), asc=False).alias(f"tops_{c}") for c in CATEGORIES])
+    surely = Window.partitionBy(*cell).orderBy(F.col("micro").desc()).rangeBetween(Window.unboundedPreceding, -TIE_MARGIN - 1)
+    levels = settled(items.groupBy(*cell, "micro").agg(F.count(F.lit(1)).alias("level_size")).withColumn(
+        "better", F.coalesce(F.sum("level_size").over(surely), F.lit(0))), "levels")
+    near = lookup(levels.join(reach, "unit_id").filter(F.col("better") < F.col("reach")).select(
+        *cell, "micro", "better", "reach"), "near_levels")
+    equals = Window.partitionBy(*cell, "micro").orderBy("menu_item_id")
+    popular = items.join(near, [*cell, "micro"]).withColumn("equals", F.row_number().over(equals)).filter(
+        F.col("equals") <= most).withColumn("depth", F.col("better") + F.col("equals")).filter(F.col("depth") <= F.col("reach"))
+    slots = lookup(levels.groupBy(*cell).agg(F.sum("level_size").alias("sold"), F.max("micro").alias("best")), "slots")
+    # Unsold items are needed only where the sold ones may not suffice.
+    sizes = menu.groupBy("category", "sg").agg(F.count(F.lit(1)).alias("size"))
+    short = lookup(reach.select("*", F.explode(every_cell(groups)).alias("s")).select("unit_id", "reach", "s.*").join(
+        slots.select(*cell, "sold"), cell, "left").withColumn("sold", F.coalesce("sold", F.lit(0))).filter(
+        F.col("sold") < F.col("reach")).join(sizes, ["category", "sg"]).select(
+        *cell, F.col("reach").alias("want"), F.col("size").alias("items")), "short_slots")
+    taken = items.join(short, cell, "left_semi").select(*cell, "place").distinct()
+    quiet = first_unsold(taken, shelf, short)
+    return lookup(popular.select(*cell, "depth", "menu_item_id", "micro").unionByName(quiet.select(
+        *cell, F.col("k").alias("depth"), "menu_item_id", F.lit(0).cast("bigint").alias("micro"))), "pool"), slots
+
+
+def cart_lines(cart: DataFrame, menu: DataFrame, suppress) -> DataFrame:
+    """Distinct cart items that the menu has, stored: request_id, menu_item_id, code (of category and suppression group)."""
+    category, sg = F.lit(len(CATEGORIES)), F.lit(0)
+    for i, c in enumerate(CATEGORIES):
+        category = F.when(F.col("category") == c, i).otherwise(category)
+    for i, s in enumerate(suppress):
+        sg = F.when(F.col("sg") == s, i + 1).otherwise(sg)
+    code = (category * (len(suppress) + 1) + sg).cast("short")
+    return settled(cart.select("request_id", "menu_item_id").distinct().join(
+        menu.select("menu_item_id", code.alias("code")), "menu_item_id").select("request_id", "menu_item_id", "code"), "cart")
+
+
+def cart_facts(lines: DataFrame, suppress) -> DataFrame:
+    """Per request: unrestricted items held per category, subcategories present, complement scores and the anchor.
+
+    The narrow rows are dealt out by request before they are added up.
+    """
+    kinds = len(suppress) + 1
+    of = lambda i: F.col("code").between(i * kinds, (i + 1) * kinds - 1)
+    held, blocks = [f"held_{c}" for c in CATEGORIES], [f"block_{i}" for i in range(len(suppress))]
+    found = lines.select("request_id", "code").repartition("request_id").groupBy("request_id").agg(
+        *[F.bool_or(of(i)).alias(f"has_{c}") for i, c in enumerate(CATEGORIES)],
+        *[F.count_if(F.col("code") == i * kinds).alias(h) for i, h in enumerate(held)],
+        *[F.bool_or(F.col("code") % kinds == i + 1).alias(b) for i, b in enumerate(blocks)])
+    return found.select(
+        "request_id", *held, *blocks, has_basket().alias("filled"), "has_drinks",
+        F.coalesce(*[F.when(F.col(f"has_{c}"), F.lit(c)) for c in sorted(CATEGORIES)]).alias("anchor"),
+        *[complement_score(c).alias(f"comp_{c}") for c in CATEGORIES])
+
+
+def carted(head: DataFrame, suppress) -> DataFrame:
+    """Cart facts of requests without a known item."""
+    no, zero, none = F.lit(False), F.lit(0).cast("bigint"), F.lit(0.0)
+    return head.withColumns({
+        "filled": F.coalesce("filled", no), "has_drinks": F.coalesce("has_drinks", no),
+        **{f"held_{c}": F.coalesce(f"held_{c}", zero) for c in CATEGORIES},
+        **{f"comp_{c}": F.coalesce(f"comp_{c}", none) for c in CATEGORIES},
+        "closed": F.array(no, *[F.coalesce(f"block_{i}", no) for i in range(len(suppress))])})
+
+
+def held_offers(lines: DataFrame, offered: DataFrame) -> DataFrame:
+    """request_id, in_cart: the cart items that some store offers; no others can be candidates."""
+    return lines.join(offered, "menu_item_id", "left_semi").select("request_id", "menu_item_id").repartition(
+        "request_id").groupBy("request_id").agg(F.collect_list("menu_item_id").alias("in_cart"))
+
+
+def without_cart(rows: DataFrame) -> DataFrame:
+    """Candidates that are not in their request's cart; ``is_cart`` marks the rows of cart items among them.
+
+    Both kinds of rows come from the request's own row, so they are where the request is and nothing is dealt out again.
+    """
+    same = Window.partitionBy("request_id", "menu_item_id")
+    return rows.withColumn("held", F.max("is_cart").over(same)).filter(
+        ~F.col("is_cart") & ~(F.col("held") & F.col("request_id").isNotNull())).drop("held", "is_cart")
+
+
+def asked_for(max_n: int) -> Column:
+    return F.least(F.lit(max_n), F.greatest(F.lit(1), F.coalesce("n", F.lit(DEFAULT_N))))
+
+
+def offered_names(pool: DataFrame, menu: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ids, names) of all items in a pool, as lookup tables."""
+    ids = lookup(pool.select("menu_item_id").distinct(), "offered")
+    names = menu.select("menu_item_id", "item_name", "subcategory").join(ids, "menu_item_id", "left_semi")
+    return ids, lookup(names, "offered_names")
 
 
 def rank_recommendations(requests: DataFrame, cart: DataFrame, popularity: DataFrame, menu_item: DataFrame,
@@ -165,60 +260,71 @@ def rank_recommendations(requests: DataFrame, cart: DataFrame, popularity: DataF
     category bounds the answer from below, so slots and depths that cannot reach
     the bound are dropped before any item is joined.  A suppression group that
     the cart touches is closed, so only unrestricted slots hold cart items.
+
+    What a store can offer is cut to the depth that its requests can reach and
+    stored first.  Requests are dealt out once, by their id; slots, candidates
+    and ranks are then worked out where they are.
     """
     menu = menu_item.select("menu_item_id", "item_name", "category", "subcategory").withColumn(
         "sg", suppress_key(F.col("subcategory"), suppress))
-    cart = cart.select("request_id", "menu_item_id").distinct()
-    pools = popularity_pools(popularity, menu_item, suppress)
-    zero, no = F.lit(0).cast("bigint"), F.lit(False)
-    n = F.least(F.lit(max_n), F.greatest(F.lit(1), F.coalesce("n", F.lit(DEFAULT_N))))
-    head = requests.join(_cart_facts(cart, menu, suppress), "request_id", "left").join(
-        _unit_tops(pools, max_n), "unit_id", "left").withColumns({
-            "n": n, **{f"has_{c}": F.coalesce(f"has_{c}", no) for c in CATEGORIES},
-            **{f"held_{c}": F.coalesce(f"held_{c}", zero) for c in CATEGORIES},
-            **{f"liked_{c}": fixed(F.coalesce(f"affinity_{c}", F.lit(0.0)), MICRO) for c in CATEGORIES}})
-    head = head.withColumns({"filled": has_basket(), **{f"comp_{c}": complement_score(c) for c in CATEGORIES}})
+    zero, groups = F.lit(0).cast("bigint"), ("", *suppress)
+    lines = cart_lines(cart, menu, suppress)
+    facts = settled(cart_facts(lines, suppress), "cart_facts")
+    unit = F.coalesce(F.col("unit_id").cast("bigint"), F.lit(NOWHERE))
+    held = F.greatest(*[F.coalesce(f"held_{c}", zero) for c in CATEGORIES])
+    reach = lookup(requests.select("request_id", unit.alias("unit_id"), asked_for(max_n).alias("n")).join(
+        facts, "request_id", "left").groupBy("unit_id").agg(F.max(F.col("n") + held).alias("reach")), "reach")
+    pool, slots = popularity_pools(popularity, menu, reach, groups)
+    of = lambda c, s: F.max(F.when((F.col("category") == c) & (F.col("sg") == s), F.col("best")))
+    bests = slots.groupBy("unit_id").agg(*[F.array(*[F.coalesce(of(c, s), zero) for s in groups]).alias(f"best_{c}") for c in CATEGORIES])
+    tops = pool.filter(F.col("sg") == "").groupBy("unit_id").agg(*[F.sort_array(F.collect_list(
+        F.when(F.col("category") == c, F.col("micro"))), asc=False).alias(f"tops_{c}") for c in CATEGORIES])
+    units = lookup(reach.select("unit_id").join(bests, "unit_id", "left").join(tops, "unit_id", "left"), "units")
+    offered, names = offered_names(pool, menu)
+    head = requests.withColumn("unit_id", unit).join(facts, "request_id", "left").join(
+        held_offers(lines, offered), "request_id", "left").join(units, "unit_id", "left").withColumns({
+        "n": asked_for(max_n), **{f"liked_{c}": fixed(F.coalesce(f"affinity_{c}", F.lit(0.0)), MICRO) for c in CATEGORIES}})
+    head = carted(head, suppress)
     filled = F.col("filled")
     # The request's part of a score, in hundredths of a millionth.
     head = head.withColumns({
         "weight": F.when(filled, 20).otherwise(45).cast("bigint"),
-        "anchor": F.coalesce(*[F.when(F.col(f"has_{c}"), F.lit(c)) for c in sorted(CATEGORIES)]),
         **{f"base_{c}": F.when(filled, 55 * fixed(f"comp_{c}", MICRO) + 25 * F.col(f"liked_{c}")).otherwise(
             55 * F.col(f"liked_{c}")) for c in CATEGORIES}})
     nth = [F.col(f"base_{c}") + F.col("weight") * F.get(f"tops_{c}", (F.col("n") + F.col(f"held_{c}") - 1).cast("int"))
            for c in CATEGORIES]
     bound = F.coalesce(F.greatest(*nth), F.lit(-1))
-    slot = F.array(*[F.struct(
-        F.lit(c).alias("category"), F.lit(s).alias("sg"), F.col(f"comp_{c}").alias("complement"),
-        F.col(f"base_{c}").alias("base"), F.col(f"liked_{c}").alias("liked"), (F.col("n") + (F.col(f"held_{c}") if s == "" else zero)).alias("reach"),
-        (F.coalesce(f"block_{suppress.index(s)}", no) if s else no).alias("closed"))
-        for c in CATEGORIES for s in ("", *suppress)])
+    # Categories first, then suppression groups: one array of all slots makes methods that the JVM does not compile.
+    kind = F.array(*[F.struct(
+        F.lit(c).alias("category"), F.col(f"comp_{c}").alias("complement"), F.col(f"base_{c}").alias("base"),
+        F.col(f"liked_{c}").alias("liked"), F.col(f"held_{c}").alias("held"), F.col(f"best_{c}").alias("bests")) for c in CATEGORIES])
+    group = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("sg")) for i, s in enumerate(groups)])
     # A rounded score may reach a bound that the exact one misses by less than a millionth.
     reaches = lambda part: part + F.lit(100) >= F.col("bound")
-    keep = ["request_id", "unit_id", "n", "tier", "filled", "has_drinks", "anchor", "weight"]
-    open_slots = head.select(*keep, bound.alias("bound"), F.explode(slot).alias("s")).select("*", "s.*").filter(
-        ~F.col("closed")).join(_slot_facts(pools), ["unit_id", "category", "sg"], "left").withColumns(
-        {"sold": F.coalesce("sold", zero), "best": F.coalesce("best", zero)}).filter(
-        reaches(F.col("base") + F.col("weight") * F.col("best")))
-    at = lambda upto: F.explode(F.sequence(F.lit(1).cast("bigint"), upto.cast("bigint")))
-    popular = open_slots.filter(F.col("sold") > 0).withColumn("depth", at(F.col("reach"))).join(
-        pools, ["unit_id", "category", "sg", "depth"]).filter(reaches(F.col("base") + F.col("weight") * F.col("micro")))
-    # Unsold items follow in id order; needed only where the sold ones may not suffice.
-    short = open_slots.filter((F.col("sold") < F.col("reach")) & reaches(F.col("base")))
-    shelf = numbered(menu.select("category", "sg", "menu_item_id"), ("category", "sg")).withColumn("depth", F.col("slot") + 1).drop("slot")
-    sold_items = popularity.filter(F.col("popularity") > 0).select("unit_id", "menu_item_id")
-    quiet = short.withColumn("depth", at(F.col("reach") + F.col("sold"))).join(shelf, ["category", "sg", "depth"]).join(
-        sold_items, ["unit_id", "menu_item_id"], "left_anti").withColumn("micro", zero)
-    cols = ["request_id", "n", "tier", "filled", "has_drinks", "anchor", "category", "complement", "liked",
-            "menu_item_id", "micro"]
-    pairs = popular.select(*cols).unionByName(quiet.select(*cols)).join(cart, ["request_id", "menu_item_id"], "left_anti")
+    keep = ["request_id", "unit_id", "n", "tier", "filled", "has_drinks", "anchor", "weight", "bound"]
+    kinds = head.withColumn("bound", bound).select(
+        *keep, "closed", "in_cart", F.explode(kind).alias("k")).select(*keep, "closed", "in_cart", "k.*")
+    # The cart rides along as one more group of the first category.
+    here = F.when((F.col("category") == CATEGORIES[0]) & F.col("in_cart").isNotNull(), F.array(F.struct(F.lit(-1).alias("i"), F.lit("").alias("sg"))))
+    cells = kinds.withColumn("g", F.explode(F.concat(group, F.coalesce(here, F.array().cast("array<struct<i:int,sg:string>>"))))).withColumns({
+        "is_cart": F.col("g.i") < 0, "sg": F.col("g.sg")})
+    open_slots = cells.filter(F.col("is_cart") | (~F.get("closed", F.col("g.i")) & reaches(
+        F.col("base") + F.col("weight") * F.coalesce(F.get("bests", F.col("g.i")), zero))))
+    upto = F.sequence(F.lit(1).cast("bigint"), (F.col("n") + F.when(F.col("g.i") == 0, F.col("held")).otherwise(zero)).cast("bigint"))
+    at = open_slots.withColumn("at", F.explode(F.when(F.col("is_cart"), F.col("in_cart")).otherwise(upto))).drop("in_cart", "bests", "closed", "g")
+    depth = F.when(~F.col("is_cart"), F.col("at")).alias("depth")
+    pairs = at.withColumn("depth", depth).join(pool, ["unit_id", "category", "sg", "depth"], "left").filter(
+        F.col("is_cart") | (F.col("menu_item_id").isNotNull() & reaches(F.col("base") + F.col("weight") * F.col("micro")))).select(
+        "request_id", "n", "tier", "filled", "has_drinks", "anchor", "category", "complement", "liked", "is_cart",
+        F.when(F.col("is_cart"), F.col("at")).otherwise(F.col("menu_item_id")).alias("menu_item_id"), "micro")
     part = lambda c: F.col(c) / F.lit(float(MICRO))
-    scored = pairs.withColumn("score", heuristic_score(F.col("filled"), F.col("complement"), part("liked"), part("micro")))
-    best = Window.partitionBy("request_id").orderBy(F.col("score").desc(), "menu_item_id")
-    top = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= max_n).filter("rank <= n")
+    scored = without_cart(pairs).withColumn(
+        "score", heuristic_score(F.col("filled"), F.col("complement"), part("liked"), part("micro")))
+    first = Window.partitionBy("request_id").orderBy(F.col("score").desc(), "menu_item_id")
+    top = scored.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= max_n).filter("rank <= n")
     reason = reco_reason(F.col("category"), F.col("filled"), F.col("complement"), F.col("anchor"), F.col("has_drinks"),
                          F.col("tier"))
-    return top.withColumn("reason", reason).join(menu.select("menu_item_id", "item_name", "subcategory"), "menu_item_id").select(
+    return top.withColumn("reason", reason).join(names, "menu_item_id").select(
         "request_id", "rank", "menu_item_id", "item_name", "category", "subcategory", "score", "reason")
 
 
@@ -371,11 +477,14 @@ def score_batch(requests: DataFrame, popularity: DataFrame, menu_item: DataFrame
     ids = F.concat(parse_cart(F.col("cart_product_ids")),
                    F.when(viewed.isNotNull() & (viewed != 0), F.array(viewed))
                    .otherwise(F.array().cast("array<bigint>")))
-    cart = clean.select("request_id", F.explode(ids).alias("menu_item_id"))
     money = {"aov": F.col("personalized"), "store_aov": F.lit(True)}
-    head = clean.select("request_id", _whole("store_id").alias("unit_id"), _whole("num_recommendations").alias("n"),
-                        F.when(F.col("personalized"), F.col("tier")).alias("tier"), *affinities,
-                        *[F.when(known & _present(c), F.col(c)).alias(c) for c, known in money.items() if scorer is not None])
+    # Stored, as requests with their lookups are read for carts, heads and results.
+    clean = settled(clean.select(
+        "request_id", _whole("store_id").alias("unit_id"), _whole("num_recommendations").alias("n"),
+        F.when(F.col("personalized"), F.col("tier")).alias("tier"), *affinities, "personalized", ids.alias("ids"),
+        *[F.when(known & _present(c), F.col(c)).alias(c) for c, known in money.items() if scorer is not None]), "requests")
+    cart = clean.select("request_id", F.explode("ids").alias("menu_item_id"))
+    head = clean.drop("ids", "personalized")
     if scorer is None:
         ranked = rank_recommendations(head, cart, popularity, menu_item, suppress, max_n)
     else:

@@ -507,12 +507,20 @@ class Tables:
         The recommender reads each of them several times, so they are stored
         once, as in production, instead of being recomputed per use.
         """
-        out = []
-        for name in ("customer_features", "store_features", "item_popularity"):
-            path = sinks.fresh(self.spark, name)
-            sinks.overwrite(getattr(self, name), path)
-            out.append(self.spark.read.parquet(path))
-        return tuple(out)
+        return self.known_customers, sinks.settled(self.store_features, "store_features"), self.known_popularity
+
+    # Each stored on its own, for jobs that need only some of them.
+    @cached_property
+    def known_customers(self) -> DataFrame:
+        return sinks.settled(self.customer_features, "customer_features")
+
+    @cached_property
+    def known_popularity(self) -> DataFrame:
+        return sinks.settled(self.item_popularity, "item_popularity")
+
+    @cached_property
+    def known_store_values(self) -> DataFrame:
+        return sinks.lookup(features.store_values(self.guest_order, self.unit), "store_values")
 
     @cached_property
     def store_features(self) -> DataFrame:

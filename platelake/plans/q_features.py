@@ -78,8 +78,7 @@ def order_cart(t):
 
 
 def order_requests(t):
-    customers, _, _ = t.feature_tables
-    known = customers.select("profile_id", "tier", *[f"affinity_{c}" for c in CATEGORIES])
+    known = t.known_customers.select("profile_id", "tier", *[f"affinity_{c}" for c in CATEGORIES])
     return t.guest_order.select(F.col("guest_order_id").alias("request_id"), "unit_id", "profile_id",
                                 (F.col("guest_order_id") % 13).cast("int").alias("n")).transform(left_join, known, "profile_id")
 
@@ -132,7 +131,7 @@ query("suppress_subcategory", f"""SELECT DISTINCT request_id, subcategory FROM {
 REQ = "(SELECT guest_order_id request_id, unit_id, CAST(guest_order_id%13 AS INTEGER) n, tier, " + ", ".join(
     f"affinity_{c}" for c in CATEGORIES) + " FROM guest_order LEFT JOIN customer_features USING (profile_id))"
 query("rank_recommendations", ranked_sql(REQ, CART))(lambda t: recommend.rank_recommendations(
-    order_requests(t), order_cart(t), t.feature_tables[2], t.menu_item, SUPPRESS))
+    order_requests(t), order_cart(t), t.known_popularity, t.menu_item, SUPPRESS))
 SIZE = "(SELECT count(*) FROM menu_item)"
 BATCH = "(SELECT event_id request_id, user_id%25 unit_id, CASE WHEN event_id%3<>0 THEN CAST(event_id%14 AS INTEGER) END n, tier, profile_id IS NOT NULL personalized, " + ", ".join(
     f"affinity_{c}" for c in CATEGORIES) + " FROM events LEFT JOIN customer_features ON profile_id=user_id)"
@@ -140,7 +139,7 @@ BATCH_CART = f"""(SELECT event_id request_id, (event_id*7)%{SIZE} menu_item_id F
       SELECT event_id, (event_id*13+1)%{SIZE} FROM events WHERE event_id%5<=1 UNION
       SELECT event_id, (event_id*3)%{SIZE} FROM events WHERE event_id%4=0 AND (event_id*3)%{SIZE}<>0)"""
 query("score_batch", ranked_sql(BATCH, BATCH_CART, ", personalized"))(lambda t: recommend.score_batch(
-    event_requests(t).join(t.feature_tables[0], "profile_id", "left"), t.feature_tables[2], t.menu_item, SUPPRESS))
+    event_requests(t).join(t.known_customers, "profile_id", "left"), t.known_popularity, t.menu_item, SUPPRESS))
 
 # Stated trees for the check of the learned ranking; fitted ones are checked by brute force in the tests.
 RULES = [
@@ -175,19 +174,18 @@ BATCH_AOV = BATCH.replace("tier, profile_id IS NOT NULL", "tier, aov, store_aov,
 
 
 def enriched(t):
-    customers, stores, _ = t.feature_tables
-    return features.feature_lookup(event_requests(t), customers, stores.select("unit_id", "store_aov"))
+    return features.feature_lookup(event_requests(t), t.known_customers, t.known_store_values)
 
 
 query("score_batch_rules", ranked_sql(BATCH_AOV, BATCH_CART, ", personalized", rules_sql()))(lambda t: recommend.score_batch(
-    enriched(t), t.feature_tables[2], t.menu_item, SUPPRESS, learned.of_trees(RULES)))
+    enriched(t), t.known_popularity, t.menu_item, SUPPRESS, learned.of_trees(RULES)))
 query("score_batch_learned")(lambda t: recommend.score_batch(
-    enriched(t), t.feature_tables[2], t.menu_item, SUPPRESS, learned.of_model(recommend.train_ranker(training(t), trees=20))))
+    enriched(t), t.known_popularity, t.menu_item, SUPPRESS, learned.of_model(recommend.train_ranker(training(t), trees=20))))
 
 query("recommendation_lists", f"""SELECT b.request_id, b.personalized, count(r.rank) offered,
       coalesce(string_agg(r.menu_item_id, ',' ORDER BY r.rank),'') items FROM {BATCH} b
       LEFT JOIN ({ranked_sql(BATCH, BATCH_CART)}) r USING (request_id) GROUP BY 1, 2""")(
-    lambda t: recommend.score_lists(event_requests(t).join(t.feature_tables[0], "profile_id", "left"), t.feature_tables[2],
+    lambda t: recommend.score_lists(event_requests(t).join(t.known_customers, "profile_id", "left"), t.known_popularity,
                                     t.menu_item, SUPPRESS).select(
         "request_id", "personalized", F.size("recommendations").cast("bigint").alias("offered"),
         F.array_join(F.transform("recommendations", lambda r: r["menu_item_id"].cast("string")), ",").alias("items")))

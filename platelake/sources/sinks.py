@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from platelake import schemas
 from platelake.sources.commits import Files
-from platelake.sources.workspace import fresh, stored, workspace  # noqa: F401
+from platelake.sources.workspace import fresh, lookup, settled, stored, workspace  # noqa: F401
 
 ORDER_TYPES = tuple(k for k, v in schemas.ROUTES.items() if v == "order_events")
 
