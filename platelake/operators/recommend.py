@@ -337,13 +337,15 @@ FEATURES = ("complement_score", "cust_cat_affinity", "store_popularity", "cust_a
 def feature_columns(pairs: DataFrame, cart: DataFrame, customers: DataFrame, stores: DataFrame,
                     popularity: DataFrame, menu_item: DataFrame) -> DataFrame:
     """The twelve model inputs of each (request_id, menu_item_id, profile_id, unit_id, ...) pair."""
-    flags = basket_flags(cart, menu_item).drop("cart_categories")
-    rows = (
+    # Stored while the rows are narrow: the wide ones are dealt out by request and by guest only.
+    flags = settled(basket_flags(cart, menu_item).drop("cart_categories"), "basket_flags")
+    narrow = settled(
         pairs.join(menu_item.select("menu_item_id", "category"), "menu_item_id")
-        .join(flags, "request_id", "left")
+        .join(popularity.select("unit_id", "menu_item_id", "popularity"), ["unit_id", "menu_item_id"], "left"), "pairs")
+    rows = (
+        narrow.join(flags, "request_id", "left")
         .transform(left_join, customers.select("profile_id", "tier", "aov", *[f"affinity_{c}" for c in CATEGORIES]), "profile_id")
         .join(stores.select("unit_id", "store_aov"), "unit_id", "left")
-        .join(popularity.select("unit_id", "menu_item_id", "popularity"), ["unit_id", "menu_item_id"], "left")
         .withColumns({f"has_{c}": F.coalesce(f"has_{c}", F.lit(False)) for c in CATEGORIES}))
     cat = F.col("category")
     comp, aff = F.lit(0.0), F.lit(0.0)
@@ -376,33 +378,47 @@ def negative_items(order_item: DataFrame, orders: DataFrame, catalogue: DataFram
     ``catalogue`` numbers the menu 0..size-1 (slot, menu_item_id).  Each order
     starts at a hashed slot and walks on; as it can meet at most its own distinct
     items, ``per_order`` plus that many steps always suffice, so no pairing with
-    the whole menu is needed.  Long walks are cut into pieces that spread.
+    the whole menu is needed.  All orders take their first ``per_order`` steps;
+    only those that met an item of their own walk on, long walks in pieces that
+    spread.
     """
-    size = catalogue.agg(F.count(F.lit(1))).scalar()
-    held = order_item.select("guest_order_id", "menu_item_id").distinct()
-    steps = orders.select("guest_order_id").join(
-        held.groupBy("guest_order_id").agg(F.count(F.lit(1)).alias("distinct_items")), "guest_order_id")
-    reach = F.least(F.col("distinct_items") + per_order, size)
-    pieces = steps.select("guest_order_id", reach.alias("reach"),
-                          F.explode(F.sequence(F.lit(0).cast("bigint"), reach - 1, F.lit(1024).cast("bigint"))).alias("lo"))
-    walk = pieces.select("guest_order_id", F.explode(
-        F.sequence(F.col("lo"), F.least(F.col("lo") + 1023, F.col("reach") - 1))).alias("step"))
-    slot = F.pmod(make_id("neg", F.col("guest_order_id")) + F.col("step"), size)
-    free = walk.withColumn("slot", slot).join(catalogue, "slot").join(held, ["guest_order_id", "menu_item_id"], "left_anti")
-    first = Window.partitionBy("guest_order_id").orderBy("step")
-    return free.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= per_order).select(
-        "guest_order_id", "menu_item_id")
+    size = catalogue.agg(F.count(F.lit(1))).first()[0]
+    held = settled(order_item.select("guest_order_id", "menu_item_id").distinct(), "held_items")
+    steps = settled(orders.select("guest_order_id").join(held.groupBy("guest_order_id").agg(
+        F.count(F.lit(1)).alias("distinct_items")), "guest_order_id").select(
+        "guest_order_id", F.least(F.col("distinct_items") + per_order, F.lit(size)).alias("reach")), "walks")
+
+    def free(walk: DataFrame) -> DataFrame:
+        slot = F.pmod(make_id("neg", F.col("guest_order_id")) + F.col("step"), F.lit(size))
+        return walk.withColumn("slot", slot).join(catalogue, "slot").join(held, ["guest_order_id", "menu_item_id"], "left_anti").select(
+            "guest_order_id", "menu_item_id", "step")
+
+    span = lambda lo, hi, by: F.explode(F.sequence(lo.cast("bigint"), hi.cast("bigint"), F.lit(by).cast("bigint")))
+    first = settled(free(steps.filter("reach > 0").select(
+        "guest_order_id", span(F.lit(0), F.least(F.lit(per_order), F.col("reach")) - 1, 1).alias("step"))), "first_steps")
+    found = first.groupBy("guest_order_id").agg(F.count(F.lit(1)).alias("found"))
+    short = steps.filter(F.col("reach") > per_order).join(found, "guest_order_id", "left").withColumn(
+        "found", F.coalesce("found", F.lit(0))).filter(F.col("found") < per_order)
+    short = settled(short, "short_walks")
+    pieces = short.select("guest_order_id", "reach", span(F.lit(per_order), F.col("reach") - 1, 1024).alias("lo"))
+    walk = pieces.select("guest_order_id", span(F.col("lo"), F.least(F.col("lo") + 1023, F.col("reach") - 1), 1).alias("step"))
+    nth = Window.partitionBy("guest_order_id").orderBy("step")
+    more = free(walk).withColumn("k", F.row_number().over(nth)).filter(F.col("k") <= per_order).join(
+        short.select("guest_order_id", "found"), "guest_order_id").filter(F.col("k") <= per_order - F.col("found"))
+    return first.select("guest_order_id", "menu_item_id").unionByName(more.select("guest_order_id", "menu_item_id"))
 
 
 def training_set(guest_order, order_item, customers, stores, popularity, menu_item, catalogue=None) -> DataFrame:
     """Label 1: the held-out last item; label 0: three items not in the order."""
-    held = held_out(order_item)
-    basket = order_item.join(held.select("order_item_id"), "order_item_id", "left_anti").select(
-        F.col("guest_order_id").alias("request_id"), "menu_item_id").join(
-        held.select(F.col("guest_order_id").alias("request_id")), "request_id", "left_semi").distinct()
+    lines = settled(order_item.select("guest_order_id", "order_item_id", "menu_item_id"), "order_lines")
+    held = settled(held_out(lines), "held_out")
+    # A line is held out of its own order, so the lines meet by order.
+    asked = held.select("guest_order_id", F.col("order_item_id").alias("held_id"))
+    basket = lines.join(asked, "guest_order_id").filter(~F.coalesce(F.col("order_item_id") == F.col("held_id"), F.lit(False))).select(
+        F.col("guest_order_id").alias("request_id"), "menu_item_id")
     catalogue = numbered(menu_item.select("menu_item_id")) if catalogue is None else catalogue
     pos = held.select("guest_order_id", "menu_item_id", F.lit(1.0).alias("label"))
-    neg = negative_items(order_item, held, catalogue).withColumn("label", F.lit(0.0))
+    neg = negative_items(lines, held, catalogue).withColumn("label", F.lit(0.0))
     pairs = pos.unionByName(neg).join(guest_order.select("guest_order_id", "profile_id", "unit_id"), "guest_order_id")
     pairs = pairs.withColumnRenamed("guest_order_id", "request_id")
     return feature_columns(pairs, basket, customers, stores, popularity, menu_item)
