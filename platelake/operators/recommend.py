@@ -1,7 +1,8 @@
 """Add-on recommendations in batch.
 
-A cart is a table of (request_id, menu_item_id) rows, never an array gathered
-per request, and requests never meet the whole menu.  Within one store and
+A cart is a table of (request_id, menu_item_id) rows; only those of its items
+that some store offers are gathered per request, and requests never meet the
+whole menu.  Within one store and
 category the blended score depends on the item only through its popularity, so
 the best ``n`` items of a request are among the first ``n`` plus
 items-in-cart of that store's popularity order.  Only those are generated.
